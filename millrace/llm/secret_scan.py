@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import whole_text
+from millrace.llm.common import whole_text, written
 
 MARK, OTHER = "\x01", "\x02"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -126,7 +126,9 @@ def digest(documents: DataFrame) -> DataFrame:
     held = documents.select("doc_id", "text")
     # the join back needs the blob alone, so the text is not shuffled with it
     paths = with_blob(held).select("doc_id", "blob")
-    some = scan(held).where(F.size("spans") > 0).select("blob", "spans")
+    # written, so that the join back is one of its own: few blobs have findings, and where
+    # they are too many to broadcast, Spark can split the paths of a hot blob
+    some = written(scan(held).where(F.size("spans") > 0).select("blob", "spans"), "findings")
     spans = F.coalesce("spans", F.array().cast(SPAN))
     found = paths.join(some, "blob", "left").select("doc_id", spans.alias("spans"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
