@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import embedding_dedup, secret_scan, url_filter
+from millrace.llm import embedding_dedup, jaccard_join, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op6_secret_scan, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op6_secret_scan, op9_jaccard_join, op10_embedding_dedup)}
 
 ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op6_secret_scan": secret_scan.ORACLE_SQL}
