@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import embedding_dedup, jaccard_join, quality_rules, secret_scan, source_mix, url_filter
+from millrace.llm import embedding_dedup, jaccard_join, line_dedup, packing, quality_rules, repair_output, secret_scan, source_mix, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op2_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_output.digests(repair_output.write_shards(_table(spark, sf_dir, "documents")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +47,6 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op5_source_mix, op6_secret_scan, op9_jaccard_join, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_repair_output, op3_quality_rules, op5_source_mix, op6_secret_scan, op7_packing, op8_line_dedup, op9_jaccard_join, op10_embedding_dedup)}
 
-ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_secret_scan": secret_scan.ORACLE_SQL}
+ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_secret_scan": secret_scan.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
