@@ -63,20 +63,25 @@ def line_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lines, lines - np.bincount(distinct, minlength=len(counts))
 
 
-def repeated_words(texts: pa.Array, width: int = WINDOW) -> np.ndarray:
-    """Words in windows of ``width`` words that the text holds twice or more."""
-    flat, counts = words(texts)
-    windows = rolling(word_hashes(flat), width)
+def covered_words(hashed: np.ndarray, counts: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """Whether each word is in a window of ``width`` words that its text holds twice or more."""
+    windows = rolling(hashed, width)
     of = np.repeat(np.arange(len(counts)), counts)
     inside = np.flatnonzero(of[: len(windows)] == of[width - 1 :])
     keys = windows[inside] ^ mixed(of[inside].astype(np.uint64) + np.uint64(1))
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
     twice = inside[order[np.append(same, False) | np.append(False, same)]] if len(inside) else inside
-    steps = np.zeros(len(flat) + 1, np.int64)
+    steps = np.zeros(len(hashed) + 1, np.int64)
     np.add.at(steps, twice, 1)
     np.add.at(steps, twice + width, -1)
-    return per_text(np.cumsum(steps[:-1]) > 0, counts)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def repeated_words(texts: pa.Array) -> np.ndarray:
+    """Words in windows of WINDOW words that the text holds twice or more."""
+    flat, counts = words(texts)
+    return per_text(covered_words(word_hashes(flat), counts), counts)
 
 
 def stuttered_words(texts: pa.Array) -> np.ndarray:
