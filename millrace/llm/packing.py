@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import written
-from millrace.llm.tokens import batched, crc, encode, gather, tokenizer, vocabulary
+from millrace.llm.tokens import ENCODE_BYTES, batched, crc, encode, gather, tokenizer, vocabulary
 
 LENGTH, END = 2048, 1
 
@@ -36,7 +36,7 @@ def encoded(documents: DataFrame, path: str, end: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         kind = "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
-        for table in batched(batches):
+        for table in batched(batches, most=ENCODE_BYTES):
             ids, n = encode(table.column("text").combine_chunks(), path)
             packed = with_end(ids, n, end).astype(kind).tobytes()
             n = n + 1

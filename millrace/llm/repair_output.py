@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import source_partitions, written
 from millrace.llm.packing import with_end
-from millrace.llm.tokens import batched, crc, encode, tokenizer, vocabulary
+from millrace.llm.tokens import ENCODE_BYTES, batched, crc, encode, tokenizer, vocabulary
 
 SHARD_TOKENS = 1 << 20
 #: Pairs replaced in one round, the least uses of a pair, the least share that a round saves.
@@ -167,7 +167,7 @@ def write_shards(documents: DataFrame, path: str | None = None, end: int = END,
             data = to_bytes(names, np.concatenate(counts), np.concatenate(ids), base)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int64()), (shard, pa.int64()), (before, pa.int64()), (size, pa.int64()), (data, pa.binary()))], names=["part", "shard", "before", "n", "data"])
 
-        for table in batched(batches):
+        for table in batched(batches, most=ENCODE_BYTES):
             found, n = encode(table.column("text").combine_chunks(), path)
             found, n = with_end(found, n, end), n + 1
             ends, docs, done = np.cumsum(n), table.column("doc_id").to_pylist(), 0

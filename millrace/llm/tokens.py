@@ -20,8 +20,9 @@ import pyarrow.compute as pc
 
 #: White space before a space; there the cut at spaces would not be exact.
 _UNSAFE = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}] "
-#: Texts are gathered to this many bytes before their chunks are counted.
-BATCH_BYTES = 24 << 20
+#: Texts are gathered to this many bytes for arrays over their words, and for encoding,
+#: where more texts at a time share more chunks.
+BATCH_BYTES, ENCODE_BYTES = 8 << 20, 24 << 20
 
 
 @lru_cache(maxsize=2)
@@ -143,30 +144,25 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return out, np.diff(sums[edges])
 
 
-def batched(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.Table]:
-    """The batches of a task joined to about BATCH_BYTES of text each."""
+def batched(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.Table]:
+    """The batches of a task joined, or cut by rows, to about ``most`` bytes of text each."""
     held, size = [], 0
     for batch in batches:
-        for part in _slices(batch, text):
+        if not batch.num_rows:
+            continue
+        parts = -(-batch.column(text).nbytes // most) or 1
+        step = -(-batch.num_rows // parts)
+        for k in range(0, batch.num_rows, step):
+            part = batch.slice(k, step)
             held.append(part)
             size += part.column(text).nbytes
-            if size >= BATCH_BYTES:
+            if size >= most:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """A batch cut by rows so that each part holds about BATCH_BYTES of text."""
-    if not batch.num_rows:
-        return
-    parts = -(-batch.column(text).nbytes // BATCH_BYTES) or 1
-    step = -(-batch.num_rows // parts)
-    for k in range(0, batch.num_rows, step):
-        yield batch.slice(k, step)
-
-
 def crc(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
