@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 _UNSAFE = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}] "
 #: Texts are gathered to this many bytes for arrays over their words, and for encoding,
 #: where more texts at a time share more chunks.
-BATCH_BYTES, ENCODE_BYTES = 8 << 20, 24 << 20
+BATCH_BYTES, ENCODE_BYTES = 8 << 20, 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -115,7 +115,9 @@ def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     ends = np.cumsum(counts)
     if not len(ends) or not ends[-1]:
         return values[:0]
-    at = np.arange(ends[-1]) + np.repeat(starts - (ends - counts), counts)
+    kind = np.int32 if max(int(ends[-1]), len(values)) < 1 << 31 else np.int64  # half the memory
+    at = np.repeat((starts - (ends - counts)).astype(kind), counts)
+    at += np.arange(ends[-1], dtype=kind)
     return values[at]
 
 
