@@ -41,21 +41,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(flat: pa.Array) -> np.ndarray:
-    """A 64-bit hash of every word; each distinct word is hashed once."""
-    import xxhash
+    """A 64-bit hash of every word; each distinct word is hashed once.
 
+    Every byte and its place in the word give a number, mixed over 64 bits; a word's hash
+    is the mix of their sum and its length.
+    """
     coded = flat.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-    return hashed[coded.indices.to_numpy()] if len(distinct) else hashed
+    if not len(coded.dictionary):
+        return np.zeros(0, np.uint64)
+    _, at, data = coded.dictionary.buffers()
+    ends = np.frombuffer(at, np.int64)[coded.dictionary.offset :][: len(coded.dictionary) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(raw), dtype=np.uint64) - np.repeat(starts, sizes).astype(np.uint64)
+    sums = np.add.reduceat(mixed(raw + (place << np.uint64(8)) + np.uint64(0x9E3779B97F4A7C15)), starts)
+    return mixed(sums + sizes.astype(np.uint64))[coded.indices.to_numpy()]
 
 
 def rolling(hashed: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each window of ``width`` words, by its first word; windows may span texts."""
+    """The hash of each window of ``width`` words, by its first word; windows may span texts.
+
+    The words' hashes are spread over 64 bits already: a sum with an odd factor for each
+    place, mixed once, tells windows apart.
+    """
     n = max(0, len(hashed) - width + 1)
+    factors = mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     total = np.zeros(n, np.uint64)
     for k in range(width):
-        total += mixed(hashed[k : k + n] + np.uint64(k + 1)) * np.uint64(2 * k + 3)
+        total += hashed[k : k + n] * factors[k]
     return mixed(total)
 
 
