@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Tables of a few numbers a row are broadcast up to this many rows.
+BROADCAST_ROWS = 1_000_000
+
 _local: list[str] = []
 
 
@@ -46,6 +49,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast only if it has BROADCAST_ROWS
+    rows or fewer; a larger one is joined as Spark sees fit."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def source_partitions(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session, for explicit repartitions."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import n_words, written
+from millrace.llm.common import n_words, sized, written
 
 #: The weights in turn, the share in percent, and the most copies.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 150, 2
@@ -92,10 +92,10 @@ def walked(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[taken, ["skey", "rank", "tie"]]
 
 
-def mix(documents: DataFrame, seed: int = 20240101, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST) -> DataFrame:
-    """A struct column ``doc`` of each document's columns, with skey, size, source_size,
-    target and copies, the times that the mix takes it."""
-    keyed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc"), *(c.alias(k) for k, c in _keys(seed).items()))
+def mix(documents: DataFrame, carry: list[str] | None = None, seed: int = 20240101, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST) -> DataFrame:
+    """A struct column ``doc`` of each document's columns (or of those in ``carry``), with
+    size, source_size, target and copies, the times that the mix takes it."""
+    keyed = documents.select(F.struct(*(F.col(f"`{c}`") for c in carry or documents.columns)).alias("doc"), *(c.alias(k) for k, c in _keys(seed).items()))
     sizes = written(documents.select(F.col("source"), *(c.alias(k) for k, c in _keys(seed).items())), "sizes")
     totals = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("documents"))
     plan = targets(totals, weights, share, most).withColumns(
@@ -118,15 +118,14 @@ def mix(documents: DataFrame, seed: int = 20240101, weights: tuple[int, ...] = W
     chosen = written(edge.groupBy("skey").applyInPandas(walked, "skey string, rank long, tie long"), "chosen")
     joined = keyed.join(plan.join(state.select("skey", "low", "high"), "skey", "left").select("skey", "source_size", "target", "whole", "mean", "low", "high"), "skey")
     joined = joined.withColumn("rank", F.when(F.col("size") > 0, rank))
-    joined = joined.join(chosen.withColumn("hit", F.lit(1)), ["skey", "rank", "tie"], "left")
+    joined = joined.join(sized(chosen).withColumn("hit", F.lit(1)), ["skey", "rank", "tie"], "left")
     extra = F.when(F.coalesce(F.col("rank") < F.col("low"), F.lit(False)), 1).otherwise(F.coalesce("hit", F.lit(0)))
     return joined.select("doc", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
 
 
 def taken_words(documents: DataFrame) -> DataFrame:
     """The contract's columns."""
-    held = documents.select("doc_id", "text", "source")
-    out = mix(held)
+    out = mix(documents.select("doc_id", "text", "source"), ["doc_id", "source"])
     return out.select("doc.doc_id", "doc.source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
