@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import source_partitions, written
 from millrace.llm.components import components
@@ -53,7 +54,8 @@ def keyed(vectors: DataFrame) -> DataFrame:
     ``group`` stands for label and length; equal vectors of a label, and only they, agree
     in h1 and h2 (128 bits).
     """
-    plain = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0 becomes 0
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    plain = F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # -0 becomes 0
     rows = vectors.where(usable()).select("vec_id", plain.alias("embedding"), F.xxhash64("label", F.size("embedding")).alias("group"))
     return rows.withColumns({"h1": F.xxhash64("group", "embedding"), "h2": F.xxhash64(F.lit(1), "embedding", "group")})
 
@@ -68,8 +70,7 @@ def pick_pivots(reps: DataFrame, n: int) -> np.ndarray:
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(n)))
     rows = reps.where(F.size("embedding") == size["d"]).orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").limit(2 * wanted).select("embedding").collect()
     found = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    found /= np.abs(found).max(axis=1, keepdims=True)
-    found /= np.linalg.norm(found, axis=1, keepdims=True)
+    found = unit(found)
     chosen = [0]
     for i in range(1, len(found)):
         if len(chosen) < wanted and (found[chosen] @ found[i]).max() < APART:
@@ -77,19 +78,21 @@ def pick_pivots(reps: DataFrame, n: int) -> np.ndarray:
     return found[chosen]
 
 
-def unit(column: pa.Array) -> list[np.ndarray]:
-    """Vectors of a list column as unit rows; scaled first, so squares neither overflow nor vanish."""
+def rows_of(column: pa.Array) -> list[np.ndarray]:
+    """The vectors of a list column, as they are stored."""
     flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy()
-    rows = []
-    for a, b in zip(ends[:-1], ends[1:]):
-        v = flat[a - ends[0] : b - ends[0]]
-        v = v / np.abs(v).max()
-        rows.append(v / np.sqrt(v @ v))
-    return rows
+    return [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that no square overflows or vanishes."""
+    rows = rows.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
 def postings(reps: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
-    """(group, p, q, rep, copies, tops, unit): each class in the lists of its pairs of nearest pivots."""
+    """(group, p, q, rep, copies, tops, vector): each class in the lists of its pairs of nearest pivots."""
     shared = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +100,15 @@ def postings(reps: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
         k = min(near, len(at))
         pairs = list(combinations(range(k), 2)) or [(0, 0)]
         for batch in batches:
-            rows = unit(batch.column("embedding"))
+            rows = rows_of(batch.column("embedding"))
             tops = np.zeros((len(rows), k), np.int64)
             fits = [i for i, v in enumerate(rows) if len(v) == at.shape[1]]
             if fits:
-                cosines = np.array([rows[i] for i in fits]) @ at.T
+                cosines = unit(np.array([rows[i] for i in fits])) @ at.T
                 tops[fits] = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
             tops.sort(axis=1)
             n = len(rows)
-            packed = [v.astype("<f8").tobytes() for v in rows]
+            packed = [v.tobytes() for v in rows]
             # vectors of another length than the pivots' share one list of their group, once
             enter = np.ones((n, len(pairs)), bool)
             enter[np.setdiff1d(np.arange(n), fits), 1:] = False
@@ -114,10 +117,10 @@ def postings(reps: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
             take = lambda c: batch.column(c).take(pa.array(of))
             yield pa.RecordBatch.from_arrays(
                 [take("group"), pa.array(tops[of, first[at_pair]]), pa.array(tops[of, second[at_pair]]), take("rep"), take("copies"), pa.array([t.tobytes() for t in tops], pa.binary()).take(pa.array(of)), pa.array(packed, pa.binary()).take(pa.array(of))],
-                names=["group", "p", "q", "rep", "copies", "tops", "unit"],
+                names=["group", "p", "q", "rep", "copies", "tops", "vector"],
             )
 
-    return reps.mapInArrow(describe, "group long, p long, q long, rep long, copies long, tops binary, unit binary")
+    return reps.mapInArrow(describe, "group long, p long, q long, rep long, copies long, tops binary, vector binary")
 
 
 def blocked(lists: DataFrame, block: int) -> DataFrame:
@@ -129,19 +132,19 @@ def blocked(lists: DataFrame, block: int) -> DataFrame:
     return wide.withColumn("other", other).withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("n", "blocks", "other")
 
 
-def verify(groups: DataFrame, least: float) -> DataFrame:
-    """(rep, links, root) from each group; links counts the copies of what rep links with there."""
+def verify(groups: DataFrame, least: float, kind: str) -> DataFrame:
+    """(rep, links, root) from each group, whose vectors are of the numpy ``kind``; links counts the copies of what rep links with there."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, KEYS):
             cols = {k: table.column(k).to_numpy() for k in [*KEYS, "rep", "copies", "own"]}
-            units, tops = table.column("unit").to_pylist(), table.column("tops").to_pylist()
+            vectors, tops = table.column("vector").to_pylist(), table.column("tops").to_pylist()
             edges = starts_of(*(cols[k] for k in KEYS))
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(edges[:-1], edges[1:]):
                 if b - a < 2:
                     continue
-                x = np.frombuffer(b"".join(units[a:b])).reshape(b - a, -1)
+                x = unit(np.frombuffer(b"".join(vectors[a:b]), kind).reshape(b - a, -1))
                 own, b1, b2 = cols["own"][a:b], cols["b1"][a], cols["b2"][a]
                 left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
                 i, j = np.nonzero(x[left] @ x[right].T >= least)
@@ -180,7 +183,7 @@ def verify(groups: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "links", "root"])
 
     n = source_partitions(groups)
-    dealt = groups.select(*KEYS, "rep", "copies", "own", "tops", "unit").repartition(n, *KEYS).sortWithinPartitions(*KEYS)
+    dealt = groups.select(*KEYS, "rep", "copies", "own", "tops", "vector").repartition(n, *KEYS).sortWithinPartitions(*KEYS)
     return dealt.mapInArrow(compare, "rep long, links long, root long")
 
 
@@ -194,8 +197,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, near: int = NEAR, b
     ids = vectors.select("vec_id")
     if not n:
         return ids.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    kind = "<f4" if isinstance(reps.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
     lists = written(postings(reps, pick_pivots(reps, n), near), "lists")
-    found = written(verify(blocked(lists, block), least), "found")
+    found = written(verify(blocked(lists, block), least, kind), "found")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
     # only classes that differ from a lone vector are joined back
