@@ -15,8 +15,8 @@ reach the threshold only if they share c(a, b) elements (6/7 of their mean size
 Equal sets are one node from the start. Lists with the same members are one list. What
 is asked for are connected components, so a pair already connected needs no look:
 
-1. neighbours in each list (ordered by size), and each member and the list's middle, are
-   verified, and components are formed;
+1. in each list, every set is held against the next by size and against the list's
+   middle, and what links is formed to components;
 2. lists that still hold several components are compared in full, in pairs of blocks,
    between unlike components only. A sketch (elements by bucket) bounds each pair's
    overlap from above; pairs that might reach the threshold are verified exactly.
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import source_partitions, written
+from millrace.llm.common import sized, source_partitions, written
 from millrace.llm.components import components
 from millrace.llm.runs import starts_of, whole_groups
 from millrace.llm.tokens import batched
@@ -52,11 +52,11 @@ MET, COMMON, COMMONEST = 3, 8, 200_000
 #: Lists of an element held by more sets are dealt to several tasks.
 LONG_LIST = 50_000
 BLOCK = 256
-BUCKETS = 256
+#: Buckets of the sketches in lists, and of the finer ones that pairs are held against
+#: before their texts travel.
+BUCKETS, FINE = 256, 2048
 #: Light sets have at most this many elements; a candidate costs as much as so many rows.
 MOST_LIGHT, PAIR_COST = 12, 4
-#: Documents to verify are broadcast up to this many (24 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def needed(a, b, percent: int = 75):
@@ -116,14 +116,14 @@ def keys_of(found: np.ndarray, common: np.ndarray, weight: np.ndarray, boundary:
     return np.concatenate(keys) if keys else found[:0]
 
 
-def sketch_of(found: np.ndarray) -> bytes:
+def sketch_of(found: np.ndarray, buckets: int = BUCKETS) -> bytes:
     """Elements by bucket: bytes, or 32-bit numbers where a bucket holds more than 255."""
-    counts = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+    counts = np.bincount((found % np.uint64(buckets)).astype(np.int64), minlength=buckets)
     return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
 
 
-def sketches(column: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(x, np.uint8 if len(x) == BUCKETS else "<u4") for x in column], dtype=np.uint32).reshape(-1, BUCKETS)
+def sketches(column: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
+    return np.array([np.frombuffer(x, np.uint8 if len(x) == buckets else "<u4") for x in column], dtype=np.uint32).reshape(-1, buckets)
 
 
 def _node(packed: bytes) -> int:
@@ -215,7 +215,7 @@ def lists_of(rows: DataFrame, percent: int) -> DataFrame:
                 members = digest(node[a:b])
                 if salt[a] < 0 and members in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 300_000:
                     seen.add(members)
                 keep[a:b], last[b - 1], middle_at[a:b] = True, True, (a + b) // 2
                 name[a:b] = _node(members) if salt[a] < 0 else h[a]
@@ -233,16 +233,16 @@ def lists_of(rows: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("list", "node").agg(F.first("n").alias("n"), F.min("after").alias("after"), F.min("middle").alias("middle"))
 
 
-def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, buckets: int = BUCKETS) -> DataFrame:
     """The pairs (u, v) whose sketches allow a link."""
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
     joined = pairs.join(side("u"), "u").join(side("v"), "v")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 20_000):
-                part = batch.slice(k, 20_000)
-                bound = np.minimum(sketches(part.column("s_u").to_pylist()), sketches(part.column("s_v").to_pylist())).sum(axis=1)
+            for k in range(0, batch.num_rows, 2_000):
+                part = batch.slice(k, 2_000)
+                bound = np.minimum(sketches(part.column("s_u").to_pylist(), buckets), sketches(part.column("s_v").to_pylist(), buckets)).sum(axis=1)
                 good = bound >= needed(part.column("n_u").to_numpy(), part.column("n_v").to_numpy(), percent)
                 yield part.select(["u", "v"]).filter(pa.array(good))
 
@@ -252,13 +252,19 @@ def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 def linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) that link, by the exact overlap of their whole texts.
 
-    Only the texts of the pairs' documents travel, once for each pair.
+    Texts are joined only to the pairs that a fine sketch of them allows.
     """
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "doc_id", "th"), "node")
     wanted = written(wanted, "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = documents.join(F.broadcast(wanted) if small else wanted, ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"])
+    texts = documents.join(sized(wanted), ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "texts")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batched(batches):
+            sets = shingle_sets(table.column("text").combine_chunks(), width)
+            yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks(), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch_of(x, FINE) for x in sets], pa.binary())], names=["node", "n", "sketch"])
+
+    pairs = written(bounded_pairs(pairs, texts.mapInArrow(draw, "node long, n long, sketch binary"), percent, FINE), "pairs")
     side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t_{name}"))
     joined = pairs.join(side("u"), "u").join(side("v"), "v")
 
@@ -349,8 +355,12 @@ def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75)
 
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """The documents whose id is their component's least, one row of each; documents with a
-    null id all stay."""
+    null id all stay. Columns are carried untouched."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
     groups = jaccard_components(documents, width, percent)
     gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    named = documents.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(documents.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where("doc_id is null"))
+    again = written(documents.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
+    stay = documents.join(sized(gone), "doc_id", "left_anti").select(*columns)
+    # few ids repeat, so only their rows are shuffled whole
+    single = stay.join(sized(again), "doc_id", "left_anti").select(*columns)
+    return single.unionByName(stay.join(sized(again), "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"]))
