@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch between Spark and Python.
+ARROW_BYTES = 4 << 20
 #: Tables of a few numbers a row are broadcast up to this many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,6 +51,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in Arrow batches of ARROW_BYTES at most, for this session.
+
+    Spark's own bound of 64 MB is large for whole texts: both sides of every task hold a
+    batch and what is made of it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def sized(rows: DataFrame) -> DataFrame:
     """A written table of a few numbers a row, to be broadcast only if it has BROADCAST_ROWS
     rows or fewer; a larger one is joined as Spark sees fit."""

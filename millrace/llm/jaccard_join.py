@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import sized, source_partitions, written
+from millrace.llm.common import bounded_batches, sized, source_partitions, written
 from millrace.llm.components import components
 from millrace.llm.runs import starts_of, whole_groups
 from millrace.llm.tokens import batched
@@ -320,6 +320,7 @@ def unlike_pairs(lists: DataFrame, grouped: DataFrame, nodes: DataFrame, percent
 
 def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, and ``copies_of``'s node."""
+    bounded_batches(documents.sparkSession)
     held = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     described = written(describe(held, width), "described")
     facts = described.where("h is null").select("doc_id", "th", "n", "node", "sketch")

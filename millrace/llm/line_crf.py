@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import written
+from millrace.llm.common import bounded_batches, written
 from millrace.llm.quality_rules import covered_words, per_text
 from millrace.llm.tokens import batched
 from millrace.llm.words import word_hashes, words
@@ -216,6 +216,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:
     """Fit on ``most`` labelled documents at most; their line features come to the driver."""
+    bounded_batches(documents.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     drawn = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most), "drawn")
     # bounded by ``most`` rows
@@ -241,6 +242,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS)
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     held = documents.select("doc_id", "text")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import written
+from millrace.llm.common import bounded_batches, written
 from millrace.llm.tokens import ENCODE_BYTES, batched, crc, encode, gather, tokenizer, vocabulary
 
 LENGTH, END = 2048, 1
@@ -84,6 +84,7 @@ def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, en
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and the ids themselves if asked for."""
     path = path or vocabulary()
+    bounded_batches(documents.sparkSession)
     rows = written(encoded(documents, path, end), "encoded")
     starts = rows.sparkSession.sparkContext.broadcast(bases(rows.select("part", "n")))
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

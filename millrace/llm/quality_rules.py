@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import bounded_batches
 from millrace.llm.tokens import batched
 from millrace.llm.words import mixed, rolling, word_hashes, words
 
@@ -141,6 +142,7 @@ def passes(texts: pa.Array, rules: tuple[Rule, ...], alive: np.ndarray | None =
 
 def estimate(documents: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS, seed: int = 7) -> dict[str, tuple[float, float]]:
     """Seconds and rejections of each rule, for a sample of ``rows`` rows in the mean."""
+    bounded_batches(documents.sparkSession)
     total = documents.count()
     sample = documents.select("text").sample(fraction=min(1.0, rows / max(1, total)), seed=seed)
 

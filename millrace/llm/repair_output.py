@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import source_partitions, written
+from millrace.llm.common import bounded_batches, source_partitions, written
 from millrace.llm.packing import with_end
 from millrace.llm.tokens import ENCODE_BYTES, batched, crc, encode, tokenizer, vocabulary
 
@@ -186,6 +186,7 @@ def write_shards(documents: DataFrame, path: str | None = None, end: int = END,
         if names:
             yield close()
 
+    bounded_batches(documents.sparkSession)
     held = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     dealt = held.repartitionByRange(source_partitions(held), F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
     return written(dealt.mapInArrow(read, "part long, shard long, before long, n long, data binary"), "shards")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 _UNSAFE = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}] "
 #: Texts are gathered to this many bytes for arrays over their words, and for encoding,
 #: where more texts at a time share more chunks.
-BATCH_BYTES, ENCODE_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, ENCODE_BYTES = 4 << 20, 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -84,7 +84,7 @@ def _encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
 class _Known:
     """Chunks that this process has encoded, with their ids; at most LIMIT, then no more are added."""
 
-    LIMIT = 1_500_000
+    LIMIT = 1_000_000
 
     def __init__(self) -> None:
         self.words = pa.array([], pa.large_string())
@@ -163,6 +163,9 @@ def batched(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = B
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    # idle workers would keep what Arrow has freed
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def crc(ids: np.ndarray) -> int:
