@@ -116,7 +116,9 @@ def mix(documents: DataFrame, carry: list[str] | None = None, seed: int = 202401
     edge = ranked.join(state, "skey").where("rank >= low and rank < high")
     edge = edge.groupBy("skey", "rank", "tie", "size").agg(F.count("*").alias("copies"), F.first("missing").alias("missing"), F.first("base").alias("base"))
     chosen = written(edge.groupBy("skey").applyInPandas(walked, "skey string, rank long, tie long"), "chosen")
-    joined = keyed.join(plan.join(state.select("skey", "low", "high"), "skey", "left").select("skey", "source_size", "target", "whole", "mean", "low", "high"), "skey")
+    # written, so that Spark knows how small it is and need not shuffle the texts to meet it
+    bounds = written(plan.join(state.select("skey", "low", "high"), "skey", "left").select("skey", "source_size", "target", "whole", "mean", "low", "high"), "bounds")
+    joined = keyed.join(bounds, "skey")
     joined = joined.withColumn("rank", F.when(F.col("size") > 0, rank))
     joined = joined.join(sized(chosen).withColumn("hit", F.lit(1)), ["skey", "rank", "tie"], "left")
     extra = F.when(F.coalesce(F.col("rank") < F.col("low"), F.lit(False)), 1).otherwise(F.coalesce("hit", F.lit(0)))
