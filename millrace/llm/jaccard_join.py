@@ -12,20 +12,27 @@ reach the threshold only if they share c(a, b) elements (6/7 of their mean size
   decides the length of lists only, never the result.
 * the boundary is the size at which the two ways' costs over the sizes at hand are least.
 
-Equal sets are one node from the start. Lists with the same members are one list. What
-is asked for are connected components, so a pair already connected needs no look:
+Equal sets are one node from the start. Lists with the same members are one list.
+Components come first, and for these a pair already connected needs no look:
 
 1. in each list, every set is held against the next by size and against the list's
    middle, and what links is formed to components;
 2. lists that still hold several components are compared in full, in pairs of blocks,
    between unlike components only. A sketch (elements by bucket) bounds each pair's
-   overlap from above; pairs that might reach the threshold are verified exactly.
+   overlap from above; pairs that might reach the threshold are verified exactly;
+3. every link now lies inside a component, so all pairs of distinct sets inside each are
+   counted exactly, in pairs of blocks, where a set travels once for each block and not
+   for each pair. Links are summed in the tasks, or given as pairs, each once.
 
 No pair is dropped unless its bound, or its exact count, says that it doesn't link.
+``one_of_each`` needs the components alone and leaves step 3 out.
+
+``n_links`` counts the other rows that a row's text links with, those of equal sets among
+them; repeated rows count as often as they are there.
 
 Null or empty texts, and those without words, are linked with nothing. Rows with a null
-doc_id link with nothing and have a null component. Rows of one doc_id count as one
-document with several texts. Only doc_id and text are read.
+doc_id link with nothing, have a null component and no links. Rows of one doc_id count as
+one document with several texts. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -55,6 +62,8 @@ BLOCK = 256
 #: Buckets of the sketches in lists, and of the finer ones that pairs are held against
 #: before their texts travel.
 BUCKETS, FINE = 256, 2048
+#: Sets and elements of a block in which the sets of one component are counted.
+MOST_SETS, MOST_ELEMENTS = 1024, 1_000_000
 #: Light sets have at most this many elements; a candidate costs as much as so many rows.
 MOST_LIGHT, PAIR_COST = 12, 4
 
@@ -318,8 +327,98 @@ def unlike_pairs(lists: DataFrame, grouped: DataFrame, nodes: DataFrame, percent
     return dealt.mapInArrow(read, "u long, v long").distinct()
 
 
-def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, and ``copies_of``'s node."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shared elements of each set on the left with each on the right.
+
+    Elements that many sets hold are counted by matrix products, the others by their
+    holders' pairs, as is cheaper.
+    """
+    shared = np.zeros((len(left), len(right)), np.float32)
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    known, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    rows = [np.repeat(np.arange(len(k)), k) for k in sizes]
+    at = [at[: len(rows[0])], at[len(rows[0]) :]]
+    held = [np.bincount(x, minlength=len(known)) for x in at]
+    many = 256 * held[0] * held[1] >= len(left) * len(right)
+    place = np.cumsum(many) - 1
+    dense = [(r[many[x]], place[x[many[x]]]) for r, x in zip(rows, at)]
+    for k in range(0, int(many.sum()), 4096):
+        pair = []
+        for (r, x), side in zip(dense, (left, right)):
+            cut = (x >= k) & (x < k + 4096)
+            held_by = np.zeros((len(side), 4096), np.float32)
+            held_by[r[cut], x[cut] - k] = 1
+            pair.append(held_by)
+        shared += pair[0] @ pair[1].T
+    # each remaining element on the left meets its holders on the right, which lie together
+    few = ~many & (held[0] > 0) & (held[1] > 0)
+    r, x = rows[0][few[at[0]]], at[0][few[at[0]]]
+    order = np.argsort(at[1], kind="stable")
+    starts, by_element = np.cumsum(held[1]) - held[1], rows[1][order]
+    edges = np.searchsorted(np.cumsum(held[1][x]), np.arange(0, int(held[1][x].sum()) + 1_000_000, 1_000_000))
+    for a, b in zip(edges[:-1].tolist(), [*edges[1:-1].tolist(), len(x)]):
+        count = held[1][x[a:b]]
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        np.add.at(shared, (np.repeat(r[a:b], count), by_element[np.repeat(starts[x[a:b]], count) + step]), 1)
+    return shared
+
+
+def links_inside(grouped: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int, pairs: bool = False) -> DataFrame:
+    """(node, links) from each pair of blocks of a component, links counting the copies of
+    the unlike sets that node links with there; or all linked pairs (u, v), each once."""
+    members = grouped.join(nodes.select("node", "doc_id", "th", "copies", "n"), "node")
+    totals = grouped.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / MOST_SETS), F.ceil(F.sum("n") / MOST_ELEMENTS)).cast("int").alias("blocks"))
+    wanted = written(members.join(totals, "component").drop("n"), "members")
+    texts = documents.join(sized(wanted), ["doc_id", "th"]).select("node", "component", "copies", "blocks", "text").dropDuplicates(["node"])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batched(batches):
+            packed = [x.tobytes() for x in shingle_sets(table.column("text").combine_chunks(), width)]
+            yield from table.drop_columns(["text"]).append_column("elements", pa.array(packed, pa.binary())).to_batches()
+
+    rows = texts.mapInArrow(draw, "node long, component long, copies long, blocks int, elements binary")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "copies", "elements")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["component", "b1", "b2"]
+        for table in whole_groups(batches, keys, 1):
+            cols = {k: table.column(k).to_numpy() for k in [*keys, "own", "node", "copies"]}
+            packed = table.column("elements")
+            edges = starts_of(*(cols[k] for k in keys))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own, b1, b2 = cols["own"][a:b], cols["b1"][a], cols["b2"][a]
+                left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
+                if not len(left) or not len(right):
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in packed.slice(a, b - a).to_pylist()]
+                n = np.array([len(x) for x in sets], np.int64)
+                both = overlaps([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+                links = (100 + percent) * both >= percent * np.add.outer(n[left], n[right])
+                if b1 == b2:
+                    links = np.triu(links, 1)
+                i, j = np.nonzero(links)
+                i, j = left[i], right[j]
+                node, copies = cols["node"][a:b], cols["copies"][a:b]
+                if pairs:
+                    found = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]
+                else:
+                    summed = np.zeros(b - a, np.int64)
+                    np.add.at(summed, i, copies[j])
+                    np.add.at(summed, j, copies[i])
+                    found = [node[summed > 0], summed[summed > 0]]
+                for k in range(0, len(found[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in found], names=names)
+
+    names = ["u", "v"] if pairs else ["node", "links"]
+    dealt = rows.repartition(source_partitions(rows), "component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
+    return dealt.mapInArrow(read, f"{names[0]} long, {names[1]} long")
+
+
+def linked_nodes(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The usable documents with the hash of their text (th), the facts of all (doc_id, th,
+    n, node), the nodes, and links (u, v) enough to connect each component."""
     bounded_batches(documents.sparkSession)
     held = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     described = written(describe(held, width), "described")
@@ -343,22 +442,43 @@ def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75)
     grouped = written(components(near), "grouped")
     rest = written(unlike_pairs(lists, grouped, nodes, percent), "rest")
     more = written(linked(rest, nodes, usable, width, percent), "more")
-    final = components(near.unionByName(more))
+    return usable, facts, nodes, near.unionByName(more)
+
+
+def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75, with_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every document; n_links is null if
+    it isn't asked for."""
+    usable, facts, nodes, edges = linked_nodes(documents, width, percent)
+    final = written(components(edges), "components")
+    links = final.select("node", F.lit(None).cast("bigint").alias("links"))
+    if with_links:
+        links = links_inside(final, nodes, usable, width, percent).groupBy("node").agg(F.sum("links").alias("links"))
     # the least id of each component; nodes on no link and without copies need no row
     rooted = nodes.join(final, "node", "left").select("node", "doc_id", "copies", "component", F.coalesce("component", "node").alias("root"))
     rooted = rooted.where("copies > 1 or component is not null")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = written(rooted.join(least, "root").select("node", "component_id"), "names")
+    others = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    names = written(rooted.join(least, "root").join(links, "node", "left").select("node", "component_id", others), "names")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    n_links = F.when(F.col("doc_id").isNotNull() & F.lit(with_links), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0) if with_links else F.lit(None)).cast("bigint")
     rows = facts.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), n_links.alias("n_links"))
+
+
+def jaccard_links(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """(u_id, v_id) of every linked pair of unlike sets, each pair once; a set is named by
+    the least id that has it."""
+    usable, _, nodes, edges = linked_nodes(documents, width, percent)
+    found = links_inside(written(components(edges), "components"), nodes, usable, width, percent, pairs=True)
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("doc_id").alias(f"{name}_id"))
+    return found.join(side("u"), "u").join(side("v"), "v").select(F.least("u_id", "v_id").alias("u_id"), F.greatest("u_id", "v_id").alias("v_id"))
 
 
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """The documents whose id is their component's least, one row of each; documents with a
     null id all stay. Columns are carried untouched."""
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    groups = jaccard_components(documents, width, percent)
+    groups = jaccard_components(documents, width, percent, with_links=False)
     gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     again = written(documents.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
     stay = documents.join(sized(gone), "doc_id", "left_anti").select(*columns)

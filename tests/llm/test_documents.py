@@ -297,6 +297,33 @@ def test_jaccard_of_small_and_edited_texts(spark, monkeypatch, block):
     assert 12 < len(set(want.values())) < len(rows)
 
 
+@pytest.mark.parametrize("most_sets", [3, 1024])
+def test_jaccard_counts_every_link_inside_a_group(spark, monkeypatch, most_sets):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(jaccard_join, "MOST_SETS", most_sets)
+    base = [f"w{x}" for x in range(60)]
+    rows = [(k, " ".join([*base[: 60 - k % 5], *(f"x{rng.integers(0, 50)}" for _ in range(int(rng.integers(0, 6))))])) for k in range(24)]
+    rows += [(30, rows[3][1]), (31, rows[3][1]), (32, None), (33, "lone words that no other text has at all"), (None, rows[3][1])]
+    sets = [(i, brute.shingles(t)) for i, t in rows if i is not None]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: sum(i != j and near(a, b) for j, b in sets) for i, a in sets}
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_components(documents).collect()}
+    assert got == want | {None: 0}
+    once = {frozenset(a): i for i, a in reversed(sets) if a}
+    pairs = sorted((min(i, j), max(i, j)) for a, i in once.items() for b, j in once.items() if i < j and near(a, b))
+    assert sorted(map(tuple, jaccard_join.jaccard_links(documents).collect())) == pairs
+    assert len(pairs) > 2 * len(once)
+
+
+def test_overlaps_are_those_of_all_pairs():
+    rng = np.random.default_rng(2)
+    for n, high in ((3, 40), (40, 60), (70, 5000)):
+        sides = [[np.unique(rng.integers(0, high, int(rng.integers(1, 50)), dtype=np.uint64)) for _ in range(n)] for _ in range(2)]
+        want = [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+        assert jaccard_join.overlaps(*sides).tolist() == want
+
+
 def test_every_linking_pair_meets_in_a_list_at_any_boundary():
     rng = np.random.default_rng(9)
     none = np.zeros(0, np.uint64)
