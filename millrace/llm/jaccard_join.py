@@ -445,14 +445,15 @@ def linked_nodes(documents: DataFrame, width: int, percent: int) -> tuple[DataFr
     return usable, facts, nodes, near.unionByName(more)
 
 
-def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75, with_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every document; n_links is null if
-    it isn't asked for."""
+def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every document."""
     usable, facts, nodes, edges = linked_nodes(documents, width, percent)
-    final = written(components(edges), "components")
-    links = final.select("node", F.lit(None).cast("bigint").alias("links"))
-    if with_links:
-        links = links_inside(final, nodes, usable, width, percent).groupBy("node").agg(F.sum("links").alias("links"))
+    # ids of several texts: the sets of each are connected, and rows without words go with them
+    known = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most"), (F.count("*") - F.count("node")).alias("bare"))
+    several = written(known.where("least <> most or (least is not null and bare > 0)").select("doc_id", "least"), "several")
+    same_id = facts.join(sized(several), "doc_id").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    final = written(components(edges.unionByName(same_id)), "components")
+    links = links_inside(final, nodes, usable, width, percent).groupBy("node").agg(F.sum("links").alias("links"))
     # the least id of each component; nodes on no link and without copies need no row
     rooted = nodes.join(final, "node", "left").select("node", "doc_id", "copies", "component", F.coalesce("component", "node").alias("root"))
     rooted = rooted.where("copies > 1 or component is not null")
@@ -460,9 +461,9 @@ def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75,
     others = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     names = written(rooted.join(least, "root").join(links, "node", "left").select("node", "component_id", others), "names")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    n_links = F.when(F.col("doc_id").isNotNull() & F.lit(with_links), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0) if with_links else F.lit(None)).cast("bigint")
-    rows = facts.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, "node", "left")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), n_links.alias("n_links"))
+    n_links = F.when(F.col("doc_id").isNotNull() & F.col("own").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint")
+    rows = facts.join(sized(several), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("own"), F.coalesce("node", "least").alias("node"))
+    return rows.join(names, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), n_links.alias("n_links"))
 
 
 def jaccard_links(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -475,13 +476,24 @@ def jaccard_links(documents: DataFrame, width: int = 5, percent: int = 75) -> Da
 
 
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The documents whose id is their component's least, one row of each; documents with a
-    null id all stay. Columns are carried untouched."""
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    groups = jaccard_components(documents, width, percent, with_links=False)
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    again = written(documents.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
-    stay = documents.join(sized(gone), "doc_id", "left_anti").select(*columns)
-    # few ids repeat, so only their rows are shuffled whole
-    single = stay.join(sized(again), "doc_id", "left_anti").select(*columns)
-    return single.unionByName(stay.join(sized(again), "doc_id", "left_semi").select(*columns).dropDuplicates(["doc_id"]))
+    """One row of each group of linked texts, that of the least id; documents with a null
+    id all stay, and so does one row of each id and text that links with nothing. An id
+    with unlike texts is in several groups and may stay with some of them. Columns are
+    carried untouched."""
+    _, facts, nodes, edges = linked_nodes(documents, width, percent)
+    rooted = nodes.join(components(edges), "node", "left").where("copies > 1 or component is not null")
+    rooted = rooted.select("node", "doc_id", "th", F.coalesce("component", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("stays"))
+    names = written(rooted.select("node", "root").join(least, "root").select("node", "stays"), "names")
+    given = facts.where("doc_id is not null").select("doc_id", "th", "node")
+    named = given.join(names, "node").where(F.struct("doc_id", "th") != F.col("stays"))
+    pair = lambda rows: rows.select(F.col("doc_id").alias("its_id"), F.col("th").alias("its_th"))
+    gone = sized(written(pair(named).distinct(), "gone"))
+    again = sized(written(pair(given.groupBy("doc_id", "th").count().where("count > 1")), "again"))
+
+    def met(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        return rows.join(others, (rows["doc_id"] == others["its_id"]) & (F.xxhash64(rows["text"]) == others["its_th"]), how)
+
+    stay = met(documents, gone, "left_anti")
+    # few rows repeat, so only these are shuffled whole
+    return met(stay, again, "left_anti").unionByName(met(stay, again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -316,6 +316,18 @@ def test_jaccard_counts_every_link_inside_a_group(spark, monkeypatch, most_sets)
     assert len(pairs) > 2 * len(once)
 
 
+def test_jaccard_of_ids_with_unlike_texts(spark):
+    one, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, one + " end"), (5, one), (5, other), (5, None), (7, other + " end"), (8, "x y"), (8, "u v"), (8, "u v"), (9, None), (9, "")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(documents).collect()
+    want = groups_of(rows)
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+    assert sorted((r.doc_id, r.n_links) for r in got) == [(1, 1), (5, 0), (5, 1), (5, 1), (7, 1), (8, 0), (8, 1), (8, 1), (9, 0), (9, 0)]
+    kept = Counter(map(tuple, jaccard_join.one_of_each(documents).collect()))
+    assert kept == Counter([rows[0], rows[2], rows[3], rows[5], rows[6], rows[8], rows[9]])
+
+
 def test_overlaps_are_those_of_all_pairs():
     rng = np.random.default_rng(2)
     for n, high in ((3, 40), (40, 60), (70, 5000)):
