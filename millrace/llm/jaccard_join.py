@@ -7,19 +7,24 @@ reach the threshold only if they share c(a, b) elements (6/7 of their mean size
   up to the boundary may need. Two such sets link only if they meet in a subset.
 * heavy: a larger set, and a smaller one that a larger may link with, enters the inverted
   lists of its prefix: all but the last ``least * size`` elements in one common order.
-  Two sets that link share an element of both prefixes. The order puts elements that many
-  sets hold last, so that shared passages and set phrases stay out of the lists. The order
-  decides the length of lists only, never the result.
+  Two sets that link share an element at places of at most a - c and b - c of that order.
+  Elements that many sets hold come last, so that shared passages and set phrases stay
+  out of the lists. The order decides the length of lists only, never the result.
 * the boundary is the size at which the two ways' costs over the sizes at hand are least.
 
-Equal sets are one node from the start. Lists with the same members are one list.
-Components come first, and for these a pair already connected needs no look:
+Equal sets are one node from the start. A list keeps a set only if another of its sets
+fits it in size and place; lists with the same members are one list.
+
+Sets are dealt to blocks, those of one long list together. A pair of sets that a sketch
+(elements by bucket, the more the larger the set) can't tell apart marks its pair of
+blocks and both sets in it. In each marked pair of blocks the marked sets are then
+compared exactly, and the task returns each set's least linked set, never its pairs. So
+what is written grows with the sets and blocks, not with the square of a group.
 
 1. in each list, every set is held against the next by size and against the list's
    middle, and what links is formed to components;
-2. lists that still hold several components are compared in full, in pairs of blocks,
-   between unlike components only. A sketch (elements by bucket) bounds each pair's
-   overlap from above; pairs that might reach the threshold are verified exactly;
+2. lists that still hold several components are looked through in full, in pairs of
+   blocks, for pairs of unlike components that the sketches let pass;
 3. every link now lies inside a component, so all pairs of distinct sets inside each are
    counted exactly, in pairs of blocks, where a set travels once for each block and not
    for each pair. Links are summed in the tasks, or given as pairs, each once.
@@ -32,7 +37,9 @@ them; repeated rows count as often as they are there.
 
 Null or empty texts, and those without words, are linked with nothing. Rows with a null
 doc_id link with nothing, have a null component and no links. Rows of one doc_id count as
-one document with several texts. Only doc_id and text are read.
+one document with several texts. Very long texts are read whole; a set too large for a
+block is a block of its own. An empty table gives an empty result. Where sizes tie, order
+is by the sets' hashes, and no result depends on it. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -49,21 +56,22 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import bounded_batches, sized, source_partitions, written
 from millrace.llm.components import components
-from millrace.llm.runs import starts_of, whole_groups
+from millrace.llm.runs import cut_groups, starts_of, whole_groups
 from millrace.llm.tokens import batched
 from millrace.llm.words import digest, mixed, shingle_sets
 
-#: An element is put late in the order if tasks that met it MET times or more in one batch
-#: sum up to COMMON; the COMMONEST of them at most. All of it is a matter of speed only.
-MET, COMMON, COMMONEST = 3, 8, 200_000
-#: Lists of an element held by more sets are dealt to several tasks.
+#: Elements are counted over every SAMPLED-th distinct set of the whole table; those that
+#: so many of these hold come late in the order, the COMMONEST of them at most. All of it
+#: is a matter of speed only.
+SAMPLED, MET, COMMONEST = 32, 4, 200_000
+#: Lists of an element held by more sets, as counted so, are dealt to several tasks.
 LONG_LIST = 50_000
-BLOCK = 256
-#: Buckets of the sketches in lists, and of the finer ones that pairs are held against
-#: before their texts travel.
-BUCKETS, FINE = 256, 2048
-#: Sets and elements of a block in which the sets of one component are counted.
-MOST_SETS, MOST_ELEMENTS = 1024, 1_000_000
+#: Sets of a list that are looked at together.
+BLOCK = 1024
+#: Sketches have a power of two of buckets: LEAST_BUCKETS, or a quarter of the elements.
+LEAST_BUCKETS = 64
+#: Sets and elements of a block that is compared exactly.
+MOST_SETS, MOST_ELEMENTS = 1024, 500_000
 #: Light sets have at most this many elements; a candidate costs as much as so many rows.
 MOST_LIGHT, PAIR_COST = 12, 4
 
@@ -73,6 +81,11 @@ def needed(a, b, percent: int = 75):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def near(a, b, percent: int = 75):
+    """Whether sets of a and b elements may link."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
 def prefix_length(n: int, percent: int = 75) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -110,29 +123,60 @@ def boundary_by_cost(sizes: dict[int, int], percent: int = 75) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
-def keys_of(found: np.ndarray, common: np.ndarray, weight: np.ndarray, boundary: int, percent: int = 75) -> np.ndarray:
-    """The lists that a set (sorted hashes) enters."""
-    n, keys = len(found), []
+def keys_of(found: np.ndarray, common: np.ndarray, weight: np.ndarray, boundary: int, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
+    """The lists that a set (sorted hashes) enters, and its place in each: the element's
+    place in the order, 0 for subsets."""
+    n, keys, places = len(found), [found[:0]], [np.zeros(0, np.int64)]
     if n <= boundary:
         spread = mixed(found + np.uint64(0x9E3779B97F4A7C15))
-        keys += [mixed(spread[_picks(n, c)].sum(axis=1, dtype=np.uint64) + np.uint64(c)) for c in subset_sizes(n, boundary, percent)]
+        for c in subset_sizes(n, boundary, percent):
+            keys.append(mixed(spread[_picks(n, c)].sum(axis=1, dtype=np.uint64) + np.uint64(c)))
+            places.append(np.zeros(len(keys[-1]), np.int64))
     if n > boundary or 100 * n >= percent * (boundary + 1):
+        prefix = prefix_length(n, percent)
         late = np.zeros(n, np.int64)
         if len(common):
             at = np.minimum(np.searchsorted(common, found), len(common) - 1)
             late = np.where(common[at] == found, weight[at], 0)
-        keys.append(found[np.argsort(late, kind="stable")[: prefix_length(n, percent)]])
-    return np.concatenate(keys) if keys else found[:0]
+        keys.append(found[np.argsort(late, kind="stable")[:prefix]] if late.any() else found[:prefix])
+        places.append(np.arange(prefix))
+    return np.concatenate(keys), np.concatenate(places)
+
 
+def level_of(n: np.ndarray) -> np.ndarray:
+    """The power of two of a sketch's buckets, by the set's size."""
+    buckets = np.maximum(LEAST_BUCKETS, -(-np.asarray(n, np.int64) // 4))
+    return np.ceil(np.log2(buckets)).astype(np.int64)
 
-def sketch_of(found: np.ndarray, buckets: int = BUCKETS) -> bytes:
+
+def sketch_of(found: np.ndarray) -> bytes:
     """Elements by bucket: bytes, or 32-bit numbers where a bucket holds more than 255."""
-    counts = np.bincount((found % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+    buckets = 1 << int(level_of(len(found)))
+    counts = np.bincount((found & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
     return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
 
 
-def sketches(column: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
-    return np.array([np.frombuffer(x, np.uint8 if len(x) == buckets else "<u4") for x in column], dtype=np.uint32).reshape(-1, buckets)
+def folded(sketch: bytes, level: int, to: int) -> np.ndarray:
+    """A sketch of 2**level buckets, as it would be with 2**to."""
+    counts = np.frombuffer(sketch, np.uint8 if len(sketch) == 1 << level else "<u4")
+    return counts.reshape(-1, 1 << to).sum(axis=0, dtype=np.uint32)
+
+
+def bounds(sketch: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+    """The most elements that the sets i and j of each pair may share, by their sketches."""
+    levels, out = level_of(n), np.zeros(len(i), np.int64)
+    low = np.minimum(levels[i], levels[j])
+    for level in np.unique(low).tolist():
+        at = np.flatnonzero(low == level)
+        rows, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        drawn = np.stack([folded(sketch[r], int(levels[r]), level) for r in rows.tolist()])
+        if drawn.max() < 256:
+            drawn = drawn.astype(np.uint8)
+        left, right = place[: len(at)], place[len(at) :]
+        for k in range(0, len(at), max(1, step >> level)):
+            cut = slice(k, k + max(1, step >> level))
+            out[at[cut]] = np.minimum(drawn[left[cut]], drawn[right[cut]]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _node(packed: bytes) -> int:
@@ -141,17 +185,16 @@ def _node(packed: bytes) -> int:
 
 def describe(documents: DataFrame, width: int) -> DataFrame:
     """Two kinds of rows in one pass: for each document (doc_id, th, n, node, sketch), and
-    for what is common in a batch (h, met)."""
+    (h, met) for the elements of the sampled sets."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batched(batches):
             sets = shingle_sets(table.column("text").combine_chunks(), width)
             n = np.array([len(x) for x in sets], np.int64)
             packed = [digest(x) if len(x) else None for x in sets]
-            once = {p: x for p, x in zip(packed, sets) if p}
+            once = {p: x for p, x in zip(packed, sets) if p and _node(p) % SAMPLED == 0}
             h, met = np.unique(np.concatenate(list(once.values())), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = met >= MET
-            h, met = h[often].view(np.int64), met[often]
+            h = h.view(np.int64)
             k = len(sets)
             blank = lambda kind: pa.nulls(len(h), kind)
             yield pa.RecordBatch.from_arrays(
@@ -170,9 +213,13 @@ def describe(documents: DataFrame, width: int) -> DataFrame:
     return documents.mapInArrow(read, "doc_id long, th long, n long, node long, sketch binary, h long, met long")
 
 
+#: Size and place in one number, in this order; places are below 2**31.
+PLACE_BITS = 31
+
+
 def postings(documents: DataFrame, common: np.ndarray, weight: np.ndarray, boundary: int, width: int, percent: int) -> DataFrame:
-    """(h, salt, node, n): each distinct set of a batch in its lists. The lists of very
-    common elements are dealt out by salt; salt is -1 elsewhere."""
+    """(h, salt, node, at): each distinct set of a batch in its lists, ``at`` being its size
+    and its place. The lists of very common elements are dealt out by salt; salt is -1 elsewhere."""
     shared = documents.sparkSession.sparkContext.broadcast((common, weight))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,148 +230,154 @@ def postings(documents: DataFrame, common: np.ndarray, weight: np.ndarray, bound
             if not once:
                 continue
             keys = [keys_of(x, late, much, boundary, percent) for x in once.values()]
-            counts = [len(k) for k in keys]
-            h = np.concatenate(keys)
+            counts = [len(k) for k, _ in keys]
+            h = np.concatenate([k for k, _ in keys])
             node = np.repeat(np.array([_node(p) for p in once], np.int64), counts)
-            n = np.repeat(np.array([len(x) for x in once.values()], np.int32), counts)
+            at = np.repeat(np.array([len(x) for x in once.values()], np.int64), counts) << PLACE_BITS
+            at |= np.concatenate([p for _, p in keys])
             salt = np.full(len(h), -1, np.int32)
             if len(long_ones):
-                at = np.minimum(np.searchsorted(long_ones, h), len(long_ones) - 1)
-                is_long = long_ones[at] == h
-                salt[is_long] = (node[is_long] % pieces[at[is_long]]).astype(np.int32)
+                found = np.minimum(np.searchsorted(long_ones, h), len(long_ones) - 1)
+                is_long = long_ones[found] == h
+                salt[is_long] = (node[is_long] % pieces[found[is_long]]).astype(np.int32)
             for k in range(0, len(h), 200_000):
                 cut = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(salt[cut]), pa.array(node[cut]), pa.array(n[cut])], names=["h", "salt", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(salt[cut]), pa.array(node[cut]), pa.array(at[cut])], names=["h", "salt", "node", "at"])
+
+    return documents.mapInArrow(read, "h long, salt int, node long, at long")
+
 
-    return documents.mapInArrow(read, "h long, salt int, node long, n int")
+def _upto(flag: np.ndarray) -> np.ndarray:
+    """The last position before each, within the array, where ``flag`` holds; -1 if none."""
+    at = np.where(flag, np.arange(len(flag)), -1)
+    return np.append(-1, np.maximum.accumulate(at)[:-1]) if len(flag) else at
 
 
 def lists_of(rows: DataFrame, percent: int) -> DataFrame:
-    """(list, node, n, after, middle): lists of two members or more, each set of members once.
+    """(list, node, n, place, after, middle): the lists, each set of members once.
 
-    ``after`` is the next member by size and ``middle`` the list's middle member, if their
-    sizes allow a link.
+    Of two sets the smaller must hold the element in the part of its prefix that sets of
+    its own size or larger need. Sets without a partner for which this holds, and whose
+    size allows a link, are left out. ``after`` is the next set by size and ``middle`` the
+    list's middle one, if their sizes allow a link. A list of any length passes through in
+    pieces; a list in several pieces, or with a salt, keeps all its sets.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for table in whole_groups(batches, ["h", "salt"]):
-            h, salt, node, n = (table.column(k).to_numpy() for k in ("h", "salt", "node", "n"))
+        for table, in_pieces in cut_groups(batches, ["h", "salt"]):
+            h, salt, node, at = (table.column(k).to_numpy() for k in ("h", "salt", "node", "at"))
             fresh = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1]))
-            h, salt, node, n = h[fresh], salt[fresh], node[fresh], n[fresh].astype(np.int64)
+            h, salt, node, at = h[fresh], salt[fresh], node[fresh], at[fresh]
+            n, place = at >> PLACE_BITS, at & ((1 << PLACE_BITS) - 1)
+            whole = (salt < 0) & (not in_pieces)
             edges = starts_of(h, salt)
-            keep = np.zeros(len(h), bool)
-            name = np.zeros(len(h), np.int64)
-            near = lambda a, b: 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-            middle_at = np.zeros(len(h), np.int64)
-            last = np.zeros(len(h), bool)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if b - a < 2 and salt[a] < 0:
-                    continue
-                members = digest(node[a:b])
-                if salt[a] < 0 and members in seen:
-                    continue
-                if len(seen) < 300_000:
-                    seen.add(members)
-                keep[a:b], last[b - 1], middle_at[a:b] = True, True, (a + b) // 2
-                name[a:b] = _node(members) if salt[a] < 0 else h[a]
+            lead = place <= n - needed(n, n, percent)
+            before = _upto(lead)
+            first = np.repeat(edges[:-1], np.diff(edges))
+            served = (before >= first) & near(n, n[before], percent)
+            follows = np.append(first[1:] == first[:-1], False)
+            serves = lead & follows & near(n, np.append(n[1:], 0), percent)
+            keep = served | serves | ~whole
             if not keep.any():
                 continue
-            after, after_n = np.append(node[1:], 0), np.append(n[1:], 0)
-            no_after = last | ~near(n, after_n)
+            h, node, n, place, whole, first = h[keep], node[keep], n[keep], place[keep], whole[keep], first[keep]
+            edges = starts_of(first)
+            length = np.diff(edges)
+            # clashing names would only make one list of two
+            names = mixed(np.add.reduceat(mixed(node.view(np.uint64)), edges[:-1]) + length.astype(np.uint64)).view(np.int64)
+            name = np.where(whole, np.repeat(names, length), h)
+            after = np.append(node[1:], 0)
+            follows = np.append(first[1:] == first[:-1], False) & near(n, np.append(n[1:], 0), percent)
+            middle_at = np.repeat(edges[:-1] + length // 2, length)
             middle = node[middle_at]
-            no_middle = ~near(n, n[middle_at]) | (middle == node)
-            arrays = [pa.array(name[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(after[keep], mask=no_after[keep]), pa.array(middle[keep], mask=no_middle[keep])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["list", "node", "n", "after", "middle"])
+            has_middle = near(n, n[middle_at], percent) & (middle != node)
+            arrays = [pa.array(name), pa.array(node), pa.array(n), pa.array(place), pa.array(after, mask=~follows), pa.array(middle, mask=~has_middle)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["list", "node", "n", "place", "after", "middle"])
 
-    dealt = rows.repartition(source_partitions(rows), "h", "salt").sortWithinPartitions("h", "salt", "n", "node")
-    found = dealt.mapInArrow(read, "list long, node long, n long, after long, middle long")
-    return found.groupBy("list", "node").agg(F.first("n").alias("n"), F.min("after").alias("after"), F.min("middle").alias("middle"))
+    dealt = rows.repartition(source_partitions(rows), "h", "salt").sortWithinPartitions("h", "salt", "at", "node")
+    found = dealt.mapInArrow(read, "list long, node long, n long, place long, after long, middle long")
+    return found.groupBy("list", "node").agg(F.first("n").alias("n"), F.min("place").alias("place"), F.min("after").alias("after"), F.min("middle").alias("middle"))
 
 
-def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int, buckets: int = BUCKETS) -> DataFrame:
-    """The pairs (u, v) whose sketches allow a link."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
-    joined = pairs.join(side("u"), "u").join(side("v"), "v")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2_000):
-                part = batch.slice(k, 2_000)
-                bound = np.minimum(sketches(part.column("s_u").to_pylist(), buckets), sketches(part.column("s_v").to_pylist(), buckets)).sum(axis=1)
-                good = bound >= needed(part.column("n_u").to_numpy(), part.column("n_v").to_numpy(), percent)
-                yield part.select(["u", "v"]).filter(pa.array(good))
+def block_of(lists: DataFrame) -> DataFrame:
+    """(node, block): sets of one long list share blocks of MOST_SETS sets and MOST_ELEMENTS elements."""
+    parts = F.greatest(F.ceil(F.count("*") / MOST_SETS), F.ceil(F.sum("n") / MOST_ELEMENTS)).alias("parts")
+    sizes = lists.groupBy("list").agg(F.count("*").alias("members"), parts)
+    longest = lists.select("list", "node").join(sizes, "list").groupBy("node").agg(F.max(F.struct("members", "list", "parts")).alias("m"))
+    return longest.select("node", F.xxhash64("m.list", F.pmod(F.xxhash64("node"), F.col("m.parts"))).alias("block"))
 
-    return joined.mapInArrow(read, "u long, v long")
 
-
-def linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that link, by the exact overlap of their whole texts.
-
-    Texts are joined only to the pairs that a fine sketch of them allows.
-    """
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "doc_id", "th"), "node")
-    wanted = written(wanted, "wanted")
-    texts = documents.join(sized(wanted), ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"])
-    texts = written(texts, "texts")
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batched(batches):
-            sets = shingle_sets(table.column("text").combine_chunks(), width)
-            yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks(), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch_of(x, FINE) for x in sets], pa.binary())], names=["node", "n", "sketch"])
-
-    pairs = written(bounded_pairs(pairs, texts.mapInArrow(draw, "node long, n long, sketch binary"), percent, FINE), "pairs")
-    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t_{name}"))
+def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(b1, b2, node) of the pairs (u, v) whose sketches allow a link, once each; ``nodes``
+    have their block."""
+    side = lambda name: nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "sketch", "block")))
     joined = pairs.join(side("u"), "u").join(side("v"), "v")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for table in batched(iter([batch]), "t_u"):
-                left, right = (shingle_sets(table.column(c).combine_chunks(), width) for c in ("t_u", "t_v"))
-                shared = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right)], np.int64)
-                total = np.array([len(a) + len(b) for a, b in zip(left, right)], np.int64)
-                yield from table.select(["u", "v"]).filter(pa.array(100 * shared >= percent * (total - shared))).to_batches()
+            u, v, n_u, n_v, b_u, b_v = (batch.column(c).to_numpy() for c in ("u", "v", "n_u", "n_v", "block_u", "block_v"))
+            k = batch.num_rows
+            most = bounds(batch.column("sketch_u").to_pylist() + batch.column("sketch_v").to_pylist(), np.concatenate([n_u, n_v]), np.arange(k), np.arange(k, 2 * k))
+            good = most >= needed(n_u, n_v, percent)
+            yield marked(u[good], v[good], b_u[good], b_v[good])
+
+    return joined.mapInArrow(read, "b1 long, b2 long, node long").distinct()
 
-    return joined.mapInArrow(read, "u long, v long")
+
+def marked(u: np.ndarray, v: np.ndarray, b_u: np.ndarray, b_v: np.ndarray) -> pa.RecordBatch:
+    """Both sets of each pair, in their pair of blocks, once."""
+    b1, b2 = np.tile(np.minimum(b_u, b_v), 2), np.tile(np.maximum(b_u, b_v), 2)
+    rows = np.stack([b1, b2, np.concatenate([u, v])])
+    rows = np.unique(rows, axis=1) if rows.size else rows
+    return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["b1", "b2", "node"])
 
 
 def unlike_pairs(lists: DataFrame, grouped: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of one list and unlike components whose sketches allow a link, once each."""
-    placed = lists.select("list", "node").join(grouped, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
+    """(b1, b2, node) of the pairs of one list, but of unlike components, whose sketches
+    allow a link, once each; ``nodes`` have their block."""
+    placed = lists.select("list", "node", "place").join(grouped, "node", "left").select("list", "node", "place", F.coalesce("component", "node").alias("component"))
     mixed_lists = placed.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b").select("list", "members")
     rows = placed.join(mixed_lists, "list").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
+    rows = rows.join(nodes.select("node", "n", "sketch", "block"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("list", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "n", "component", "sketch")
+    rows = rows.withColumn("other", other).select("list", F.least("own", "other").alias("p1"), F.greatest("own", "other").alias("p2"), "own", "node", "n", "place", "component", "block", "sketch")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["list", "b1", "b2"]
+        keys = ["list", "p1", "p2"]
         for table in whole_groups(batches, keys, 20_000):
-            cols = {k: table.column(k).to_numpy() for k in [*keys, "own", "node", "n", "component"]}
-            drawn = sketches(table.column("sketch").to_pylist())
+            cols = {k: table.column(k).to_numpy() for k in [*keys, "own", "node", "n", "place", "component", "block"]}
+            drawn = table.column("sketch").to_pylist()
             edges = starts_of(*(cols[k] for k in keys))
             found = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                own, part, n = cols["own"][a:b], cols["component"][a:b], cols["n"][a:b]
-                left, right = a + np.flatnonzero(own == cols["b1"][a]), a + np.flatnonzero(own == cols["b2"][a])
-                fits = part[left - a][:, None] != part[right - a][None, :]
-                fits &= 100 * np.minimum.outer(n[left - a], n[right - a]) >= percent * np.maximum.outer(n[left - a], n[right - a])
-                i, j = np.nonzero(fits)
-                i, j = left[i], right[j]
-                if cols["b1"][a] == cols["b2"][a]:
-                    i, j = i[i < j], j[i < j]
-                for k in range(0, len(i), 20_000):
-                    u, v = i[k : k + 20_000], j[k : k + 20_000]
-                    good = np.minimum(drawn[u], drawn[v]).sum(axis=1) >= needed(cols["n"][u], cols["n"][v], percent)
-                    if good.any():
-                        found.append(np.sort(np.stack([cols["node"][u[good]], cols["node"][v[good]]]), axis=0))
+                own = cols["own"][a:b]
+                left, right = a + np.flatnonzero(own == cols["p1"][a]), a + np.flatnonzero(own == cols["p2"][a])
+                for k in range(0, len(left), 256):
+                    i, j = left[k : k + 256, None], right[None, :]
+                    n_i, n_j = cols["n"][i], cols["n"][j]
+                    fits = (cols["component"][i] != cols["component"][j]) & near(n_i, n_j, percent)
+                    least = needed(n_i, n_j, percent)
+                    fits &= (cols["place"][i] <= n_i - least) & (cols["place"][j] <= n_j - least)
+                    if cols["p1"][a] == cols["p2"][a]:
+                        fits &= i < j
+                    x, y = np.nonzero(fits)
+                    if len(x):
+                        found.append(np.stack([left[k : k + 256][x], right[y]]))
+                if sum(f.shape[1] for f in found) > 500_000:
+                    yield kept(cols, drawn, found)
+                    found = []
             if found:
-                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+                yield kept(cols, drawn, found)
 
-    dealt = rows.repartition(source_partitions(rows), "list", "b1", "b2").sortWithinPartitions("list", "b1", "b2")
-    return dealt.mapInArrow(read, "u long, v long").distinct()
+    def kept(cols: dict[str, np.ndarray], drawn: list[bytes], found: list[np.ndarray]) -> pa.RecordBatch:
+        i, j = np.concatenate(found, axis=1)
+        good = bounds(drawn, cols["n"], i, j) >= needed(cols["n"][i], cols["n"][j], percent)
+        i, j = i[good], j[good]
+        return marked(cols["node"][i], cols["node"][j], cols["block"][i], cols["block"][j])
+
+    dealt = rows.repartition(source_partitions(rows), "list", "p1", "p2").sortWithinPartitions("list", "p1", "p2")
+    return dealt.mapInArrow(read, "b1 long, b2 long, node long").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -346,7 +399,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         pair = []
         for (r, x), side in zip(dense, (left, right)):
             cut = (x >= k) & (x < k + 4096)
-            held_by = np.zeros((len(side), 4096), np.float32)
+            held_by = np.zeros((len(side), min(4096, int(many.sum()) - k)), np.float32)
             held_by[r[cut], x[cut] - k] = 1
             pair.append(held_by)
         shared += pair[0] @ pair[1].T
@@ -359,61 +412,117 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     for a, b in zip(edges[:-1].tolist(), [*edges[1:-1].tolist(), len(x)]):
         count = held[1][x[a:b]]
         step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        np.add.at(shared, (np.repeat(r[a:b], count), by_element[np.repeat(starts[x[a:b]], count) + step]), 1)
+        cell = np.repeat(r[a:b] * len(right), count) + by_element[np.repeat(starts[x[a:b]], count) + step]
+        shared += np.bincount(cell, minlength=shared.size).reshape(shared.shape)
     return shared
 
 
-def links_inside(grouped: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int, pairs: bool = False) -> DataFrame:
-    """(node, links) from each pair of blocks of a component, links counting the copies of
-    the unlike sets that node links with there; or all linked pairs (u, v), each once."""
-    members = grouped.join(nodes.select("node", "doc_id", "th", "copies", "n"), "node")
-    totals = grouped.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / MOST_SETS), F.ceil(F.sum("n") / MOST_ELEMENTS)).cast("int").alias("blocks"))
-    wanted = written(members.join(totals, "component").drop("n"), "members")
-    texts = documents.join(sized(wanted), ["doc_id", "th"]).select("node", "component", "copies", "blocks", "text").dropDuplicates(["node"])
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batched(batches):
-            packed = [x.tobytes() for x in shingle_sets(table.column("text").combine_chunks(), width)]
-            yield from table.drop_columns(["text"]).append_column("elements", pa.array(packed, pa.binary())).to_batches()
+def block_links(sets: DataFrame, percent: int, answer, schema: str) -> DataFrame:
+    """``answer(node, copies, i, j)`` of the linked pairs i, j of each pair of blocks.
 
-    rows = texts.mapInArrow(draw, "node long, component long, copies long, blocks int, elements binary")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "copies", "elements")
+    ``sets`` has (g, b1, b2, own, node, copies, elements): the sets of each pair of blocks,
+    ``own`` being a set's own block of the two. A set may come several times.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["component", "b1", "b2"]
+        keys = ["g", "b1", "b2"]
         for table in whole_groups(batches, keys, 1):
             cols = {k: table.column(k).to_numpy() for k in [*keys, "own", "node", "copies"]}
             packed = table.column("elements")
             edges = starts_of(*(cols[k] for k in keys))
+            out: list[list[np.ndarray]] = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                own, b1, b2 = cols["own"][a:b], cols["b1"][a], cols["b2"][a]
-                left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
-                if not len(left) or not len(right):
+                # rows are sorted by node, so repeated sets lie together
+                rows = a + np.flatnonzero(np.append(True, np.diff(cols["node"][a:b]) != 0))
+                own = cols["own"][rows]
+                left, right = np.flatnonzero(own == cols["b1"][a]), np.flatnonzero(own == cols["b2"][a])
+                if len(rows) < 2 or not len(left) or not len(right):
                     continue
-                sets = [np.frombuffer(x, np.uint64) for x in packed.slice(a, b - a).to_pylist()]
+                sets = [np.frombuffer(packed[r].as_py(), np.uint64) for r in rows.tolist()]
                 n = np.array([len(x) for x in sets], np.int64)
                 both = overlaps([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
                 links = (100 + percent) * both >= percent * np.add.outer(n[left], n[right])
-                if b1 == b2:
+                if cols["b1"][a] == cols["b2"][a]:
                     links = np.triu(links, 1)
                 i, j = np.nonzero(links)
-                i, j = left[i], right[j]
-                node, copies = cols["node"][a:b], cols["copies"][a:b]
-                if pairs:
-                    found = [np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]
-                else:
-                    summed = np.zeros(b - a, np.int64)
-                    np.add.at(summed, i, copies[j])
-                    np.add.at(summed, j, copies[i])
-                    found = [node[summed > 0], summed[summed > 0]]
-                for k in range(0, len(found[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in found], names=names)
-
-    names = ["u", "v"] if pairs else ["node", "links"]
-    dealt = rows.repartition(source_partitions(rows), "component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
-    return dealt.mapInArrow(read, f"{names[0]} long, {names[1]} long")
+                if len(i):
+                    out.append(answer(cols["node"][rows], cols["copies"][rows], left[i], right[j]))
+                if sum(len(c[0]) for c in out) > 100_000:
+                    yield from batches_of(out)
+                    out = []
+            if out:
+                yield from batches_of(out)
+
+    def batches_of(out: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        found = [np.concatenate(c) for c in zip(*out)]
+        for k in range(0, len(found[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in found], names=names)
+
+    dealt = sets.repartition(source_partitions(sets), "g", "b1", "b2").sortWithinPartitions("g", "b1", "b2", "node")
+    return dealt.mapInArrow(read, schema)
+
+
+def least_linked(node: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """(u, v): each linked set with the least set that it reaches."""
+    root = node.copy()
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        if (low == root).all():
+            break
+        root = low
+    has = root != node
+    return [node[has], root[has]]
+
+
+def summed_links(node: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """(node, links): how many rows each set links with."""
+    links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+    return [node[links > 0], links[links > 0].astype(np.int64)]
+
+
+def linked_pairs(node: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """(u, v), each pair once."""
+    return [np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]
+
+
+def with_elements(wanted: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """``wanted`` (doc_id, th, own, ...) with the sets' elements in place of doc_id and th."""
+    carried = [c for c in wanted.columns if c not in ("doc_id", "th")]
+    rows = documents.join(sized(wanted), ["doc_id", "th"]).select(*carried, "text")
+    schema = rows.drop("text").withColumn("elements", F.lit("").cast("binary")).schema
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batched(batches):
+            packed = [x.tobytes() for x in shingle_sets(table.column("text").combine_chunks(), width)]
+            yield from table.drop_columns(["text"]).append_column("elements", pa.array(packed, pa.binary())).to_batches(max_chunksize=2_000)
+
+    return rows.mapInArrow(draw, schema)
+
+
+def forest(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v) that connect what links among the marked sets (b1, b2, node) of each pair of
+    blocks; the sets of a pair of blocks meet in one task."""
+    meets = pairs.groupBy("node").agg(F.collect_list(F.struct("b1", "b2")).alias("meets"))
+    wanted = written(meets.join(nodes.select("node", "doc_id", "th", "copies", F.col("block").alias("own")), "node"), "wanted")
+    sets = with_elements(wanted, documents, width).select(F.lit(0).alias("g"), F.explode("meets").alias("m"), "own", "node", "copies", "elements")
+    sets = sets.select("g", "m.b1", "m.b2", "own", "node", "copies", "elements")
+    return block_links(sets, percent, least_linked, "u long, v long")
+
+
+def links_inside(grouped: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int, pairs: bool = False) -> DataFrame:
+    """(node, links) from each pair of blocks of a component, links counting the copies of
+    the unlike sets that node links with there; or all linked pairs (u, v), each once."""
+    members = grouped.join(nodes.select("node", "doc_id", "th", "copies", "n"), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / MOST_SETS), F.ceil(F.sum("n") / MOST_ELEMENTS)).cast("int")
+    totals = members.groupBy("component").agg(blocks.alias("blocks"))
+    wanted = members.join(totals, "component").select("doc_id", "th", "node", F.col("component").alias("g"), "copies", "blocks")
+    wanted = written(wanted.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    rows = with_elements(wanted, documents, width).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("g", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "copies", "elements")
+    return block_links(rows, percent, *((linked_pairs, "u long, v long") if pairs else (summed_links, "node long, links long")))
 
 
 def linked_nodes(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -423,11 +532,11 @@ def linked_nodes(documents: DataFrame, width: int, percent: int) -> tuple[DataFr
     held = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     described = written(describe(held, width), "described")
     facts = described.where("h is null").select("doc_id", "th", "n", "node", "sketch")
-    met = described.where("h is not null").groupBy("h").agg(F.sum("met").alias("met")).where(F.col("met") >= COMMON)
+    met = described.where("h is not null").groupBy("h").agg(F.sum("met").alias("met")).where(F.col("met") >= MET)
     common = met.orderBy(F.desc("met"), "h").limit(COMMONEST).toPandas()
     h = common["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    h, weight = h[order], common["met"].to_numpy(np.int64)[order]
+    h, weight = h[order], SAMPLED * common["met"].to_numpy(np.int64)[order]
     # a set's document: the least id, with the hash of its text
     sets = facts.where("node is not null and doc_id is not null")
     rep = F.min(F.struct("doc_id", "th"))
@@ -436,13 +545,13 @@ def linked_nodes(documents: DataFrame, width: int, percent: int) -> tuple[DataFr
     sizes = {r["n"]: r["count"] for r in nodes.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}
     usable = held.where("doc_id is not null")
     lists = written(lists_of(postings(usable, h, weight, boundary_by_cost(sizes, percent), width, percent), percent), "lists")
+    listed = written(nodes.join(block_of(lists), "node"), "listed")
     first = lists.select("node", F.explode(F.array_distinct(F.array_compact(F.array("after", "middle")))).alias("to"))
     first = first.select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
-    near = written(linked(written(bounded_pairs(first, nodes, percent), "first"), nodes, usable, width, percent), "near")
-    grouped = written(components(near), "grouped")
-    rest = written(unlike_pairs(lists, grouped, nodes, percent), "rest")
-    more = written(linked(rest, nodes, usable, width, percent), "more")
-    return usable, facts, nodes, near.unionByName(more)
+    close = written(forest(bounded_pairs(first, listed, percent), listed, usable, width, percent), "close")
+    grouped = written(components(close), "grouped")
+    more = written(forest(unlike_pairs(lists, grouped, listed, percent), listed, usable, width, percent), "more")
+    return usable, facts, nodes, close.unionByName(more)
 
 
 def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

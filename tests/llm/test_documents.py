@@ -348,8 +348,31 @@ def test_every_linking_pair_meets_in_a_list_at_any_boundary():
             common = np.sort(rng.permutation(a)[:3])
             for boundary in (0, 3, 7, 12):
                 for late, much in ((none, none.astype(np.int64)), (common, np.array([9, 8, 7][: len(common)]))):
-                    left, right = (set(jaccard_join.keys_of(x, late, much, boundary).tolist()) for x in (a, b))
-                    assert left & right
+                    left, right = (dict(zip(k.tolist(), p.tolist())) for k, p in (jaccard_join.keys_of(x, late, much, boundary) for x in (a, b)))
+                    least = jaccard_join.needed(len(a), len(b))
+                    assert any(left[k] <= len(a) - least and right[k] <= len(b) - least for k in left.keys() & right.keys())
+
+
+def test_jaccard_writes_no_pairs_of_a_group_just_below_the_threshold(spark, monkeypatch):
+    rows = [(k, " ".join([*(f"w{x}" for x in range(88)), *(f"u{k}x{x}" for x in range(16))])) for k in range(2000)]
+    rows += [(k, " ".join([*(f"w{x}" for x in range(88)), *(f"u{k % 10}x{x}" for x in range(15)), "z"])) for k in range(2000, 2030)]
+    monkeypatch.setattr(jaccard_join, "MET", 1 << 30)  # no element is late, so that all sets meet
+    wrote = {}
+    for name in ("unlike_pairs", "bounded_pairs"):
+        step = getattr(jaccard_join, name)
+        monkeypatch.setattr(jaccard_join, name, lambda *a, step=step, name=name: (out := step(*a), wrote.update({name: out.count()}))[0])
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k % 10 if k >= 2000 else k for k, _ in rows}
+    assert len(got) == len(rows) < wrote["unlike_pairs"] <= 6 * len(rows) and wrote["bounded_pairs"] <= 6 * len(rows)
+
+
+def test_sketches_never_bound_too_low():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 9000, n, dtype=np.uint64)) for n in (3, 40, 900, 1100, 1500, 5000, 9000, 9000)]
+    sets.append(np.arange(0, 1 << 20, 512, dtype=np.uint64))  # one bucket holds them all
+    i, j = np.triu_indices(len(sets))
+    most = jaccard_join.bounds([jaccard_join.sketch_of(s) for s in sets], np.array([len(s) for s in sets]), i, j)
+    assert all(m >= len(np.intersect1d(sets[a], sets[b])) for m, a, b in zip(most, i, j))
 
 
 def test_boundary_follows_cost():
