@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ ARROW_BYTES = 4 << 20
 BROADCAST_ROWS = 1_000_000
 
 _local: list[str] = []
+_tables: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
@@ -38,27 +42,58 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """``df`` written once below the shared folder and read from there.
 
     This cuts the lineage: a lost executor costs a read of the table, and what is not
     deterministic (partition numbers, samples) is settled. Spark also knows the table's
     size afterwards, so it broadcasts it only if it is below the session's threshold.
+    Tables stay, as results are read lazily, until ``removed_after`` or ``remove_scratch``
+    removes them; a ``lasting`` one stays past the former.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/millrace-{uuid.uuid4().hex}/{name}"
+    if not lasting:
+        _tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Remove the scratch tables that this process wrote, from the ``since``-th on; results
+    that read them can't be read any more."""
+    while len(_tables) > since:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop().rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside are removed at the end; write what is to stay as ``lasting``."""
+    since = len(_tables)
+    try:
+        yield
+    finally:
+        remove_scratch(spark, since)
+
+
+def bytes_of(size: str) -> int:
+    """A size as Spark's settings have it: a number with k, m, g, t or p, and b, or neither."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", str(size).lower())
+    if not found:
+        raise ValueError(f"no size in bytes: {size}")
+    return int(found[1]) << 10 * (" kmgtp".index(found[2] or " "))
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand rows to Python in Arrow batches of ARROW_BYTES at most, for this session.
+    """Hand rows to Python in Arrow batches of ARROW_BYTES at most.
 
     Spark's own bound of 64 MB is large for whole texts: both sides of every task hold a
-    batch and what is made of it.
+    batch and what is made of it. It stays for the session, since Spark reads it when a
+    result is run, after the operator has returned; a smaller bound is left alone.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > ARROW_BYTES:
+    if not 0 < bytes_of(spark.conf.get(key)) <= ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
 
 

@@ -8,8 +8,10 @@ multiples of the sequence length. A document that crosses a cut gives a piece on
 side: these are the boundary records, and no id is moved for them. Every sequence but the
 last is full.
 
-A null text is the empty text and gives its end id alone. Repeated rows are documents of
-their own. An empty table gives no pieces. Only doc_id and text are read.
+A null text is the empty text and gives its end id alone. A very long text is encoded
+whole and gives as many pieces as it crosses cuts. Repeated rows, and rows of one doc_id,
+are documents of their own; a null doc_id is carried. Nothing is ordered by value, so
+there are no ties. An empty table gives no pieces. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from millrace.llm.common import bounded_batches, written
 from millrace.llm.tokens import ENCODE_BYTES, batched, crc, encode, gather, tokenizer, vocabulary
 
 LENGTH, END = 2048, 1
+#: Packed ids that are cut at a time.
+PIECE_BYTES = 1 << 20
 
 
 def encoded(documents: DataFrame, path: str, end: int) -> DataFrame:
@@ -93,7 +97,7 @@ def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, en
         base = starts.value
         kind = "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            for table in batched(iter([batch]), "ids"):
+            for table in batched(iter([batch]), "ids", PIECE_BYTES):
                 n = table.column("n").to_numpy()
                 first = table.column("before").to_numpy() + np.array([base[p] for p in table.column("part").to_pylist()], np.int64)
                 ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), kind).astype("<u4")

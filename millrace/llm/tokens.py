@@ -3,7 +3,8 @@
 A space that follows a character other than white space always starts a new pre-token,
 so a text's ids are the ids of its space-led chunks, one after another. Chunks repeat
 far more often than texts: each distinct chunk of a batch is encoded once and the ids
-are gathered by numpy. Texts with white space before a space are encoded whole.
+are gathered by numpy. Texts with white space before a space, or with a special string of
+the tokenizer, are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +20,21 @@ import pyarrow.compute as pc
 
 #: White space before a space; there the cut at spaces would not be exact.
 _UNSAFE = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}] "
-#: Texts are gathered to this many bytes for arrays over their words, and for encoding,
-#: where more texts at a time share more chunks.
-BATCH_BYTES, ENCODE_BYTES = 4 << 20, 8 << 20
+#: Texts are gathered to this many bytes for arrays over their words, and for encoding.
+BATCH_BYTES, ENCODE_BYTES = 4 << 20, 2 << 20
+#: Texts that go to the tokenizer in one call: it makes an object of some hundred bytes a token.
+CALL_BYTES, CALL_WORDS = 1 << 19, 16_384
+#: Bytes of chunks, and as many of their ids, that a worker keeps for its next batches.
+KNOWN_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """The tokenizer of a file, one thread, special strings in a text being plain text."""
+    """The tokenizer of a file, with its own settings, on one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded
+    return Tokenizer.from_file(path)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -45,9 +46,19 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def _flat_ids(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts one after another, and how many each has."""
-    found = [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
-    counts = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+    found = [np.array(e.ids, np.int32) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    return np.concatenate([np.zeros(0, np.int32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+
+def _calls(sizes: np.ndarray) -> Iterator[slice]:
+    """Cuts of consecutive texts of about CALL_BYTES; a longer text is one of its own."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        upto = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CALL_BYTES, "right"))
+        stop = max(start + 1, min(upto, start + CALL_WORDS))
+        yield slice(start, stop)
+        start = stop
 
 
 def _encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,33 +69,40 @@ def _encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     """
     newline = tokenizer(path).encode("\n", add_special_tokens=False).ids
     single = pc.match_substring_regex(texts, r"^ ?[^\x09-\x0d\x1c-\x1f\x{85}\p{Z}]+$").to_numpy(zero_copy_only=False).astype(bool)
+    single &= ~_special(path, texts)
     if len(newline) != 1:
         single[:] = False
-    words, others = texts.filter(pa.array(single)).to_pylist(), texts.filter(pa.array(~single)).to_pylist()
     ids, starts, counts, base = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
     word_at, other_at = np.flatnonzero(single), np.flatnonzero(~single)
-    for k in range(0, len(words), 64_000):
-        part = words[k : k + 64_000]
+    for k in range(0, len(word_at), CALL_WORDS):
+        at = word_at[k : k + CALL_WORDS]
+        part = texts.take(pa.array(at)).to_pylist()
         flat, _ = _flat_ids(path, ["\n".join(part[j : j + 64]) + "\n" for j in range(0, len(part), 64)])
         ends = np.flatnonzero(flat == newline[0])
         begins = np.concatenate([[0], ends[:-1] + 1])
-        at = word_at[k : k + 64_000]
         starts[at], counts[at] = base + begins, ends - begins
         ids.append(flat)
         base += len(flat)
-    for k in range(0, len(others), 4_000):
-        flat, n = _flat_ids(path, others[k : k + 4_000])
-        at = other_at[k : k + 4_000]
-        starts[at], counts[at] = base + np.cumsum(n) - n, n
+    others = texts.take(pa.array(other_at))
+    for cut in _calls(pc.binary_length(others).to_numpy()):
+        flat, n = _flat_ids(path, others[cut].to_pylist())
+        starts[other_at[cut]], counts[other_at[cut]] = base + np.cumsum(n) - n, n
         ids.append(flat)
         base += len(flat)
     return np.concatenate(ids), starts, counts
 
 
-class _Known:
-    """Chunks that this process has encoded, with their ids; at most LIMIT, then no more are added."""
+def _special(path: str, texts: pa.Array) -> np.ndarray:
+    """Which texts hold a special string, which the tokenizer takes out before all else."""
+    found = np.zeros(len(texts), bool)
+    for token in tokenizer(path).get_added_tokens_decoder().values():
+        found |= pc.match_substring(texts, token.content).to_numpy(zero_copy_only=False).astype(bool)
+    return found
 
-    LIMIT = 1_000_000
+
+class _Known:
+    """Chunks that this process has encoded, with their ids, up to KNOWN_BYTES of each; then
+    no more are added, the commonest being there by then."""
 
     def __init__(self) -> None:
         self.words = pa.array([], pa.large_string())
@@ -99,7 +117,7 @@ class _Known:
         held, base = len(self.words), len(self.ids)
         at[new] = held + np.arange(len(fresh))
         all_ids, all_starts, all_counts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, base + starts]), np.concatenate([self.counts, counts])
-        if held + len(fresh) <= self.LIMIT:
+        if max(self.words.nbytes + fresh.nbytes, all_ids.nbytes) <= KNOWN_BYTES:
             self.words = pa.concat_arrays([self.words, fresh])
             self.ids, self.starts, self.counts = all_ids, all_starts, all_counts
         return all_ids, all_starts[at], all_counts[at]
@@ -124,7 +142,7 @@ def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the number of ids of each text; null: empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    unsafe = pc.match_substring_regex(texts, _UNSAFE)
+    unsafe = pc.or_(pc.match_substring_regex(texts, _UNSAFE), pa.array(_special(path, texts)))
     chunks = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
     coded = chunks.flatten().dictionary_encode()
     spaced, slots = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string())), coded.indices.to_numpy().astype(np.int64)

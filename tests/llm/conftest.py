@@ -17,7 +17,7 @@ def odd_rows():
     rows = [(k, prose(rng.randint(1, 60)), rng.choice("abc")) for k in range(20, 60)]
     rows += [(1, base, "a"), (2, base, "b"), (3, near, "a"), (4, near + " tail", None), (5, None, "a"), (6, "", "b"), (7, "   \n\t ", "c"), (8, prose(20_000), "a")]
     rows += [(None, "no id here at all " * 3, "a"), (9, "one two", None), (9, "one two", None), (10, "one  two", "a"), (11, "ONE two", "a"), (12, "a\x0bb\x0cc d e", "a")]
-    rows += [(13, "w w w w w w w w w w " * 5, "a"), (14, "LOUD WORDS " * 20, "b"), (15, "x### y### " * 15, "c"), (16, "line again\n" * 9, "c")]
+    rows += [(13, "w w w w w w w w w w " * 5, "a"), (14, "LOUD WORDS " * 20, "b"), (15, "x### y### " * 15, "c"), (16, "line again\n" * 9, "c"), (17, "hi<|endoftext|> and <|endoftext|>  two", "b")]
     rows += [(100 + k, f"All rights reserved\n{prose(30)}\nsee our shop", "a") for k in range(12)]
     return rows
 

@@ -1,5 +1,6 @@
 """The document operators against plain versions, on rows with everything odd."""
 
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,18 +10,22 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from millrace.llm import jaccard_join, line_crf, line_dedup, packing, quality_rules, repair_output, secret_scan, source_mix
+from millrace.llm import common, jaccard_join, line_crf, line_dedup, packing, quality_rules, repair_output, secret_scan, source_mix, tokens
 from millrace.llm.components import components
-from millrace.llm.tokens import encode, tokenizer, vocabulary
+from millrace.llm.tokens import encode, vocabulary
 from millrace.llm.words import digest, shingle_sets
 from tests.llm import brute
 
-ODD_TEXTS = ["", "  ", " a", "a ", "a  b", "x\n y", "x \ny", "  z", "a　 b", "it's  <|endoftext|> ok", None, "a\n\n\n  b", "don't 've 12 3.4 !!  ", "\t a b", "日本 語 😀 😀", "a\u0085 b c"]
+ODD_TEXTS = ["", "  ", " a", "a ", "a  b", "x\n y", "x \ny", "  z", "a　 b", "it's  <|endoftext|> ok", None, "a\n\n\n  b", "don't 've 12 3.4 !!  ", "\t a b", "日本 語 😀 😀", "<|endoftext|>", "hi<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>\n<|endoftext|> x", "a\u0085 b c"]
+
+
+PLAIN = Tokenizer.from_file(vocabulary())
 
 
 def ids_of(text, end):
-    return tokenizer(vocabulary()).encode(text or "", add_special_tokens=False).ids + [end]
+    return PLAIN.encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
@@ -48,6 +53,39 @@ def test_chunked_encoding_is_the_tokenizers():
         assert ids.tolist() == [i for x in want for i in x]
 
 
+def test_known_chunks_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 2000)
+    monkeypatch.setattr(tokens, "CALL_BYTES", 40)
+    known = tokens._Known()
+    monkeypatch.setattr(tokens, "_known", lambda path: known)
+    for k in range(6):
+        texts = [*ODD_TEXTS, " ".join(f"word{k}x{j}" for j in range(60)), "two  spaces " * 30]
+        ids, n = encode(pa.array(texts), vocabulary())
+        assert ids.tolist() == [i for t in texts for i in ids_of(t, 0)[:-1]] and len(n) == len(texts)
+        assert max(known.words.nbytes, known.ids.nbytes) <= 2000
+
+
+def test_sizes_of_batches_are_read_with_their_units(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert [common.bytes_of(x) for x in ("8m", "64MB", "100", "3k", "2gb", "17b")] == [8 << 20, 64 << 20, 100, 3072, 2 << 30, 17]
+    before = spark.conf.get(key)
+    for given, want in (("8m", common.ARROW_BYTES), ("1m", 1 << 20), ("2147483647", common.ARROW_BYTES)):
+        spark.conf.set(key, given)
+        common.bounded_batches(spark)
+        assert common.bytes_of(spark.conf.get(key)) == want
+    spark.conf.set(key, before)
+
+
+def test_scratch_tables_go_but_for_lasting_ones(spark):
+    rows = spark.range(3)
+    with common.removed_after(spark):
+        gone = common.written(rows, "gone")
+        stays = common.written(gone, "stays", lasting=True)
+    assert stays.count() == 3
+    folder = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    assert not os.path.exists(folder(gone)) and os.path.exists(folder(stays))
+
+
 def test_repair_round_trip_and_stretches():
     rng = np.random.default_rng(1)
     ids = np.concatenate([np.tile(rng.integers(0, 50257, 30), 50), np.zeros(400, int), rng.integers(0, 40, 3000)])
