@@ -1,17 +1,30 @@
 """URL filter: rules by host and path, and link-graph propagation for what no rule fits.
 
-Hosts are the nodes; a page's links make weighted edges from its host (links without a
-host stay on it). A host's trust seed is the share of its pages that a rule allows, its
-distrust seed the share that a rule blocks. Personalised PageRank carries trust along
-links, and distrust against them, from the blocked to those that link to them. A host
-whose distrust is above ``limit`` and above its trust is blocked.
-
-Scores are integers (parts of ONE), and shares parts of a million, so sums do not depend
-on their order and reruns and other engines agree to the last digit.
+Hosts are the nodes. A page's links to other hosts make weighted edges from its host; links
+within a host say nothing of it and make none. A host's trust seed is the share of its
+pages that a rule allows, its distrust seed the share that a rule blocks.
+
+Trust is a personalised PageRank from the trusted seeds: a host has its seed and, from
+each host that links to it, ``follow`` percent of that one's trust by the share of its
+links. Distrust runs the other way: a host has its seed and ``follow`` percent of the mean
+distrust of what it links to. Both are x = seed + follow * W x, the usual PageRank over
+(1 - follow) and over the sum of the seeds, so that a wholly blocked host has ONE at least
+and the limit per host doesn't move with the size of the web. A host without links passes
+nothing on; to send that back to the seeds, as is usual, would scale all scores alike.
+
+A host whose distrust is above ``limit`` and above its trust is blocked.
+
+Scores are integers (parts of ONE) and start from the seeds, so they only rise, sums do not
+depend on their order, and reruns and other engines agree to the last digit. A flow is
+floored once, when it is made, so a link of a host with many million links counts too.
+After ``rounds`` rounds what is missing is below follow ** rounds of a score (2 percent by
+default); the loop ends before that when no score moves any more.
 
 Null urls, and those without ``://``, have an empty host and path, fit no rule and are
-allowed. Null html has no links. Repeated pages count as often as they occur. Only
-page_id, url and html are read.
+allowed. Null html has no links, and very long html is searched whole. Repeated pages, and
+rows of one page_id, count as often as they occur. Of rules of one length that fit, the
+first by name wins; distrust equal to trust, or to the limit, doesn't block. An empty
+table gives an empty result. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -23,8 +36,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import written
 
-ONE, MILLION = 10**9, 10**6
+ONE, ROUNDS, FOLLOW = 10**9, 24, 85
 LINK = r"""[hH][rR][eE][fF]\s*=\s*["']?([^"'\s>]+)"""
+ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,18 +84,13 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, share): the share of the source's links that go to the target, in parts of
-    a million. A host without links keeps its score to itself."""
+    """(src, dst, n, total): links from a host to another, and all of its links to others."""
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1)).alias("link"))
     full = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.col("link"))
-    dst = F.when(full.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), host_of(full)).otherwise(F.col("src"))
-    counted = links.select("src", dst.alias("dst")).where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    absolute = links.where(full.rlike(ABSOLUTE)).select("src", host_of(full).alias("dst"))
+    counted = absolute.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
     counted = written(counted, "links")
-    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host <> ''").union(counted.select("dst")).distinct()
-    alone = hosts.join(counted.select(F.col("src").alias("host")).distinct(), "host", "left_anti")
-    totals = counted.groupBy("src").agg(F.sum("n").alias("total"))
-    shares = counted.join(totals, "src").select("src", "dst", F.expr(f"n * {MILLION} div total").alias("share"))
-    return shares.unionByName(alone.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(MILLION).cast("bigint").alias("share")))
+    return counted.join(counted.groupBy("src").agg(F.sum("n").alias("total")), "src")
 
 
 def seeds(marked: DataFrame) -> DataFrame:
@@ -92,24 +101,31 @@ def seeds(marked: DataFrame) -> DataFrame:
     return by_host.select("host", F.explode(F.array(part("trust", "allowed"), part("distrust", "blocked"))).alias("s")).select("host", "s.*").where("seed > 0")
 
 
-def propagate(edges: DataFrame, start: DataFrame, rounds: int = 10, follow: int = 85, save_every: int = 5) -> DataFrame:
-    """(host, kind, score) after ``rounds`` steps; ``follow`` is in percent.
+def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS, follow: int = FOLLOW, save_every: int = 4) -> DataFrame:
+    """(host, kind, score) after ``rounds`` steps at most; ``follow`` is in percent.
 
     Both kinds advance in one join and one sum a round. Shuffles carry one row for an edge
     before the sum and, through the map-side combine, one for a host and task after it.
     """
-    along = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "share")
-    against = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "share")
+    along = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "n", "total")
+    against = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "n", "total")
     steps = written(along.unionByName(against), "steps")
-    base = start.select("kind", "host", (F.col("seed") * (100 - follow)).alias("part"))
-    scores = start.select("kind", "host", F.col("seed").alias("score"))
+    base = start.select("kind", "host", F.col("seed").alias("part"))
+    saved = scores = start.select("kind", "host", F.col("seed").alias("score"))
+    if steps.isEmpty():
+        return scores
+    flow = F.expr(f"cast(score as decimal(19,0)) * cast(n * {follow} as decimal(19,0)) div cast(total * 100 as decimal(19,0))").cast("bigint")
     for k in range(1, rounds + 1):
         moved = steps.join(scores.select("kind", F.col("host").alias("from"), "score"), ["kind", "from"])
-        flow = moved.select("kind", F.col("to").alias("host"), F.expr(f"score * share div {MILLION} * {follow}").alias("part"))
-        summed = flow.unionByName(base).groupBy("kind", "host").agg(F.sum("part").alias("part"))
-        scores = summed.select("kind", "host", F.least(F.expr("part div 100"), F.lit(ONE)).alias("score"))
+        summed = moved.select("kind", F.col("to").alias("host"), flow.alias("part")).unionByName(base).groupBy("kind", "host").agg(F.sum("part").alias("score"))
+        scores = summed
         if k % save_every == 0:
             scores = written(scores, f"scores{k}")
+            # scores never fall, so they have settled if their sum has not moved
+            total = lambda rows: rows.agg(F.sum(F.col("score").cast("decimal(38,0)"))).first()[0]
+            if total(scores) == total(saved):
+                break
+            saved = scores
     return scores
 
 
@@ -120,7 +136,7 @@ def blocked_hosts(scores: DataFrame, limit: int = ONE // 2) -> DataFrame:
     return by_host.where((F.col("distrust") > limit) & (F.col("distrust") > F.col("trust"))).select("host")
 
 
-def verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 10) -> DataFrame:
+def verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
     """page_id, host, path, rule, verdict."""
     held = pages.select("page_id", "url", "html")
     marked = judged(held, rules)
@@ -130,7 +146,7 @@ def verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 10
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
-def _sql(rounds: int = 10, follow: int = 85) -> str:
+def _sql(rounds: int = ROUNDS, follow: int = FOLLOW) -> str:
     """The same rows in DuckDB: every round is a table expression."""
 
     def host(url: str) -> str:
@@ -144,18 +160,17 @@ def _sql(rounds: int = 10, follow: int = 85) -> str:
         f"parts as materialized (select page_id, html, {host('url')} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages)",
         f"marked as materialized (select page_id, host, path, {case('name')} as rule, {case('verdict')} as by_rule from parts)",
         f"links as (select host as src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) as link from parts)",
-        f"ends as (select src, case when starts_with(link, '//') then {host("'x:' || link")} when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then {host('link')} else src end as dst from links)",
-        "counted as materialized (select src, dst, count(*) as n from ends where src <> '' and dst <> '' group by all)",
-        "alone as (select host from parts where host <> '' union select dst from counted except select src from counted)",
-        f"edges as materialized (select src, dst, n * {MILLION} // sum(n) over (partition by src) as share from counted union all select host, host, {MILLION} from alone)",
-        "steps as materialized (select 'trust' as kind, src as a, dst as b, share from edges union all select 'distrust', dst, src, share from edges)",
+        f"ends as (select src, case when starts_with(link, '//') then 'x:' || link else link end as url from links)",
+        f"counted as materialized (select src, dst, count(*) as n from (select src, {host('url')} as dst from ends where regexp_matches(url, '{ABSOLUTE}')) where src <> '' and dst <> '' and src <> dst group by all)",
+        "edges as (select src, dst, n::hugeint as n, (sum(n) over (partition by src))::hugeint as total from counted)",
+        "steps as materialized (select 'trust' as kind, src as a, dst as b, n, total from edges union all select 'distrust', dst, src, n, total from edges)",
         f"by_host as (select host, count(*) filter (by_rule = 'allow') * {ONE} // count(*) as t, count(*) filter (by_rule = 'block') * {ONE} // count(*) as d from marked where host <> '' group by host)",
         "seeds as materialized (select 'trust' as kind, host, t as seed from by_host where t > 0 union all select 'distrust', host, d from by_host where d > 0)",
         "r0 as (select kind, host, seed as score from seeds)",
     ]
     for k in range(1, rounds + 1):
-        flow = f"select s.kind, s.b as host, score * share // {MILLION} * {follow} as part from steps s join r{k - 1} r on s.kind = r.kind and s.a = r.host union all select kind, host, seed * {100 - follow} from seeds"
-        ctes.append(f"r{k} as materialized (select kind, host, least(sum(part) // 100, {ONE}) as score from ({flow}) group by kind, host)")
+        flow = f"select s.kind, s.b as host, score * (n * {follow}) // (total * 100) as part from steps s join r{k - 1} r on s.kind = r.kind and s.a = r.host union all select kind, host, seed from seeds"
+        ctes.append(f"r{k} as materialized (select kind, host, sum(part)::bigint as score from ({flow}) group by kind, host)")
     ctes.append(f"bad as (select host from (select host, coalesce(max(score) filter (kind = 'trust'), 0) as t, coalesce(max(score) filter (kind = 'distrust'), 0) as d from r{rounds} group by host) where d > {ONE // 2} and d > t)")
     return "with " + ", ".join(ctes) + " select page_id, host, path, rule, coalesce(by_rule, case when host in (select host from bad) then 'block' else 'allow' end) as verdict from marked"
 

@@ -15,7 +15,7 @@ PAGES = [
     (1, "http://a.net/x?y#z", "<a href='http://good.example.net/en/'>"), (2, "HTTPS://WWW.Example.NET/en/1", '<a href="/in">'), (3, "http://b.example.com/de/1", ""),
     (4, "http://linker.com/", "<a href=http://c.net/q><a href='//d.net/'><a HREF = \"http://e.net\">"), (5, "http://x.org/fr/1#t", None), (6, "http://x.org/en", "<a href='?q'>"),
     (7, None, "<a href='http://c.net/'>"), (8, "no scheme", ""), (9, "http://c.net", ""), (10, "http://net/", ""), (11, "ftp://notexample.net?x", ""), (12, "http://c.net/1", ""), (12, "http://c.net/1", ""), (None, "http://", "x"),
-    (13, "http://two://x/y", ""), (14, "http://d.net/", ""), (15, "http://e.net/", ""),
+    (13, "http://two://x/y", ""), (14, "http://d.net/", ""), (15, "http://e.net/", ""), (16, "http://long.com/", "<a href='/x'>" * 20_000 + "<a href='http://c.net/'>"), (17, "http://tie.com/", "<a href='http://c.net/'><a href='http://good.example.net/en/'>"),
 ]
 
 
@@ -37,6 +37,43 @@ def test_url_verdicts_agree_with_sql(spark):
     assert url_filter.verdicts(df.where("false")).count() == 0
 
 
+def test_links_within_a_host_say_nothing_of_it(spark):
+    inner = "".join(f"<a href='/p{k}'><a href='http://linker.com/{k}'>" for k in range(50))
+    pages = [(1, "http://linker.com/", inner + "<a href='http://c.net/q'>"), (2, "http://fair.com/", "<a href='http://c.net/q'><a href='http://x.com/'><a href='http://y.com/'>"), (3, "http://c.net/q", "<a href='/r'>" * 9)]
+    got = {r.page_id: r.verdict for r in url_filter.verdicts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_scores_are_those_of_a_plain_power_iteration(spark):
+    rng = np.random.default_rng(3)
+    n, wide = 40, 1_200_000
+    links = Counter((int(a), int(b)) for a, b in rng.integers(0, n - 5, (150, 2)) if a != b)  # the last five link nowhere
+    links |= Counter({(0, k): 3 for k in range(1, n)}) | Counter({(k, 1): 2 for k in range(2, n - 5)})  # a hub of links out, and one in
+    seed = {"trust": {2: 1.0, 3: 0.4}, "distrust": {n - 1: 1.0, 5: 0.25}}
+    w = np.zeros((n, n))
+    for (a, b), k in links.items():
+        w[a, b] = k
+    w /= np.maximum(w.sum(axis=1, keepdims=True), 1)
+    want = {}
+    for kind, matrix in (("trust", w.T), ("distrust", w)):
+        v = np.array([seed[kind].get(k, 0.0) for k in range(n)])
+        x = v.copy()
+        for _ in range(300):
+            x = v + 0.85 * matrix @ x
+        want[kind] = x
+    total = Counter(a for (a, _), k in links.items() for _ in range(k))
+    edges = spark.createDataFrame([(str(a), str(b), k, total[a]) for (a, b), k in links.items()], "src string, dst string, n long, total long")
+    start = spark.createDataFrame([(str(h), kind, int(s * url_filter.ONE)) for kind, of in seed.items() for h, s in of.items()], "host string, kind string, seed long")
+    got = {(r.kind, int(r.host)): r.score / url_filter.ONE for r in url_filter.propagate(edges, start, rounds=200).collect()}
+    for kind, x in want.items():
+        assert np.allclose([got.get((kind, k), 0.0) for k in range(n)], x, atol=1e-6)
+    # one host with over a million links to as many hosts, all of them blocked
+    many = spark.range(wide).selectExpr("'big' as src", "cast(id as string) as dst", "1L as n", f"{wide}L as total")
+    blocked = spark.range(wide).selectExpr("cast(id as string) as host", "'distrust' as kind", f"{url_filter.ONE}L as seed")
+    big = url_filter.propagate(many, blocked, rounds=4).where("host = 'big'").first()
+    assert abs(big.score / url_filter.ONE - 0.85) < 0.002
+
+
 HTML = [
     (1, "http://a.net/1", "<HTML><body class='x'><nav><ul><li><a href='/'>Home</a></li></ul></nav><p>One <b>bold</b> text of a page</p><script>var t='</p>x';</script><footer>All rights</footer></body></html>"),
     (2, "http://A.net/2", "<nav>Home</nav><p>Another text, longer than the rest\nof it<br/>and more</p><!-- <p>Home</p> --><footer id=f>All rights</footer>"),
