@@ -4,21 +4,35 @@ Sources in code point order, null last, get the weights in turn and share ``shar
 of all words; a target stops at MOST times its source's words, and the excess goes to the
 others by weight (the closed form of doing so until none is above).
 
-A source whose target is r times its words takes every document floor(r) times; that is
-certain. The words still missing are a sample of one more copy: a document's ranking is
-the odds of a uniform number over its inclusion odds, which grow with the root of its
-size (relative odds are enough, as the size of the sample is fixed), and documents are
-taken by ascending ranking while they fit in what is missing. The sample's fixed size is
-in words. The uniform number is a hash of doc_id, text and seed, so reruns agree.
-
-No source passes through one task: the rankings are integers, histograms of them narrow
-the boundary down to at most LIMIT documents a source, and only these are walked in order.
-Rows that agree in source, doc_id and text are taken together or not at all. Null and
-empty texts have size 0 and are taken with 0 words. Extra columns are carried untouched.
+A source whose target is r times its words takes every document floor(r) times; these
+whole copies are certain. The words still missing come from one more copy of some: the
+source's documents are sampled in classes of like size (CLASSES to a doubling), from the
+largest class down. A class is due its share of the missing words and what the classes
+before it left or overdrew; in documents of its mean size that gives the class's sample
+size, rounded up or down at random so that it is right in the mean. Within a class, a
+document's inclusion probability p is in proportion to its size and sums up to the sample
+size; where that gives 1 or more the document is certain, and the others share the rest.
+Documents are ranked by the odds of a uniform number over the odds of p, certain ones
+first, and those of the least rank are taken, as many as the sample size says. So each
+sample has a fixed size, and the smallest class evens out what the larger ones left.
+
+The uniform number is a hash of doc_id, text and seed, so reruns agree. Rows that agree in
+source, doc_id and text tie in everything: they are taken together, if more than half of
+them fit, or not at all.
+
+No source passes through one task: a plan is made of the source's sizes and their counts,
+the rankings are integers, and histograms of them narrow the boundary of each class down
+until at most LIMIT rows are left to order. The windows over sources hold a row a source
+in one task. Words are counted once, and a second time only where whole documents are
+asked for. Null and empty texts have size 0 and are taken with 0 words; a source with no
+words has target 0 and keeps none. Very long texts are counted whole. An empty table gives
+an empty result. Extra columns are carried untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,13 +42,13 @@ from millrace.llm.common import n_words, sized, written
 
 #: The weights in turn, the share in percent, and the most copies.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 150, 2
-#: Histogram bins of a level, and documents of a source that are walked in order.
-BINS, LIMIT, LEVELS = 1024, 10_000, 4
+#: Size classes to a doubling; histogram bins of a level, and rows of a class that are ordered.
+CLASSES, BINS, LIMIT = 8, 1024, 10_000
 TOP = 1 << 52
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST) -> DataFrame:
-    """(skey, source_size, target) of (skey, source, source_size, documents): one row a source.
+    """(skey, source_size, target) of (skey, source, source_size): one row a source.
 
     A source is capped if all sources, filled to its ratio of cap to weight, stay within
     the total; the rest share what the capped leave. The window holds one row a source.
@@ -48,7 +62,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int =
     left = F.col("goal") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(every)
     free = F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(every)
     target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * left / free))
-    return marked.withColumn("target", target.cast("double")).select("skey", "source_size", "documents", "target")
+    return marked.withColumn("target", target.cast("double")).select("skey", "source_size", "target")
 
 
 def _keys(seed: int) -> dict[str, Column]:
@@ -61,74 +75,122 @@ def _keys(seed: int) -> dict[str, Column]:
     }
 
 
-def ranking(draw: Column, size: Column, mean: Column) -> Column:
-    """odds(u) / sqrt(size / mean), mapped from (0, oo) to integers in [0, TOP)."""
+def with_class(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1)).cast("double")) * CLASSES).cast("int"))
+
+
+def inclusion(sizes: np.ndarray, counts: np.ndarray, n: int) -> tuple[float, int]:
+    """(words, certain): a document of ``size`` is included with probability 1 if its size is
+    ``certain`` or more, else size / words; over all documents these sum up to ``n``."""
+    order = np.argsort(-sizes, kind="stable")
+    sizes, counts = sizes[order], counts[order]
+    certain = np.iinfo(np.int64).max
+    words, left = int((sizes * counts).sum()), n
+    for size, count in zip(sizes.tolist(), counts.tolist()):
+        if left * size < words:
+            break
+        certain, words, left = size, words - size * count, left - count
+    return (words / left if left > 0 else np.inf), certain
+
+
+def sample_sizes(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """The plan of one source, of its sizes and their counts: a row (skey, class, n, words,
+    certain) for each size class."""
+    skey, missing = str(rows["skey"].iloc[0]), int(rows["missing"].iloc[0])
+    share, owed, out = missing / int((rows["size"] * rows["count"]).sum()), 0.0, []
+    for cls, part in sorted(rows.groupby("class"), key=lambda x: -x[0]):
+        sizes, counts = part["size"].to_numpy(np.int64), part["count"].to_numpy(np.int64)
+        words, documents = int((sizes * counts).sum()), int(counts.sum())
+        owed += share * words
+        u = int.from_bytes(hashlib.blake2b(f"{seed} {cls} {skey}".encode(), digest_size=7).digest(), "big") / (1 << 56)
+        n = int(min(documents, max(0, np.floor(owed / (words / documents) + u))))
+        per, certain = inclusion(sizes, counts, n)
+        p = np.where(sizes >= certain, 1.0, sizes / per)
+        owed -= float((p * sizes * counts).sum())
+        out.append((skey, cls, n, per, certain))
+    return pd.DataFrame(out, columns=["skey", "class", "n", "words", "certain"])
+
+
+def ranking(draw: Column, size: Column, words: Column, certain: Column) -> Column:
+    """odds(u) / odds(p), mapped from (0, oo) to integers in [1, TOP); certain documents have 0."""
     u = (F.shiftrightunsigned(draw, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    q = u / (1 - u) / F.sqrt(size / mean)
-    return F.least(F.floor(q / (1 + q) * F.lit(float(TOP))).cast("bigint"), F.lit(TOP - 1))
+    p = size / words
+    q = u * (1 - p) / ((1 - u) * p)
+    inner = F.floor(q / (1 + q) * F.lit(float(TOP))).cast("bigint")
+    return F.when(size >= certain, F.lit(0)).otherwise(F.least(F.greatest(inner, F.lit(1)), F.lit(TOP - 1))).cast("bigint")
 
 
-def narrowed(ranked: DataFrame, state: DataFrame) -> DataFrame:
-    """State (skey, missing, low, high, base, n) after one level: where a source has more
-    than LIMIT documents in [low, high), the bin that the missing words end in."""
-    wide = state.where(F.col("n") > LIMIT)
-    width = F.expr(f"greatest((high - low) div {BINS}, 1)")
-    inside = ranked.join(wide, "skey").where("rank >= low and rank < high").withColumn("width", width)
-    bins = inside.groupBy("skey", "missing", "low", "base", "width", F.expr("(rank - low) div width").alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    before = F.sum("words").over(Window.partitionBy("skey").orderBy("bin")) - F.col("words") + F.col("base")
-    bins = bins.withColumn("before", before).where("before <= missing and before + words > missing")
-    found = bins.select("skey", "missing", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("high"), F.col("before").alias("base"), "n")
-    return state.where(F.col("n") <= LIMIT).unionByName(found)
+def open_classes() -> Column:
+    """Whether a class's boundary is still too wide to be ordered."""
+    return (F.col("held") > LIMIT) & (F.col("high") - F.col("low") > 1)
 
 
-def walked(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a source's boundary in order of rank, each taken if it still fits."""
-    rows = rows.sort_values(["rank", "tie", "size"])
-    left, taken = int(rows["missing"].iloc[0] - rows["base"].iloc[0]), np.zeros(len(rows), bool)
-    for i, words in enumerate((rows["size"] * rows["copies"]).tolist()):
-        if words <= left:
-            taken[i] = True
-            left -= words
-    return rows.loc[taken, ["skey", "rank", "tie"]]
+def narrowed(ranked: DataFrame, state: DataFrame) -> DataFrame:
+    """State (skey, class, n, low, high, base, held) after one level: where a class has more
+    than LIMIT rows in [low, high), the bin that its sample ends in. ``base`` counts the
+    rows below ``low``."""
+    wide = state.where(open_classes())
+    width = F.expr(f"greatest((high - low) div {BINS}, 1)")
+    inside = ranked.join(wide, ["skey", "class"]).where("rank >= low and rank < high").withColumn("width", width)
+    bins = inside.groupBy("skey", "class", "n", "low", "base", "width", F.expr("(rank - low) div width").alias("bin")).agg(F.count("*").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("skey", "class").orderBy("bin")) - F.col("held") + F.col("base")
+    bins = bins.withColumn("before", before).where("before < n and before + held >= n")
+    low = F.col("low") + F.col("bin") * F.col("width")
+    found = bins.select("skey", "class", "n", low.alias("low"), (low + F.col("width")).alias("high"), F.col("before").alias("base"), "held")
+    return state.where(~open_classes()).unionByName(found)
+
+
+def last_taken(ranked: DataFrame, plan: DataFrame) -> DataFrame:
+    """(skey, class, cut): the struct (rank, tie) of the last rows that each class's sample
+    takes; classes that take none have no row."""
+    held = plan.where("n > 0").select("skey", "class", "n", F.lit(0).cast("bigint").alias("low"), F.lit(TOP).alias("high"), F.lit(0).cast("bigint").alias("base"), F.col("documents").alias("held"))
+    state = written(held, "state")
+    while state.where(open_classes()).count():
+        state = written(narrowed(ranked, state), "state")
+    edge = ranked.join(state, ["skey", "class"]).where("rank >= low and rank < high")
+    edge = edge.groupBy("skey", "class", "rank", "tie", "n", "base").agg(F.count("*").alias("copies"))
+    upto = F.sum("copies").over(Window.partitionBy("skey", "class").orderBy("rank", "tie")) + F.col("base")
+    taken = edge.withColumn("upto", upto).where(F.col("upto") - F.floor((F.col("copies") - 1) / 2) <= F.col("n"))
+    cuts = taken.groupBy("skey", "class").agg(F.max(F.struct("rank", "tie")).alias("cut"))
+    # a sample that ends with the rows below its bin
+    below = F.struct((F.col("low") - 1).alias("rank"), F.lit((1 << 63) - 1).alias("tie"))
+    return state.join(cuts, ["skey", "class"], "left").select("skey", "class", F.coalesce("cut", below).alias("cut"))
 
 
 def mix(documents: DataFrame, carry: list[str] | None = None, seed: int = 20240101, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST) -> DataFrame:
     """A struct column ``doc`` of each document's columns (or of those in ``carry``), with
-    size, source_size, target and copies, the times that the mix takes it."""
-    keyed = documents.select(F.struct(*(F.col(f"`{c}`") for c in carry or documents.columns)).alias("doc"), *(c.alias(k) for k, c in _keys(seed).items()))
-    sizes = written(documents.select(F.col("source"), *(c.alias(k) for k, c in _keys(seed).items())), "sizes")
-    totals = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("documents"))
-    plan = targets(totals, weights, share, most).withColumns(
-        {
-            "whole": F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("bigint"),
-            "mean": F.greatest(F.col("source_size") / F.greatest("documents", F.lit(1)), F.lit(1.0)),
-        }
-    )
+    size, source_size, target and copies, the times that the mix takes it, and p, the
+    inclusion probability of the copy that is not certain."""
+    carry = documents.columns if carry is None else carry
+    doc = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("doc")
+    keys = [c.alias(k) for k, c in _keys(seed).items()]
+    light = "text" not in carry
+    sizes = written(with_class(documents.select("source", *keys, *[doc] * light)), "sizes")
+    keyed = sizes if light else with_class(documents.select(doc, *keys))
+    totals = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    whole = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("bigint")
     missing = F.greatest(F.round("target").cast("bigint") - F.col("whole") * F.col("source_size"), F.lit(0))
-    plan = written(plan.withColumn("missing", missing), "plan")
-    rank = ranking(F.col("draw"), F.greatest("size", F.lit(1)), F.col("mean"))
-    ranked = sizes.where("size > 0").join(plan.where("missing > 0").select("skey", "mean"), "skey").select("skey", "size", "tie", rank.alias("rank"))
-    state = plan.where("missing > 0").select("skey", "missing", F.lit(0).cast("bigint").alias("low"), F.lit(TOP).alias("high"), F.lit(0).cast("bigint").alias("base"), F.col("documents").alias("n"))
-    for level in range(LEVELS):
-        if not state.where(F.col("n") > LIMIT).count():
-            break
-        state = written(narrowed(ranked, state), f"state{level}")
-    edge = ranked.join(state, "skey").where("rank >= low and rank < high")
-    edge = edge.groupBy("skey", "rank", "tie", "size").agg(F.count("*").alias("copies"), F.first("missing").alias("missing"), F.first("base").alias("base"))
-    chosen = written(edge.groupBy("skey").applyInPandas(walked, "skey string, rank long, tie long"), "chosen")
-    # written, so that Spark knows how small it is and need not shuffle the texts to meet it
-    bounds = written(plan.join(state.select("skey", "low", "high"), "skey", "left").select("skey", "source_size", "target", "whole", "mean", "low", "high"), "bounds")
-    joined = keyed.join(bounds, "skey")
-    joined = joined.withColumn("rank", F.when(F.col("size") > 0, rank))
-    joined = joined.join(sized(chosen).withColumn("hit", F.lit(1)), ["skey", "rank", "tie"], "left")
-    extra = F.when(F.coalesce(F.col("rank") < F.col("low"), F.lit(False)), 1).otherwise(F.coalesce("hit", F.lit(0)))
-    return joined.select("doc", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
-
-
-def taken_words(documents: DataFrame) -> DataFrame:
-    """The contract's columns."""
-    out = mix(documents.select("doc_id", "text", "source"), ["doc_id", "source"])
-    return out.select("doc.doc_id", "doc.source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    goals = written(targets(totals, weights, share, most).withColumn("whole", whole).withColumn("missing", missing), "goals")
+    counts = sizes.where("size > 0").groupBy("skey", "class", "size").agg(F.count("*").alias("count"))
+    counts = counts.join(goals.where("missing > 0").select("skey", "missing"), "skey")
+    plan = counts.groupBy("skey").applyInPandas(lambda rows: sample_sizes(rows, seed), "skey string, class int, n long, words double, certain long")
+    plan = written(plan.join(counts.groupBy("skey", "class").agg(F.sum("count").alias("documents")), ["skey", "class"]), "plan")
+    rank = ranking(F.col("draw"), F.col("size"), F.col("words"), F.col("certain"))
+    ranked = sizes.where("size > 0").join(sized(plan.where("n > 0").select("skey", "class", "words", "certain")), ["skey", "class"])
+    cuts = last_taken(ranked.select("skey", "class", "tie", rank.alias("rank")), plan)
+    # written, so that Spark knows how small they are and need not shuffle the texts to meet them
+    cuts = written(plan.where("n > 0").select("skey", "class", "words", "certain").join(cuts, ["skey", "class"]), "cuts")
+    joined = keyed.join(sized(goals.select("skey", "source_size", "target", "whole")), "skey").join(sized(cuts), ["skey", "class"], "left")
+    chosen = (F.col("size") > 0) & (F.struct(rank.alias("rank"), "tie") <= F.col("cut"))
+    p = F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce(F.when(F.col("size") >= F.col("certain"), 1.0).otherwise(F.col("size") / F.col("words")), F.lit(0.0)))
+    copies = F.col("whole") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
+    return joined.select("doc", "size", "source_size", "target", copies.alias("copies"), p.alias("p"))
+
+
+def taken_words(documents: DataFrame, seed: int = 20240101) -> DataFrame:
+    """The contract's columns, with source, copies and p."""
+    out = mix(documents.select("doc_id", "text", "source"), ["doc_id", "source"], seed)
+    return out.select("doc.doc_id", "doc.source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "p")
 
 
 def repeated(documents: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Plain versions of what the operators compute."""
 
+import hashlib
+import math
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,3 +83,55 @@ def without(text, drops):
     """The text without the lines that go, or all of it if that is more than half."""
     kept = [x for x in text.split("\n") if not drops(x)]
     return text if 2 * sum(map(len, kept)) < sum(map(len, text.split("\n"))) else "\n".join(kept)
+
+
+def mixed_copies(rows, seed, most=2):
+    """Copies of each row (source, size, class, draw, tie) that the mix takes, row by row:
+    whole ones, and one more of those that Pareto sampling picks in the source's classes."""
+    sizes = {}
+    for s, size, *_ in rows:
+        sizes[s] = sizes.get(s, 0) + size
+    goals, out = targets(sizes, most=most), [0] * len(rows)
+    for s, total in sizes.items():
+        whole = math.floor(goals[s] / total) if total else 0
+        mine = [k for k, r in enumerate(rows) if r[0] == s]
+        for k in mine:
+            out[k] = whole
+        missing = round(goals[s]) - whole * total
+        owed = 0.0
+        for cls in sorted({rows[k][2] for k in mine if rows[k][1]}, reverse=True) if missing > 0 else []:
+            part = [k for k in mine if rows[k][2] == cls and rows[k][1]]
+            words = sum(rows[k][1] for k in part)
+            owed += missing / total * words
+            name = "n" if s is None else "s" + s
+            u = int.from_bytes(hashlib.blake2b(f"{seed} {cls} {name}".encode(), digest_size=7).digest(), "big") / 2**56
+            n = int(min(len(part), max(0, math.floor(owed / (words / len(part)) + u))))
+            p = inclusion_probabilities([rows[k][1] for k in part], n)
+            owed -= sum(x * rows[k][1] for k, x in zip(part, p))
+            ranks = []
+            for k, x in zip(part, p):
+                v = (((rows[k][3] % 2**64) >> 11) + 0.5) / 2**53
+                q = v * (1 - x) / ((1 - v) * x) if 0 < x < 1 else 0.0
+                ranks.append((max(1, math.floor(q / (1 + q) * 2**52)) if x < 1 else 0, rows[k][4]))
+            order = sorted(set(ranks))
+            before = 0
+            for r in order if n else []:
+                group = [k for k, x in zip(part, ranks) if x == r]
+                if before + len(group) - (len(group) - 1) // 2 > n:
+                    break
+                for k in group:
+                    out[k] += 1
+                before += len(group)
+    return out
+
+
+def inclusion_probabilities(sizes, n):
+    """In proportion to size, 1 at most, summing up to n."""
+    certain = set()
+    while True:
+        rest = sum(s for s in sizes if s not in certain)
+        left = n - sum(s in certain for s in sizes)
+        more = {s for s in sizes if s not in certain and left * s >= rest}
+        if not more:
+            return [1.0 if s in certain else s / (rest / left) if left else 0.0 for s in sizes]
+        certain.add(max(more))

@@ -220,16 +220,52 @@ def test_mix_meets_targets_and_repeats_itself(odd_documents, odd_rows):
     assert sorted(map(repr, got)) == sorted(map(repr, source_mix.taken_words(odd_documents.repartition(7)).collect()))
 
 
-def test_mix_narrows_large_sources_down(spark, monkeypatch):
-    monkeypatch.setattr(source_mix, "LIMIT", 20)
-    monkeypatch.setattr(source_mix, "BINS", 4)
-    rows = [(k, "w " * (1 + k % 37), "a" if k % 3 else "b") for k in range(3000)]
-    out = source_mix.taken_words(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
-    by = out.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
-    assert (abs(by.taken - by.target) < 40).all()
-    # an extra copy is likelier for a long text
-    extra = out[out.source == "a"].assign(more=lambda d: d.copies - d.copies.min())
-    assert extra[extra["size"] > 18].more.mean() > extra[extra["size"] <= 18].more.mean()
+def drawn(documents, seed):
+    """The rows as the plain version takes them, with their ids."""
+    rows = source_mix.with_class(documents.select("doc_id", "source", *(c.alias(k) for k, c in source_mix._keys(seed).items()))).collect()
+    return [r.doc_id for r in rows], [(r.source, r["size"], r["class"], r.draw, r.tie) for r in rows]
+
+
+@pytest.mark.parametrize("limit", [20, 10_000])
+def test_mix_takes_what_the_plain_version_takes(spark, monkeypatch, odd_documents, limit):
+    monkeypatch.setattr(source_mix, "LIMIT", limit)
+    monkeypatch.setattr(source_mix, "BINS", 4 if limit == 20 else 1024)
+    rows = [(k, "w " * (1 + k * k % 137 + (5000 if k % 500 == 7 else 0)), "a" if k % 3 else "b") for k in range(2000)]
+    rows += [(5000, "same text here", "a")] * 7 + [(6000 + k, None if k % 2 else "  ", "z") for k in range(9)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string, source string"), odd_documents.select("doc_id", "text", "source")):
+        ids, plain = drawn(df, 5)
+        got = source_mix.taken_words(df, seed=5).collect()
+        assert Counter((r.doc_id, r.source, r["size"], r.copies) for r in got) == Counter((i, r[0], r[1], c) for i, r, c in zip(ids, plain, brute.mixed_copies(plain, 5)))
+    by = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = source_mix.taken_words(by).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("words")).collect()
+    assert all(abs(r.taken - r.target) <= 0.01 * r.words for r in by)
+
+
+def test_mix_includes_documents_as_often_as_their_probability_says():
+    rng = np.random.default_rng(8)
+    sizes = [int(x) for x in np.exp(rng.normal(5, 1, 150))]
+    classes = [int(np.floor(np.log2(max(x, 1)) * source_mix.CLASSES)) for x in sizes]
+    rates = np.zeros(len(sizes))
+    for seed in range(500):
+        rows = [("b" if k % 2 else "a", s, c, int(d), k) for k, (s, c, d) in enumerate(zip(sizes, classes, rng.integers(0, 2**64, len(sizes), dtype=np.uint64)))]
+        rates += brute.mixed_copies(rows, seed)
+    rates /= 500
+    totals = {s: sum(x for k, x in enumerate(sizes) if ("b" if k % 2 else "a") == s) for s in "ab"}
+    goals = brute.targets(totals)
+    want = np.array([goals["b" if k % 2 else "a"] / totals["b" if k % 2 else "a"] for k in range(len(sizes))])
+    assert abs(np.corrcoef(rates, want)[0, 1]) > 0.9 and np.abs(rates - want).max() < 0.15
+
+
+def test_inclusion_probabilities_sum_to_the_sample(spark):
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        sizes = np.unique(rng.integers(1, 60, 12))
+        counts = rng.integers(1, 5, len(sizes))
+        n = int(rng.integers(0, counts.sum() + 1))
+        words, certain = source_mix.inclusion(sizes, counts, n)
+        p = np.where(sizes >= certain, 1.0, sizes / words)
+        assert p.max() <= 1 and (p * counts).sum() == pytest.approx(n)
+        assert np.allclose(np.repeat(p, counts), brute.inclusion_probabilities(np.repeat(sizes, counts).tolist(), n))
 
 
 def test_mix_repeats_rows_with_their_columns(odd_documents, no_documents):
