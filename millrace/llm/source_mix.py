@@ -9,7 +9,8 @@ whole copies are certain. The words still missing come from one more copy of som
 source's documents are sampled in classes of like size (CLASSES to a doubling), from the
 largest class down. A class is due its share of the missing words and what the classes
 before it left or overdrew; in documents of its mean size that gives the class's sample
-size, rounded up or down at random so that it is right in the mean. Within a class, a
+size, rounded up or down at random so that it is right in the mean, or to the nearest
+where the smaller documents couldn't even that out. Within a class, a
 document's inclusion probability p is in proportion to its size and sums up to the sample
 size; where that gives 1 or more the document is certain, and the others share the rest.
 Documents are ranked by the odds of a uniform number over the odds of p, certain ones
@@ -43,7 +44,7 @@ from millrace.llm.common import n_words, sized, written
 #: The weights in turn, the share in percent, and the most copies.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 150, 2
 #: Size classes to a doubling; histogram bins of a level, and rows of a class that are ordered.
-CLASSES, BINS, LIMIT = 8, 1024, 10_000
+CLASSES, BINS, LIMIT = 32, 1024, 10_000
 TOP = 1 << 52
 
 
@@ -97,13 +98,16 @@ def sample_sizes(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     """The plan of one source, of its sizes and their counts: a row (skey, class, n, words,
     certain) for each size class."""
     skey, missing = str(rows["skey"].iloc[0]), int(rows["missing"].iloc[0])
-    share, owed, out = missing / int((rows["size"] * rows["count"]).sum()), 0.0, []
+    smaller = int((rows["size"] * rows["count"]).sum())
+    share, owed, out = missing / smaller, 0.0, []
     for cls, part in sorted(rows.groupby("class"), key=lambda x: -x[0]):
         sizes, counts = part["size"].to_numpy(np.int64), part["count"].to_numpy(np.int64)
         words, documents = int((sizes * counts).sum()), int(counts.sum())
         owed += share * words
+        smaller -= words
+        evened = words / documents <= min(share, 1 - share) * smaller
         u = int.from_bytes(hashlib.blake2b(f"{seed} {cls} {skey}".encode(), digest_size=7).digest(), "big") / (1 << 56)
-        n = int(min(documents, max(0, np.floor(owed / (words / documents) + u))))
+        n = int(min(documents, max(0, np.floor(owed / (words / documents) + (u if evened else 0.5)))))
         per, certain = inclusion(sizes, counts, n)
         p = np.where(sizes >= certain, 1.0, sizes / per)
         owed -= float((p * sizes * counts).sum())

@@ -104,7 +104,8 @@ def mixed_copies(rows, seed, most=2):
             words = sum(rows[k][1] for k in part)
             owed += missing / total * words
             name = "n" if s is None else "s" + s
-            u = int.from_bytes(hashlib.blake2b(f"{seed} {cls} {name}".encode(), digest_size=7).digest(), "big") / 2**56
+            below = sum(rows[k][1] for k in mine if rows[k][2] < cls)
+            u = 0.5 if words / len(part) > min(missing / total, 1 - missing / total) * below else int.from_bytes(hashlib.blake2b(f"{seed} {cls} {name}".encode(), digest_size=7).digest(), "big") / 2**56
             n = int(min(len(part), max(0, math.floor(owed / (words / len(part)) + u))))
             p = inclusion_probabilities([rows[k][1] for k in part], n)
             owed -= sum(x * rows[k][1] for k, x in zip(part, p))
