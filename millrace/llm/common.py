@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch between Spark and Python.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 #: Tables of a few numbers a row are broadcast up to this many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -51,12 +51,17 @@ def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     Tables stay, as results are read lazily, until ``removed_after`` or ``remove_scratch``
     removes them; a ``lasting`` one stays past the former.
     """
-    spark = df.sparkSession
+    path = fresh_path(df.sparkSession, name, lasting)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A path of its own below the shared folder."""
     path = f"{scratch(spark)}/millrace-{uuid.uuid4().hex}/{name}"
     if not lasting:
         _tables.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def remove_scratch(spark: SparkSession, since: int = 0) -> None:

@@ -1,26 +1,34 @@
 """Secret scans over an incremental ledger of blobs; built-in functions only.
 
-Every version of every path is addressed by the SHA-256 of its text. The ledger holds the
-(blob, rule, rule version) triples that were scanned, so a run scans each distinct text
-once, and only by rules it has not met in their present version. Findings are kept by
-blob and joined back to all paths that hold it.
-
-Spans are code points, end exclusive. A null text is the empty text; a null path keeps its
-row. Rows may repeat: each gives its own row of the result. Only the named columns are
-read, so other columns may have any name.
+Every version of every path is addressed by the SHA-256 of its text, its blob. The ledger
+is a Parquet table in the shared folder, to which each run appends a row for each blob that
+it scanned: the rules it ran, with their versions, and what they found. A run scans each
+distinct text once, and only by the rules whose present version the ledger has not met for
+that blob. Findings are joined back to all paths that hold the blob, those of earlier runs
+with those of this one; findings of a rule's older versions stay in the ledger and are not
+joined.
+
+``digest`` keeps such a ledger itself: it takes the table's rows as two runs, half of the
+paths each, the second against what the first has left, and joins both back to all rows.
+
+Spans are code points, end exclusive; by start, and of one start by the rules' order. A
+null text is the empty text; a null path keeps its row. Very long texts are scanned whole.
+Rows may repeat: each gives its own row of the result. An empty table gives an empty
+result. Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import whole_text, written
+from millrace.llm.common import fresh_path, whole_text, written
 
 MARK, OTHER = "\x01", "\x02"
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+SPAN = "array<struct<start:int,end:int,kind:string>>"
+LEDGER = f"blob string, rules array<string>, spans {SPAN}"
 
 
 def either_case(word: str) -> str:
@@ -55,12 +63,12 @@ BASE = (
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("url", r"\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D/:@]*:[^\x20\x09-\x0D/:@]+@", version=2),
 )
 RULES = BASE + MORE
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
+def spans_of(text: Column, rule: Rule) -> Column:
     """Spans of the leftmost non-overlapping matches of ``rule`` that are long enough.
 
     Matches are set between marks and the text is split at the marks: every second part
@@ -72,7 +80,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
         kept = acc["inside"] & (F.length(F.regexp_extract(part, rule.pattern, rule.group)) >= rule.least)
-        span = F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        span = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         found = F.when(kept, F.concat(F.coalesce(acc["found"], F.array().cast(SPAN)), F.array(span))).otherwise(acc["found"])
         return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), found.alias("found"))
 
@@ -80,39 +88,54 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(SPAN))
 
 
-def with_blob(versions: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with ``blob``, the SHA-256 of their text."""
-    return versions.withColumn("blob", F.sha2(whole_text(text), 256))
-
-
-def scan(versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """Scan what the ledger (blob, rule, version) lacks: (blob, todo, spans) of each distinct
-    text with something to do; ``todo`` lists the rule keys that were run, ``spans`` what
-    they found, by start and then by the rule's place in ``rules``."""
+def scan(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """What a run adds to the ledger: (blob, rules, spans) of each distinct text that some
+    rule has not met in its present version, by those rules alone."""
     keys = F.array(*(F.lit(r.key) for r in rules))
+    none = F.array().cast(SPAN)
     # marks in a text become another control character of the same length; no rule meets either
     clean = F.when(F.contains(whole_text(text), F.lit(MARK)), F.translate(whole_text(text), MARK, OTHER)).otherwise(whole_text(text))
     blobs = versions.select(F.sha2(whole_text(text), 256).alias("blob"), clean.alias("content")).dropDuplicates(["blob"])
-    if ledger is None:
-        blobs = blobs.withColumn("todo", keys)
-    else:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
-        blobs = blobs.where(F.size("todo") > 0)
-    each = [F.when(F.array_contains("todo", r.key), spans_of(F.col("content"), r, i)).otherwise(F.array().cast(SPAN)) for i, r in enumerate(rules)]
-    return blobs.select("blob", "todo", F.array_sort(F.concat(*each)).alias("spans"))
-
-
-def ledger_rows(scanned: DataFrame) -> DataFrame:
-    """What a scan adds to the ledger: (blob, rule, version)."""
-    done = scanned.select("blob", F.explode("todo").alias("key"))
-    return done.select("blob", F.substring_index("key", "@", 1).alias("rule"), F.substring_index("key", "@", -1).cast("int").alias("version"))
-
-
-def to_paths(versions: DataFrame, findings: DataFrame, text: str = "text") -> DataFrame:
-    """Every row of ``versions`` with the spans of its blob; those without any get none."""
-    some = findings.where(F.size("spans") > 0).select("blob", "spans")
-    joined = with_blob(versions, text).join(some, "blob", "left")
+    seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
+    todo = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))
+    blobs = blobs.join(seen, "blob", "left").withColumn("rules", todo).where(F.size("rules") > 0)
+    each = [F.when(F.array_contains("rules", r.key), spans_of(F.col("content"), r)).otherwise(none) for r in rules]
+    return blobs.select("blob", "rules", F.concat(*each).alias("spans"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``; an empty one if no run has written there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
+
+
+def run(versions: DataFrame, path: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One run: scan what the ledger at ``path`` lacks, append it, and return the ledger."""
+    spark = versions.sparkSession
+    scan(versions, read_ledger(spark, path), text, rules).write.mode("append").parquet(path)
+    return read_ledger(spark, path)
+
+
+def current(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of the blobs with findings by the present versions of ``rules``, each
+    blob once, in order; the spans of a rule are those of one run."""
+    places = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)))
+    keys = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.key)))
+    some = ledger.where(F.size("spans") > 0)
+    valid = F.filter("spans", lambda s: F.array_contains("rules", F.coalesce(keys[s["kind"]], F.lit(""))))
+    ranked = F.transform(valid, lambda s: F.struct(s["start"].alias("start"), places[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    # two runs at one time may have scanned a blob alike
+    grouped = some.select("blob", ranked.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return grouped.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
+
+
+def to_paths(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every row of ``versions``, without its text, with its blob and the spans of that."""
+    paths = versions.select(*(F.col(f"`{c}`") for c in versions.columns if c not in (text, "blob", "spans")), F.sha2(whole_text(text), 256).alias("blob"))
+    # written, so that the join back is one of its own: few blobs have findings, and where
+    # they are too many to broadcast, Spark can split the paths of a hot blob
+    joined = paths.join(written(current(ledger, rules), "findings"), "blob", "left")
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
@@ -122,16 +145,13 @@ def listed(spans: Column) -> Column:
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """The contract's columns for a table of (doc_id, text), scanned with an empty ledger."""
+    """The contract's columns for a table of (doc_id, text): two runs over a new ledger."""
     held = documents.select("doc_id", "text")
-    # the join back needs the blob alone, so the text is not shuffled with it
-    paths = with_blob(held).select("doc_id", "blob")
-    # written, so that the join back is one of its own: few blobs have findings, and where
-    # they are too many to broadcast, Spark can split the paths of a hot blob
-    some = written(scan(held).where(F.size("spans") > 0).select("blob", "spans"), "findings")
-    spans = F.coalesce("spans", F.array().cast(SPAN))
-    found = paths.join(some, "blob", "left").select("doc_id", spans.alias("spans"))
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    path = fresh_path(documents.sparkSession, "ledger")
+    earlier = F.xxhash64("doc_id") >= 0
+    run(held.where(earlier), path)
+    found = to_paths(held, run(held.where(~earlier), path))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
     return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 

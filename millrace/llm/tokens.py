@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: White space before a space; there the cut at spaces would not be exact.
 _UNSAFE = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}] "
 #: Texts are gathered to this many bytes for arrays over their words, and for encoding.
-BATCH_BYTES, ENCODE_BYTES = 4 << 20, 2 << 20
+BATCH_BYTES, ENCODE_BYTES = 1 << 20, 2 << 20
 #: Texts that go to the tokenizer in one call: it makes an object of some hundred bytes a token.
 CALL_BYTES, CALL_WORDS = 1 << 19, 16_384
 #: Bytes of chunks, and as many of their ids, that a worker keeps for its next batches.
