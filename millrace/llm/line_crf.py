@@ -6,13 +6,24 @@ adds how labels follow each other. Forward-backward gives every line's probabili
 good, the document's mean of these, weighted by line length, is its raw score, and a
 logistic curve, fitted on the same sample, turns that into a probability.
 
-The model learns from labelled documents outside the held-out fold, TRAIN_DOCUMENTS of
-them at most (those of the least hash), a line's label being its document's. Nothing but
-the text is an input. Scoring reads every whole text once and shuffles nothing.
+Only documents have labels, so the lines' are latent. In turns, the lines of the sample are
+labelled by the model itself, tilted just as far as a document's label demands (of a
+document with label 1 at least GOOD_SHARE of the length is good, of one with label 0 at
+most BAD_SHARE; posterior regularisation), and the model is fitted to these labels. Real
+documents seldom change from good to bad, so that alone would teach the chain that labels
+never change: as many chains again are spliced from stretches of a good and a bad one,
+with the labels that the lines have in their own documents.
+
+The model learns from labelled documents outside the held-out fold, TRAIN_DOCUMENTS rows
+with TRAIN_LINES lines at most (those of the least hash; a document with more lines than
+are left is passed over). Nothing but the text is an input. Scoring reads every whole
+text once, however long, and shuffles nothing.
 
 A null or empty text has no lines and gets the sample's share of label 1. Labels that are
-neither 0 nor 1, null ids and repeated labels are passed over, or count as often as they
-occur. Without any usable label all scores are 0.5. Rows of documents keep their number.
+neither 0 nor 1 and null ids are passed over; repeated labels, also unlike ones, and rows
+of one doc_id are samples of their own. Without any usable label all scores are 0.5. A
+score of exactly GOOD is good. Rows of documents keep their number; an empty table gives
+an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +44,11 @@ from millrace.llm.tokens import batched
 from millrace.llm.words import word_hashes, words
 
 #: The bound of the training sample, the folds, and the score from which a document is good.
-TRAIN_DOCUMENTS, FOLDS, GOOD = 6000, 5, 0.3
+TRAIN_DOCUMENTS, TRAIN_LINES, FOLDS, GOOD = 6000, 150_000, 5, 0.3
 #: Training cuts longer documents into chains of this many lines; steps and rate of Adam.
 CHAIN, STEPS, RATE, DECAY = 64, 200, 0.1, 1e-3
+#: Steps between two labellings of the lines, and what the documents' labels demand of them.
+RELABEL, GOOD_SHARE, BAD_SHARE = 40, 0.9, 0.5
 
 
 def _table(chars: str) -> np.ndarray:
@@ -47,7 +60,8 @@ def _table(chars: str) -> np.ndarray:
 UPPER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 LETTER = UPPER | _table("abcdefghijklmnopqrstuvwxyz") | (np.arange(256) >= 0x80)
 CLASSES = (_table("#*$%&|<>"), UPPER, LETTER, _table("0123456789"), _table("!?.,;:"))
-NEIGHBOURS = slice(1, 5)
+#: Features of a line's own, and those that its neighbours lend it.
+OWN, NEIGHBOURS = 8, slice(1, 5)
 
 
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,14 +163,13 @@ class Model:
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
 
+    def marginals(self, x: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Each line's probability of good."""
+        return forward_backward(self.scaled(x) @ self.weights, lines, self.steps)[0]
+
     def raw(self, x: np.ndarray, size: np.ndarray, lines: np.ndarray) -> np.ndarray:
         """Length-weighted mean of the lines' probabilities, by document; nan without lines."""
-        p, _ = forward_backward(self.scaled(x) @ self.weights, lines, self.steps)
-        heft = size + 1.0
-        upto = lambda v: np.concatenate([[0.0], np.cumsum(v)])
-        edges = np.concatenate([[0], np.cumsum(lines)])
-        total = np.diff(upto(heft)[edges])
-        return np.where(lines > 0, np.diff(upto(heft * p)[edges]) / np.maximum(total, 1e-9), np.nan)
+        return weighted_mean(self.marginals(x, lines), size + 1.0, lines)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         raw = self.raw(*line_features(texts))
@@ -164,6 +177,14 @@ class Model:
         return np.where(np.isnan(raw), self.prior, found)
 
 
+def weighted_mean(p: np.ndarray, heft: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Means of consecutive runs of ``lines`` values; nan where there are none."""
+    upto = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+    edges = np.concatenate([[0], np.cumsum(lines)])
+    total = np.diff(upto(heft)[edges])
+    return np.where(lines > 0, np.diff(upto(heft * p)[edges]) / np.maximum(total, 1e-9), np.nan)
+
+
 def logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
@@ -176,25 +197,94 @@ def _chains(lines: np.ndarray) -> np.ndarray:
     return np.minimum(CHAIN, np.repeat(lines, pieces) - nth * CHAIN)
 
 
+def tilted(scores: np.ndarray, heft: np.ndarray, chains: np.ndarray, good: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The lines' probabilities of good, once each chain's scores are shifted alike, by as
+    little as its document's label ``good`` demands."""
+    p = forward_backward(scores, chains, steps)[0]
+    off = lambda p, which: np.where(good[which], weighted_mean(p, heft_of(which), chains[which]) < GOOD_SHARE, weighted_mean(p, heft_of(which), chains[which]) > BAD_SHARE)
+    line_of = np.repeat(np.arange(len(chains)), chains)
+    every = np.arange(len(chains))
+
+    def heft_of(which: np.ndarray) -> np.ndarray:
+        return heft[np.isin(line_of, which)] if len(which) < len(chains) else heft
+
+    bad = every[off(p, every)]
+    if not len(bad):
+        return p
+    inside = np.isin(line_of, bad)
+    sign = np.where(good[bad], 1.0, -1.0)
+    low, high = np.zeros(len(bad)), np.full(len(bad), 30.0)
+    for _ in range(12):
+        middle = (low + high) / 2
+        moved = forward_backward(scores[inside] + np.repeat(sign * middle, chains[bad]), chains[bad], steps)[0]
+        short = off(moved, bad)
+        low, high = np.where(short, middle, low), np.where(short, high, middle)
+    p[inside] = forward_backward(scores[inside] + np.repeat(sign * high, chains[bad]), chains[bad], steps)[0]
+    return p
+
+
+def spliced(chains: np.ndarray, good: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, chains): as many chains as there are of the rarer label, each of two stretches
+    of a good chain in turn with two of a bad one, by the positions of their lines."""
+    rng = np.random.default_rng(seed)
+    heads = np.cumsum(chains) - chains
+    sides = [rng.permutation(np.flatnonzero((good == g) & (chains > 0))) for g in (True, False)]
+    at, lengths = [], []
+    for pair in zip(*sides):
+        pair = pair if rng.random() < 0.5 else pair[::-1]
+        cuts = [int(rng.integers(0, chains[c] + 1)) for c in pair]
+        whole = [np.arange(heads[c], heads[c] + chains[c]) for c in pair]
+        at += [whole[0][: cuts[0]], whole[1][: cuts[1]], whole[0][cuts[0] :], whole[1][cuts[1] :]]
+        lengths.append(int(chains[pair[0]] + chains[pair[1]]))
+    return np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64), np.array(lengths, np.int64)
+
+
+def neighboured(x: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The features with those of the lines before and after as they are in these ``lines``."""
+    out, near = x.copy(), x[:, NEIGHBOURS]
+    k, width = OWN, near.shape[1]
+    first = np.zeros(len(x), bool)
+    first[(np.cumsum(lines) - lines)[lines > 0]] = True
+    out[:, k : k + 2 * width] = 0
+    inner = np.flatnonzero(~first)
+    out[inner, k : k + width] = near[inner - 1]
+    out[inner - 1, k + width : k + 2 * width] = near[inner]
+    return out
+
+
 def fit(x: np.ndarray, size: np.ndarray, lines: np.ndarray, labels: np.ndarray) -> Model:
-    """The model of most likely line labels, by Adam over the whole sample."""
+    """The model of most likely document labels, the lines' being latent."""
     scale = x.std(axis=0)
     model = Model(np.where(scale > 0, x.mean(axis=0), 0), np.where(scale > 0, scale, 1), np.zeros(x.shape[1]), np.zeros((2, 2)))
     model.prior = float(np.clip(labels.mean(), 0.01, 0.99))
     if not len(x):
         return model
-    z, y = model.scaled(x), np.repeat(labels, lines).astype(float)
     chains = _chains(lines)
-    inner = np.ones(len(y), bool)
-    inner[(np.cumsum(chains) - chains)[chains > 0]] = False
-    at = np.flatnonzero(inner)
-    seen = np.bincount((2 * y[at - 1] + y[at]).astype(int), minlength=4).reshape(2, 2)
+    good = np.repeat(labels > 0, -(-lines // CHAIN))
+    at, more = spliced(chains, good)
+    source = np.concatenate([np.arange(len(x)), at])
+    own, y = model.scaled(x), np.repeat(labels, lines).astype(float)
+    z = np.concatenate([own, model.scaled(neighboured(x[at], more))])
+    every = np.concatenate([chains, more])
+    inner = np.ones(len(z), bool)
+    inner[(np.cumsum(every) - every)[every > 0]] = False
+    inner = np.flatnonzero(inner)
+
+    def seen_pairs(y: np.ndarray) -> np.ndarray:
+        both = np.stack([1 - y, y], axis=1)
+        return both[inner - 1].T @ both[inner]
+
+    target = y[source]
+    seen = seen_pairs(target)
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, STEPS + 1):
         weights, steps = theta[:-4], theta[-4:].reshape(2, 2)
-        p, pairs = forward_backward(z @ weights, chains, steps)
-        up = np.concatenate([(y - p) @ z, (seen - pairs).ravel()]) / len(y) - DECAY * theta
+        if k % RELABEL == 0:
+            target = tilted(own @ weights, size + 1.0, chains, good, steps)[source]
+            seen = seen_pairs(target)
+        p, pairs = forward_backward(z @ weights, every, steps)
+        up = np.concatenate([(target - p) @ z, (seen - pairs).ravel()]) / len(target) - DECAY * theta
         m, v = 0.9 * m + 0.1 * up, 0.999 * v + 0.001 * up * up
         theta = theta + RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     model.weights, model.steps = theta[:-4], theta[-4:].reshape(2, 2)
@@ -214,32 +304,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Model:
-    """Fit on ``most`` labelled documents at most; their line features come to the driver."""
+def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS, most_lines: int = TRAIN_LINES) -> Model:
+    """Fit on ``most`` labelled rows with ``most_lines`` lines at most, whose features come to the driver."""
     bounded_batches(documents.sparkSession)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     drawn = written(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most), "drawn")
     # bounded by ``most`` rows
-    sample = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "quality")
+    sample = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id", "text", "quality").alias("h"), "text", "quality")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batched(batches):
             x, size, lines = line_features(table.column("text").combine_chunks())
             cuts = np.cumsum(lines)
             of = lambda a: [a[e - k : e].astype("<f4").tobytes() for e, k in zip(cuts.tolist(), lines.tolist())]
-            yield pa.RecordBatch.from_arrays([table.column("quality").combine_chunks(), pa.array(of(x), pa.binary()), pa.array(of(size), pa.binary())], names=["quality", "x", "size"])
-
-    rows = sample.mapInArrow(read, "quality int, x binary, size binary").toArrow()
+            yield pa.RecordBatch.from_arrays([table.column("h").combine_chunks(), table.column("quality").combine_chunks(), pa.array(lines), pa.array(of(x), pa.binary()), pa.array(of(size), pa.binary())], names=["h", "quality", "lines", "x", "size"])
+
+    rows = written(sample.mapInArrow(read, "h long, quality int, lines long, x binary, size binary"), "features")
+    # repeated rows tie in h: all of them or none
+    sizes = rows.groupBy("h").agg(F.sum("lines").alias("lines"), F.count("*").alias("rows")).orderBy("h").limit(most).collect()
+    taken, held, left = [], 0, most_lines
+    for r in sizes:
+        if r["lines"] <= left and held + r["rows"] <= most:
+            taken, held, left = [*taken, (r["h"],)], held + r["rows"], left - r["lines"]
+    if not taken:
+        return Model(np.zeros(17), np.ones(17), np.zeros(17), np.zeros((2, 2)), slope=0.0)
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(taken, "h long"))
+    rows = rows.join(wanted, "h").orderBy("h").select("quality", "x", "size").toArrow()
     sizes = [np.frombuffer(b, "<f4") for b in rows["size"].to_pylist()]
     lines = np.array([len(s) for s in sizes], np.int64)
     size = np.concatenate([np.zeros(0), *sizes]).astype(np.float64)
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f4").astype(np.float64)
     x = x.reshape(len(size), -1) if len(size) else np.zeros((0, 17))
-    if not len(lines):
-        return Model(np.zeros(17), np.ones(17), np.zeros(17), np.zeros((2, 2)), slope=0.0)
     return fit(x, size, lines, rows["quality"].to_numpy().astype(float))
 
 
+def labelled_lines(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id and ``good``, the probability of good of each of its lines, in order."""
+    bounded_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    held = documents.select("doc_id", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batched(batches):
+            x, _, lines = line_features(table.column("text").combine_chunks())
+            ends = np.concatenate([[0], np.cumsum(lines)]).astype(np.int32)
+            good = pa.ListArray.from_arrays(pa.array(ends), pa.array(shared.value.marginals(x, lines)))
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), good], names=["doc_id", "good"])
+
+    return held.mapInArrow(read, T.StructType([held.schema["doc_id"], T.StructField("good", T.ArrayType(T.DoubleType()))]))
+
+
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     bounded_batches(documents.sparkSession)

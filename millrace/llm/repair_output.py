@@ -3,24 +3,29 @@
 Documents are dealt by ranges of doc_id (null first) and encoded in order. A task closes a
 shard when it holds SHARD_TOKENS ids, at the end of a document, so a shard is one document
 or bounded. In every round the shard's most frequent pairs are replaced, from left to
-right and not across the end of a document, until no pair is frequent, a round gains less
-than LEAST_GAIN, or the symbols no longer fit 16 bits. Many pairs a round, rather than
-one, is what makes this linear passes over arrays.
+right and not across the end of a document, until no pair is frequent. Many pairs a round,
+rather than one, is what makes this linear passes over arrays. A rule costs about three
+symbols (its pair and its length), and pairs that overlap lose some of the uses that were
+counted; a pair is frequent from LEAST_USES on, where bytes were least as measured.
 
 A shard's file holds the rules, how many ids each nonterminal stands for, the sequence,
-and for each document its id, its ids and its symbols. With the prefix sums of the
-lengths, any stretch of ids is decoded without what stands before it (``stretch``).
-Spark writes the shards as rows of a Parquet table, so that any store it knows will do;
-each row also has the number of the partition's ids before the shard.
-
-A null text is the empty text: its end id alone. Repeated rows are documents of their own,
-next to each other. An empty table gives empty output. Only doc_id and text are read.
+and for each document its id, its ids and its symbols. Symbols are packed in as many bits
+as the largest needs, so their number has no bound. No symbol spans two documents: with
+the prefix sums of the symbols a document, and with those of the lengths any stretch of
+ids, is decoded without what stands before it (``document``, ``stretch``). Spark writes the
+shards as rows of a Parquet table, so that any store it knows will do; each row also has
+the number of the partition's ids before the shard.
+
+A null text is the empty text: its end id alone. A very long text is one shard. Repeated
+rows, and rows of one doc_id, are documents of their own, next to each other in the order
+of a hash of their text. An empty table gives empty output. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,32 +38,35 @@ from millrace.llm.packing import with_end
 from millrace.llm.tokens import ENCODE_BYTES, batched, crc, encode, tokenizer, vocabulary
 
 SHARD_TOKENS = 1 << 20
-#: Pairs replaced in one round, the least uses of a pair, the least share that a round saves.
-PAIRS, LEAST_USES, LEAST_GAIN = 3000, 8, 0.01
+#: Pairs replaced in one round, and the least uses of a frequent pair.
+PAIRS, LEAST_USES = 1000, 8
+#: Buckets in which pairs are counted before they are told apart, by a power of two.
+COUNTED = 20
+#: Documents that are read back at a time.
+AT_A_TIME = 64
 END = 0
-MAGIC, HEAD = b"RPT1", struct.Struct("<4sqqqqq")
+MAGIC, HEAD = b"RPT2", struct.Struct("<4sqqqqq")
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST_USES, gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, last: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, sequence, last): rules[k] is the pair that symbol base + k stands for; ``last``
     marks the symbols that end a document."""
-    wide = np.uint64 if base > 1 << 16 else np.uint32
-    bits = wide(8 * np.dtype(wide).itemsize // 2)
-    top, rules = 1 << int(bits), []
-    seq, last, used = ids.astype(wide), last.copy(), base
+    half, rules = np.uint64(32), []
+    bucket = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTED)).astype(np.int64)
+    seq, last, used = ids.astype(np.uint64), last.copy(), base
     while len(seq) > 1:
-        codes = (seq[:-1] << bits) | seq[1:]
-        inside = ~last[:-1]
-        found, uses = np.unique(codes[inside], return_counts=True)
+        codes = (seq[:-1] << half) | seq[1:]
+        # most pairs are rare: only those in well-filled buckets are sorted
+        in_bucket = bucket(codes)
+        at = np.flatnonzero((np.bincount(in_bucket, minlength=1 << COUNTED)[in_bucket] >= least) & ~last[:-1])
+        found, uses = np.unique(codes[at], return_counts=True)
         found, uses = found[uses >= least], uses[uses >= least]
-        found = np.sort(found[np.argsort(-uses, kind="stable")[: min(pairs, top - used)]])
+        found = np.sort(found[np.argsort(-uses, kind="stable")[:pairs]])
         if not len(found):
             break
-        # a small table passes over most places before the exact search
-        spread = lambda c: (c * wide(2654435761)) >> wide(int(2 * bits) - 18)
-        table = np.zeros(1 << 18, bool)
-        table[spread(found)] = True
-        at = np.flatnonzero(table[spread(codes)] & inside)
+        chosen = np.zeros(1 << COUNTED, bool)
+        chosen[bucket(found)] = True
+        at = at[chosen[in_bucket[at]]]
         rule = np.minimum(np.searchsorted(found, codes[at]), len(found) - 1)
         at, rule = at[found[rule] == codes[at]], rule[found[rule] == codes[at]]
         # of places that overlap in a row, every second one is replaced
@@ -66,18 +74,34 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, pairs: int = PAIRS, l
         heads = np.where(np.append(True, at[1:] != at[:-1] + 1), place, 0)
         free = (place - np.maximum.accumulate(heads)) % 2 == 0
         at, rule = at[free], rule[free]
-        rules.append(np.stack([found >> bits, found & wide(top - 1)], axis=1).astype(np.int64))
-        before = len(seq)
-        seq[at] = (used + rule).astype(wide)
+        rules.append(np.stack([found >> half, found & np.uint64((1 << 32) - 1)], axis=1).astype(np.int64))
+        seq[at] = (used + rule).astype(np.uint64)
         last[at] = last[at + 1]
-        stays = np.ones(before, bool)
+        stays = np.ones(len(seq), bool)
         stays[at + 1] = False
         seq, last, used = seq[stays], last[stays], used + len(found)
-        if len(seq) > (1 - gain) * before:
-            break
     return np.concatenate([np.zeros((0, 2), np.int64), *rules]), seq.astype(np.int64), last
 
 
+def packed(values: np.ndarray, bits: int) -> bytes:
+    """Numbers of ``bits`` bits each, one after another, least bit first."""
+    parts = []
+    for k in range(0, len(values), 1 << 16):  # a multiple of eight numbers ends with a byte
+        wide = (values[k : k + (1 << 16), None] >> np.arange(bits)) & 1
+        parts.append(np.packbits(wide.astype(np.uint8), bitorder="little").tobytes())
+    return b"".join(parts)
+
+
+def unpacked(data: np.ndarray, bits: int, n: int) -> np.ndarray:
+    """``n`` numbers that ``packed`` wrote."""
+    out, step = np.zeros(n, np.int64), 1 << 16
+    for k in range(0, n, step):
+        part = np.unpackbits(data[k * bits // 8 : (k + step) * bits // 8], bitorder="little")[: min(step, n - k) * bits].reshape(-1, bits)
+        for b in range(bits):
+            out[k : k + step] |= part[:, b].astype(np.int64) << b
+    return out
+
+
 def spans(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each nonterminal stands for; a rule uses earlier ones only."""
     out = np.ones(len(rules), np.int64)
@@ -105,18 +129,18 @@ def to_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, bas
     last[np.cumsum(counts) - 1] = True
     rules, seq, last = compress(ids, last, base)
     symbols = np.diff(np.append(-1, np.flatnonzero(last)))
-    width = 2 if base + len(rules) <= 1 << 16 else 4
+    bits = int(base + len(rules)).bit_length()
     known = np.array([d is not None for d in doc_ids], np.uint8)
     named = np.array([d or 0 for d in doc_ids], "<i8")
-    parts = [HEAD.pack(MAGIC, base, len(rules), len(seq), len(doc_ids), width), rules.astype("<u4").tobytes(), spans(rules, base).astype("<u4").tobytes()]
-    return b"".join([*parts, seq.astype(f"<u{width}").tobytes(), named.tobytes(), known.tobytes(), counts.astype("<i8").tobytes(), symbols.astype("<i8").tobytes()])
+    parts = [HEAD.pack(MAGIC, base, len(rules), len(seq), len(doc_ids), bits), packed(rules.ravel(), bits), spans(rules, base).astype("<u4").tobytes()]
+    return b"".join([*parts, packed(seq, bits), named.tobytes(), known.tobytes(), counts.astype("<i8").tobytes(), symbols.astype("<i8").tobytes()])
 
 
 class Shard:
     """A shard that was read."""
 
     def __init__(self, data: bytes) -> None:
-        magic, self.base, n_rules, n_seq, n_docs, width = HEAD.unpack_from(data)
+        magic, self.base, n_rules, n_seq, n_docs, bits = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("no shard of this format")
         at = HEAD.size
@@ -127,26 +151,36 @@ class Shard:
             at += found.nbytes
             return found
 
-        self.rules = take("<u4", 2 * n_rules).astype(np.int64).reshape(-1, 2)
+        symbols = lambda n: unpacked(take("<u1", -(-n * bits // 8)), bits, n)
+        self.rules = symbols(2 * n_rules).reshape(-1, 2)
         self.spans = take("<u4", n_rules).astype(np.int64)
-        self.seq = take(f"<u{width}", n_seq).astype(np.int64)
+        self.seq = symbols(n_seq)
         named, known = take("<i8", n_docs), take("<u1", n_docs)
         self.doc_ids = [int(d) if k else None for d, k in zip(named, known)]
         self.counts, self.symbols = take("<i8", n_docs), take("<i8", n_docs)
+        self.starts = np.concatenate([[0], np.cumsum(self.symbols)])
 
     def ids(self) -> np.ndarray:
         return expand(self.seq, self.rules, self.base)
 
-    def stretch(self, start: int, stop: int) -> np.ndarray:
-        """The ids from start to stop, by decoding only the symbols that cover them."""
+    def documents(self, first: int, stop: int) -> np.ndarray:
+        """The ids of the documents from ``first`` to ``stop``, by their symbols alone."""
+        return expand(self.seq[self.starts[first] : self.starts[stop]], self.rules, self.base)
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Where each symbol's ids end."""
         lengths = np.ones(len(self.seq), np.int64)
         is_rule = self.seq >= self.base
         lengths[is_rule] = self.spans[self.seq[is_rule] - self.base]
-        ends = np.cumsum(lengths)
-        if stop <= start or not len(ends):
+        return np.cumsum(lengths)
+
+    def stretch(self, start: int, stop: int) -> np.ndarray:
+        """The ids from start to stop, by decoding only the symbols that cover them."""
+        if stop <= start or not len(self.ends):
             return self.seq[:0]
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
-        first = int(ends[a - 1]) if a else 0
+        a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left")
+        first = int(self.ends[a - 1]) if a else 0
         return expand(self.seq[a : b + 1], self.rules, self.base)[start - first : stop - first]
 
 
@@ -202,10 +236,15 @@ def digests(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, before, data in zip(*(batch.column(c) for c in ("part", "before", "data"))):
                 shard = Shard(data.as_py())
-                ids, n = shard.ids().astype("<u4"), shard.counts
-                ends = np.cumsum(n)
-                sums = np.fromiter((crc(ids[e - k : e]) for e, k in zip(ends.tolist(), n.tolist())), np.int64, len(n))
+                n, ends = shard.counts, np.cumsum(shard.counts)
+                sums = []
+                # documents in turn by their symbols and as a stretch of ids, both without what stands before
+                for k in range(0, len(n), AT_A_TIME):
+                    stop = min(len(n), k + AT_A_TIME)
+                    first = int(ends[k - 1]) if k else 0
+                    ids = (shard.documents(k, stop) if k // AT_A_TIME % 2 else shard.stretch(first, int(ends[stop - 1]))).astype("<u4")
+                    sums += [crc(ids[e - c - first : e - first]) for e, c in zip(ends[k:stop].tolist(), n[k:stop].tolist())]
                 start = bases.value[part.as_py()] + before.as_py() + ends - n
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(start), pa.array(n), pa.array(sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(start), pa.array(n), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

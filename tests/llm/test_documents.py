@@ -97,6 +97,29 @@ def test_repair_round_trip_and_stretches():
     assert np.array_equal(np.cumsum(shard.symbols)[-1], len(shard.seq))
     for a, b in [(0, 1), (5, 900), (699, 702), (0, len(ids)), (7, 7)]:
         assert (shard.stretch(a, b) == ids[a:b]).all()
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for a, b in [(0, 1), (1, 3), (3, 4), (0, 4)]:
+        assert (shard.documents(a, b) == ids[ends[a] : ends[b]]).all()
+
+
+def test_repair_goes_on_until_no_pair_is_frequent_and_past_16_bits():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 65_000, (9000, 3))
+    ids = words[rng.permutation(np.repeat(np.arange(9000), 9))].ravel()
+    last = np.zeros(len(ids), bool)
+    last[rng.integers(0, len(ids), 300)] = last[-1] = True
+    rules, seq, ends = repair_output.compress(ids, last, 65_000)
+    assert len(rules) > 10_000 and seq.max() > 1 << 16
+    inside = np.stack([seq[:-1], seq[1:]], axis=1)[~ends[:-1]]
+    assert np.unique(inside, axis=0, return_counts=True)[1].max() < repair_output.LEAST_USES
+    counts = np.diff(np.append(-1, np.flatnonzero(last)))
+    data = repair_output.to_bytes(list(range(len(counts))), counts, ids, 65_000)
+    shard = repair_output.Shard(data)
+    assert (shard.ids() == ids).all() and (shard.spans == repair_output.spans(shard.rules, 65_000)).all()
+    assert len(data) < 2.2 * len(ids)
+    for bits, n in ((17, 70_000), (3, 5), (16, 65_537)):
+        values = rng.integers(0, 1 << bits, n)
+        assert (repair_output.unpacked(np.frombuffer(repair_output.packed(values, bits), np.uint8), bits, n) == values).all()
 
 
 def test_repair_output_reads_back_what_was_encoded(odd_documents, odd_rows):
@@ -194,6 +217,35 @@ def test_crf_scores_held_out_documents_well(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_crf_gives_lines_of_mixed_documents_their_own_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = line_crf.train(documents, labels)
+    rows = documents.join(labels, "doc_id").where(line_crf.held_out(F.col("doc_id"))).orderBy("doc_id").collect()
+    lines = {q: [x for r in rows if r.quality == q for x in r.text.split("\n") if len(x.split()) >= 8] for q in (0, 1)}
+    width, mixed = 4, []
+    for k in range(0, min(map(len, lines.values())) - 2 * width, 2 * width):
+        blocks = [lines[q][k + j * width : k + (j + 1) * width] for j in (0, 1) for q in (1, 0)]
+        mixed.append(("\n".join(x for b in blocks for x in b), [q for _ in (0, 1) for q in (1, 0) for _ in range(width)]))
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(mixed)], "doc_id long, text string")
+    got = {r.doc_id: r.good for r in line_crf.labelled_lines(df, model).collect()}
+    right = [(p > 0.5) == q for k, (_, want) in enumerate(mixed) for p, q in zip(got[k], want, strict=True)]
+    assert len(mixed) > 5 and np.mean(right) > 0.8
+    assert np.mean([min(got[k]) < 0.5 < max(got[k]) for k in got]) > 0.8
+
+
+def test_crf_takes_bounded_samples(spark):
+    folder = "/root/testdata/sf0.001"
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    twice = labels.unionByName(labels).unionByName(labels.selectExpr("doc_id", "1 - quality as quality", "toxic"))
+    assert line_crf.quality(documents, twice).count() == documents.count()
+    seen = {}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_crf, "fit", lambda x, size, lines, labels: seen.update(lines=lines, labels=labels))
+        line_crf.train(documents.unionByName(documents), labels, most=20, most_lines=60)
+    assert 0 < len(seen["labels"]) <= 20 and seen["lines"].sum() <= 60
+
+
 def test_crf_takes_odd_rows_and_no_labels(spark, odd_documents, no_documents, odd_rows):
     labels = spark.createDataFrame([(14, 0, 0), (15, 0, 0), (2, 1, 0), (21, 1, 0), (None, 1, 0), (3, None, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
     got = line_crf.quality(odd_documents, labels).collect()
