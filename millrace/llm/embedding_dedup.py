@@ -1,20 +1,31 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 A bounded sample of vectors serves as pivots, and every vector is described by its
-``near`` nearest pivots in order. Two vectors are candidates if they share at least two of
-these: each vector enters the inverted list of every pair of its pivots, and a pair of
-vectors is counted only in the list of the least two pivots they share. Candidates are
-verified by their cosine in double precision, so no link is false; links are missed only
-where fewer than two of the nearest pivots are shared.
+``near`` nearest pivots in order, its permutation. Inverted lists are kept for pairs of
+pivots: a vector enters those of each pair among its ENTERED nearest. Of two vectors of a
+list, the shared pivots are counted whose places in the two permutations differ by SHIFT
+at most; with SHARED of them they are candidates. Candidates are verified by their cosine
+in double precision, so no link is false; links are missed only where the permutations
+differ by more.
+
+The lists hold permutations, not vectors. Vectors are dealt to blocks by their first two
+pivots; a candidate pair marks its pair of blocks and both vectors in it, and each marked
+vector travels once to each such pair of blocks, where the marked ones are compared. The
+task returns a count and a local root for each vector, not its pairs. Lists and blocks
+above ``block`` vectors are cut, and every pair of parts of a list is looked at on its own:
+no task holds more than two parts, and no pair is lost.
 
 Equal vectors of a label are one class with a multiplicity, so copies are not expanded.
-Lists above ``block`` vectors are cut into blocks, and every pair of blocks is a group of
-its own: no task holds more than two blocks, and no pair is lost. Groups return a count
-and a local root for each vector, not their pairs.
-
-Vectors that are null, zero, or hold null or non-finite components, and those with a null
-label or vec_id, link with nothing; they keep their row (kept is false for a null vec_id).
-Vectors of unlike length never link. Only vec_id, embedding and label are read.
+The number of pivots grows with the root of the number of classes, up to MOST_PIVOTS; the
+lists of tables above MOST_PIVOTS ** 2 classes grow with the table.
+
+Vectors that are null, empty, zero, or hold null or non-finite components, and those with
+a null label or vec_id, link with nothing; they keep their row (kept is false for a null
+vec_id). Vectors of unlike length never link. Rows that repeat a vec_id are vectors of
+their own, and link by what they hold; a component is named by the least vec_id in it, and
+every row of that vec_id is kept. Where cosines tie, the earlier pivot is nearer. Very long
+vectors are compared whole. An empty table gives an empty result. Only vec_id, embedding
+and label are read.
 """
 
 from __future__ import annotations
@@ -29,16 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import source_partitions, written
+from millrace.llm.common import bounded_batches, source_partitions, written
 from millrace.llm.components import components
 from millrace.llm.runs import starts_of, whole_groups
 
-#: Pivots are the square root of the number of vectors, within these bounds.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
-NEAR, BLOCK = 5, 512
+#: Pivots are the square root of the number of classes, within these bounds.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
+#: Pivots of a permutation; those whose pairs have a list; and what makes a candidate.
+NEAR, ENTERED, SHARED, SHIFT = 6, 5, 3, 3
+BLOCK = 512
 #: No two pivots have this cosine or more.
 APART = 0.8
-KEYS = ["group", "p", "q", "b1", "b2"]
 
 
 def usable() -> Column:
@@ -68,7 +80,7 @@ def pick_pivots(reps: DataFrame, n: int) -> np.ndarray:
     """
     size = reps.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(n)))
-    rows = reps.where(F.size("embedding") == size["d"]).orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").limit(2 * wanted).select("embedding").collect()
+    rows = reps.where(F.size("embedding") == size["d"]).orderBy(F.xxhash64("node", F.lit("pivot")), "node").limit(2 * wanted).select("embedding").collect()
     found = np.array([r["embedding"] for r in rows], dtype=np.float64)
     found = unit(found)
     chosen = [0]
@@ -92,59 +104,108 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def postings(reps: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
-    """(group, p, q, rep, copies, tops, vector): each class in the lists of its pairs of nearest pivots."""
+    """(group, list, first, node, order): each class in the lists of the pairs of its nearest
+    pivots; ``first`` is the list of its first two, ``order`` its permutation."""
     shared = reps.sparkSession.sparkContext.broadcast(pivots)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         k = min(near, len(at))
-        pairs = list(combinations(range(k), 2)) or [(0, 0)]
+        pairs = np.array(list(combinations(range(min(k, ENTERED)), 2)) or [(0, 0)])
         for batch in batches:
             rows = rows_of(batch.column("embedding"))
-            tops = np.zeros((len(rows), k), np.int64)
+            order = np.zeros((len(rows), k), np.uint16)
             fits = [i for i, v in enumerate(rows) if len(v) == at.shape[1]]
-            if fits:
-                cosines = unit(np.array([rows[i] for i in fits])) @ at.T
-                tops[fits] = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
-            tops.sort(axis=1)
-            n = len(rows)
-            packed = [v.tobytes() for v in rows]
+            for part in range(0, len(fits), 1024):
+                which = fits[part : part + 1024]
+                cosines = unit(np.array([rows[i] for i in which])) @ at.T
+                order[which] = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
+            low, high = (f(order[:, pairs[:, 0]], order[:, pairs[:, 1]]).astype(np.int64) for f in (np.minimum, np.maximum))
+            lists = (low << 16) | high
             # vectors of another length than the pivots' share one list of their group, once
-            enter = np.ones((n, len(pairs)), bool)
-            enter[np.setdiff1d(np.arange(n), fits), 1:] = False
-            of, at_pair = np.nonzero(enter)
-            first, second = np.array(pairs).T
+            enter = np.ones(lists.shape, bool)
+            enter[np.setdiff1d(np.arange(len(rows)), fits), 1:] = False
+            of, which = np.nonzero(enter)
             take = lambda c: batch.column(c).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays(
-                [take("group"), pa.array(tops[of, first[at_pair]]), pa.array(tops[of, second[at_pair]]), take("rep"), take("copies"), pa.array([t.tobytes() for t in tops], pa.binary()).take(pa.array(of)), pa.array(packed, pa.binary()).take(pa.array(of))],
-                names=["group", "p", "q", "rep", "copies", "tops", "vector"],
-            )
-
-    return reps.mapInArrow(describe, "group long, p long, q long, rep long, copies long, tops binary, vector binary")
-
-
-def blocked(lists: DataFrame, block: int) -> DataFrame:
-    """Postings with the block pair (b1, b2) of the group they go to; lists of one vector go nowhere."""
-    sizes = lists.groupBy("group", "p", "q").agg(F.count("*").alias("n")).where("n > 1")
-    wide = lists.join(sizes, ["group", "p", "q"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    wide = wide.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return wide.withColumn("other", other).withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("n", "blocks", "other")
-
-
-def verify(groups: DataFrame, least: float, kind: str) -> DataFrame:
-    """(rep, links, root) from each group, whose vectors are of the numpy ``kind``; links counts the copies of what rep links with there."""
+            packed = pa.array([o.tobytes() for o in order], pa.binary()).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([take("group"), pa.array(lists[of, which]), pa.array(lists[of, 0]), take("node"), packed], names=["group", "list", "first", "node", "order"])
+
+    return reps.select("group", "node", "embedding").mapInArrow(describe, "group long, list long, first long, node long, order binary")
+
+
+def dealt(lists: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The postings with the parts (p1, p2) of their list that they meet in, their own of
+    these, and their vector's block; and (node, own), each vector's block."""
+    sizes = lists.groupBy("group", "list").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    wide = written(sizes.select("group", "list", F.ceil(F.col("n") / block).cast("int").alias("parts")), "wide")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.coalesce(n, F.lit(1))).cast("int")
+    firsts = wide.select("group", F.col("list").alias("first"), F.col("parts").alias("blocks"))
+    placed = lists.join(firsts, ["group", "first"], "left").withColumn("block", F.xxhash64("group", "first", part(F.col("blocks"))))
+    rows = placed.join(wide, ["group", "list"], "left").withColumns({"parts": F.coalesce("parts", F.lit(1)), "own": part(F.col("parts"))})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("group", "list", F.least("own", "other").alias("p1"), F.greatest("own", "other").alias("p2"), "own", "node", "order", "block")
+    return rows, placed.where("list = first").select("node", F.col("block").alias("own"))
+
+
+def pairs_of(runs: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions i < j with equal ``runs``, which lie together, some at a time."""
+    at, step = np.arange(len(runs)), 1
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(at):
+        at = at[at + step < len(runs)]
+        at = at[runs[at] == runs[at + step]]
+        held.append((at, at + step))
+        step += 1
+        if sum(len(i) for i, _ in held) > most or not len(at):
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+
+
+def agreeing(order: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of permutations share SHARED pivots, at places that differ by SHIFT at most."""
+    k = order.shape[1]
+    close = np.abs(np.subtract.outer(np.arange(k), np.arange(k))) <= SHIFT
+    counts = [((order[i[c : c + 50_000], :, None] == order[j[c : c + 50_000], None, :]) & close).sum(axis=(1, 2)) for c in range(0, len(i), 50_000)]
+    return np.concatenate([np.zeros(0, np.int64), *counts]) >= min(SHARED, k)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(group, b1, b2, node): the vectors of candidate pairs in their pairs of blocks, once each."""
+    keys = ["group", "list", "p1", "p2"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, keys):
+            cols = {k: table.column(k).to_numpy() for k in [*keys, "own", "node", "block"]}
+            order = np.frombuffer(b"".join(table.column("order").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+            edges = starts_of(*(cols[k] for k in keys))
+            runs = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            for i, j in pairs_of(runs):
+                across = (cols["p1"][i] == cols["p2"][i]) | (cols["own"][i] != cols["own"][j])
+                i, j = i[across], j[across]
+                good = agreeing(order, i, j)
+                i, j = i[good], j[good]
+                b_i, b_j = cols["block"][i], cols["block"][j]
+                found = np.stack([np.tile(cols["group"][i], 2), np.tile(np.minimum(b_i, b_j), 2), np.tile(np.maximum(b_i, b_j), 2), np.concatenate([cols["node"][i], cols["node"][j]])])
+                if found.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(found, axis=1)], names=["group", "b1", "b2", "node"])
+
+    sorted_rows = rows.repartition(source_partitions(rows), *keys).sortWithinPartitions(*keys)
+    return sorted_rows.mapInArrow(look, "group long, b1 long, b2 long, node long").distinct()
+
+
+def verify(marked: DataFrame, least: float, kind: str) -> DataFrame:
+    """(node, links, root) from each pair of blocks, whose vectors are of the numpy ``kind``;
+    links counts the copies of what node links with there."""
+    keys = ["group", "b1", "b2"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, KEYS):
-            cols = {k: table.column(k).to_numpy() for k in [*KEYS, "rep", "copies", "own"]}
-            vectors, tops = table.column("vector").to_pylist(), table.column("tops").to_pylist()
-            edges = starts_of(*(cols[k] for k in KEYS))
+        for table in whole_groups(batches, keys, 4_000):
+            cols = {k: table.column(k).to_numpy() for k in [*keys, "own", "node", "copies"]}
+            rows = rows_of(table.column("embedding").combine_chunks())
+            edges = starts_of(*(cols[k] for k in keys))
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                if b - a < 2:
-                    continue
-                x = unit(np.frombuffer(b"".join(vectors[a:b]), kind).reshape(b - a, -1))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                x = unit(np.array(rows[a:b], dtype=kind))
                 own, b1, b2 = cols["own"][a:b], cols["b1"][a], cols["b2"][a]
                 left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
                 i, j = np.nonzero(x[left] @ x[right].T >= least)
@@ -153,23 +214,9 @@ def verify(groups: DataFrame, least: float, kind: str) -> DataFrame:
                 i, j = i[once], j[once]
                 if not len(i):
                     continue
-                t = np.frombuffer(b"".join(tops[a:b]), np.int64).reshape(b - a, -1)
-                mine = []
-                for k in range(0, len(i), 100_000):
-                    ti, tj = t[i[k : k + 100_000]], t[j[k : k + 100_000]]
-                    rank = np.cumsum((ti[:, :, None] == tj[:, None, :]).any(axis=2), axis=1)
-                    first, second = (rank == 1).argmax(axis=1), (rank == 2).argmax(axis=1)
-                    row = np.arange(len(ti))
-                    # lists of a single pivot pair (0, 0) occur only with fewer than two pivots
-                    mine.append((ti[row, first] == cols["p"][a]) & ((ti[row, second] == cols["q"][a]) | (t.shape[1] == 1)))
-                i, j = i[np.concatenate(mine)], j[np.concatenate(mine)]
-                if not len(i):
-                    continue
-                rep, copies = cols["rep"][a:b], cols["copies"][a:b]
-                links = np.zeros(b - a, np.int64)
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                root = rep.copy()
+                node, copies = cols["node"][a:b], cols["copies"][a:b]
+                links = (np.bincount(i, copies[j], b - a) + np.bincount(j, copies[i], b - a)).astype(np.int64)
+                root = node.copy()
                 while True:
                     low = root.copy()
                     np.minimum.at(low, i, root[j])
@@ -178,34 +225,39 @@ def verify(groups: DataFrame, least: float, kind: str) -> DataFrame:
                         break
                     root = low
                 has = links > 0
-                out.append((rep[has], links[has], root[has]))
+                out.append((node[has], links[has], root[has]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["node", "links", "root"])
 
-    n = source_partitions(groups)
-    dealt = groups.select(*KEYS, "rep", "copies", "own", "tops", "vector").repartition(n, *KEYS).sortWithinPartitions(*KEYS)
-    return dealt.mapInArrow(compare, "rep long, links long, root long")
+    sorted_rows = marked.select(*keys, "own", "node", "copies", "embedding").repartition(source_partitions(marked), *keys).sortWithinPartitions(*keys, "node")
+    return sorted_rows.mapInArrow(compare, "node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, near: int = NEAR, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
+    bounded_batches(vectors.sparkSession)
     vectors = vectors.select("vec_id", "embedding", "label")
     rows = keyed(vectors)
     reps = rows.groupBy("group", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    reps = written(reps, "classes")
+    reps = written(reps.withColumnRenamed("h1", "node"), "classes")
     n = reps.count()
     ids = vectors.select("vec_id")
     if not n:
         return ids.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     kind = "<f4" if isinstance(reps.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
     lists = written(postings(reps, pick_pivots(reps, n), near), "lists")
-    found = written(verify(blocked(lists, block), least, kind), "found")
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
+    placed, homes = dealt(lists, block)
+    marked = written(candidates(placed), "marked")
+    met = marked.join(homes, "node").join(reps.select("node", "copies", "embedding"), "node")
+    found = written(verify(met, least, kind), "found")
+    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     # only classes that differ from a lone vector are joined back
-    facts = reps.join(linked, "rep", "left").join(joined, "rep", "left").where("copies > 1 or links > 0")
-    facts = written(facts.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "facts")
-    rows = rows.select("vec_id", "h1", "h2").join(facts, ["h1", "h2"], "left").select("vec_id", "n_links", "component_id")
+    facts = reps.select("node", "h2", "rep", "copies").join(linked, "node", "left").join(joined, "node", "left").where("copies > 1 or links > 0")
+    facts = written(facts.withColumn("component", F.coalesce("component", "node")), "facts")
+    names = facts.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = facts.join(names, "component").select(F.col("node").alias("h1"), "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    rows = rows.select("vec_id", "h1", "h2").join(written(named, "named"), ["h1", "h2"], "left").select("vec_id", "n_links", "component_id")
     every = rows.unionByName(vectors.where(~usable()).select("vec_id", F.lit(None).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("component_id")))
     component = F.coalesce("component_id", "vec_id")
     return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

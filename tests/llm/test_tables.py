@@ -133,6 +133,39 @@ def test_embedding_links_are_those_of_all_pairs(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embedding_recall_on_many_vectors(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=(1500, 64))
+    aside -= (aside * base[:1500]).sum(axis=1, keepdims=True) * base[:1500]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cos = rng.uniform(0.9801, 0.9999, (1500, 1))
+    x = np.concatenate([base, cos * base[:1500] + np.sqrt(1 - cos**2) * aside])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    near = np.triu(x @ x.T >= 0.98, 1)
+    recall = sum(r.n_links for r in got.values()) / 2 / near.sum()
+    print(f"recall {recall:.4f} of {near.sum()} links")
+    assert near.sum() >= 1500 and 0.95 < recall <= 1
+    assert np.mean([got[4000 + k].component_id == k for k in range(1500)]) > 0.95
+
+
+def test_embeddings_that_repeat_an_id_link_by_what_they_hold(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(3, a, 1), (5, a, 1), (5, b, 1), (9, b, 1), (7, [0.0, 0.0, 1.0], 1), (7, [0.0, 0.0, 1.0], 1), (8, a, 2)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 5, True), (7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True), (9, 1, 5, False)]
+
+
+def test_pairs_of_runs_are_all_pairs():
+    runs = np.array([1, 1, 1, 4, 5, 5, 7, 7, 7, 7, 7])
+    want = {(i, j) for i in range(len(runs)) for j in range(i + 1, len(runs)) if runs[i] == runs[j]}
+    got = [p for i, j in embedding_dedup.pairs_of(runs, 3) for p in zip(i.tolist(), j.tolist())]
+    assert set(got) == want and len(got) == len(want)
+    assert not sum(len(i) for i, _ in embedding_dedup.pairs_of(runs[:0]))
+
+
 def test_pipeline_stages_do_what_plain_code_does(spark, odd_documents, odd_rows, tmp_path):
     docs = odd_documents
     seen = {}
