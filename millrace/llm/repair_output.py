@@ -35,15 +35,17 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import bounded_batches, source_partitions, written
 from millrace.llm.packing import with_end
-from millrace.llm.tokens import ENCODE_BYTES, batched, crc, encode, tokenizer, vocabulary
+from millrace.llm.tokens import batched, crc, encode, tokenizer, vocabulary
 
 SHARD_TOKENS = 1 << 20
 #: Pairs replaced in one round, and the least uses of a frequent pair.
-PAIRS, LEAST_USES = 1000, 8
+PAIRS, LEAST_USES = 5000, 8
 #: Buckets in which pairs are counted before they are told apart, by a power of two.
-COUNTED = 20
+COUNTED = 18
 #: Documents that are read back at a time.
-AT_A_TIME = 64
+AT_A_TIME = 512
+#: Texts that are encoded at a time, and chunks that are kept for the next, in bytes.
+TEXT_BYTES, CHUNK_BYTES = 4 << 20, 16 << 20
 END = 0
 MAGIC, HEAD = b"RPT2", struct.Struct("<4sqqqqq")
 
@@ -201,8 +203,8 @@ def write_shards(documents: DataFrame, path: str | None = None, end: int = END,
             data = to_bytes(names, np.concatenate(counts), np.concatenate(ids), base)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int64()), (shard, pa.int64()), (before, pa.int64()), (size, pa.int64()), (data, pa.binary()))], names=["part", "shard", "before", "n", "data"])
 
-        for table in batched(batches, most=ENCODE_BYTES):
-            found, n = encode(table.column("text").combine_chunks(), path)
+        for table in batched(batches, most=TEXT_BYTES):
+            found, n = encode(table.column("text").combine_chunks(), path, CHUNK_BYTES)
             found, n = with_end(found, n, end), n + 1
             ends, docs, done = np.cumsum(n), table.column("doc_id").to_pylist(), 0
             while done < len(n):

@@ -25,7 +25,7 @@ BATCH_BYTES, ENCODE_BYTES = 1 << 20, 2 << 20
 #: Texts that go to the tokenizer in one call: it makes an object of some hundred bytes a token.
 CALL_BYTES, CALL_WORDS = 1 << 19, 16_384
 #: Bytes of chunks, and as many of their ids, that a worker keeps for its next batches.
-KNOWN_BYTES = 4 << 20
+KNOWN_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -101,14 +101,14 @@ def _special(path: str, texts: pa.Array) -> np.ndarray:
 
 
 class _Known:
-    """Chunks that this process has encoded, with their ids, up to KNOWN_BYTES of each; then
+    """Chunks that this process has encoded, with their ids, up to ``most`` bytes of each; then
     no more are added, the commonest being there by then."""
 
     def __init__(self) -> None:
         self.words = pa.array([], pa.large_string())
         self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def look_up(self, path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, path: str, words: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the start and count of each word in them."""
         at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
         new = at < 0
@@ -117,7 +117,7 @@ class _Known:
         held, base = len(self.words), len(self.ids)
         at[new] = held + np.arange(len(fresh))
         all_ids, all_starts, all_counts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, base + starts]), np.concatenate([self.counts, counts])
-        if max(self.words.nbytes + fresh.nbytes, all_ids.nbytes) <= KNOWN_BYTES:
+        if max(self.words.nbytes + fresh.nbytes, all_ids.nbytes) <= most:
             self.words = pa.concat_arrays([self.words, fresh])
             self.ids, self.starts, self.counts = all_ids, all_starts, all_counts
         return all_ids, all_starts[at], all_counts[at]
@@ -139,8 +139,9 @@ def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return values[at]
 
 
-def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and the number of ids of each text; null: empty."""
+def encode(texts: pa.Array, path: str, known: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and the number of ids of each text; null: empty.
+    ``known`` bounds the bytes of chunks that are kept for the next call (KNOWN_BYTES)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     unsafe = pc.or_(pc.match_substring_regex(texts, _UNSAFE), pa.array(_special(path, texts)))
     chunks = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
@@ -154,7 +155,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     lead, lead_slots = np.unique(slots[at_first], return_inverse=True)
     slots[at_first] = len(spaced) + lead_slots
     slots[firsts[is_whole]] = len(spaced) + len(lead) + np.arange(len(whole))
-    ids, starts, counts = _known(path).look_up(path, spaced)
+    ids, starts, counts = _known(path).look_up(path, spaced, KNOWN_BYTES if known is None else known)
     more, more_starts, more_counts = _encode(path, pa.concat_arrays([coded.dictionary.take(pa.array(lead)), whole]))
     starts, counts = np.concatenate([starts, len(ids) + more_starts]), np.concatenate([counts, more_counts])
     ids = np.concatenate([ids, more])
