@@ -1,7 +1,8 @@
 """Byte-level BPE of whole Arrow columns with the tokenizers library.
 
 A space that follows a character other than white space always starts a new pre-token,
-so a text's ids are the ids of its space-led chunks, one after another. Chunks repeat
+and a line feed between two such characters is one of its own, so a text's ids are the ids
+of its space-led chunks, line feeds and first words of lines, one after another. These repeat
 far more often than texts: each distinct chunk of a batch is encoded once and the ids
 are gathered by numpy. Texts with white space before a space, or with a special string of
 the tokenizer, are encoded whole.
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 
 #: White space before a space; there the cut at spaces would not be exact.
 _UNSAFE = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}] "
+#: A line feed that is a pre-token, and what is put before pieces that no space leads.
+_FEED, _BARE = r"([^\x09-\x0d\x1c-\x1f\x{85}\p{Z}])\n([^\x09-\x0d\x1c-\x1f\x{85}\p{Z}])", "\ue000"
 #: Texts are gathered to this many bytes for arrays over their words, and for encoding.
 BATCH_BYTES, ENCODE_BYTES = 1 << 20, 2 << 20
 #: Texts that go to the tokenizer in one call: it makes an object of some hundred bytes a token.
@@ -143,10 +146,12 @@ def encode(texts: pa.Array, path: str, known: int | None = None) -> tuple[np.nda
     """Ids of all texts one after another, and the number of ids of each text; null: empty.
     ``known`` bounds the bytes of chunks that are kept for the next call (KNOWN_BYTES)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    unsafe = pc.or_(pc.match_substring_regex(texts, _UNSAFE), pa.array(_special(path, texts)))
-    chunks = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
+    unsafe = pc.or_(pc.match_substring_regex(texts, f"{_UNSAFE}|{_BARE}"), pa.array(_special(path, texts)))
+    safe = pc.replace_substring_regex(pc.if_else(unsafe, "", texts), _FEED, f"\\1 {_BARE}\n {_BARE}\\2")
+    chunks = pc.split_pattern(safe, " ")
     coded = chunks.flatten().dictionary_encode()
-    spaced, slots = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string())), coded.indices.to_numpy().astype(np.int64)
+    led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+    spaced, slots = pc.if_else(pc.starts_with(coded.dictionary, _BARE), pc.replace_substring(coded.dictionary, _BARE, ""), led), coded.indices.to_numpy().astype(np.int64)
     per_text = pc.list_value_length(chunks).to_numpy().astype(np.int64)
     firsts = np.cumsum(per_text) - per_text
     # a text's first chunk has no space before it; such chunks, and whole texts, get slots of their own

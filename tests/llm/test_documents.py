@@ -18,7 +18,7 @@ from millrace.llm.tokens import encode, vocabulary
 from millrace.llm.words import digest, shingle_sets
 from tests.llm import brute
 
-ODD_TEXTS = ["", "  ", " a", "a ", "a  b", "x\n y", "x \ny", "  z", "a　 b", "it's  <|endoftext|> ok", None, "a\n\n\n  b", "don't 've 12 3.4 !!  ", "\t a b", "日本 語 😀 😀", "<|endoftext|>", "hi<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>\n<|endoftext|> x", "a\u0085 b c"]
+ODD_TEXTS = ["", "  ", " a", "a ", "a  b", "x\n y", "x \ny", "  z", "a　 b", "it's  <|endoftext|> ok", None, "a\n\n\n  b", "don't 've 12 3.4 !!  ", "\t a b", "日本 語 😀 😀", "a\nb\nc d.\n'tis\n\nx\ny\u00a0\nz\n", "\nab\nc", "\ue000 a\nb", "it\n's 5\n6", "é\né 日\n本", "<|endoftext|>", "hi<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>\n<|endoftext|> x", "a\u0085 b c"]
 
 
 PLAIN = Tokenizer.from_file(vocabulary())
