@@ -59,9 +59,9 @@ def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signups_without_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users that signed up and never bought."""
+    """Users with the days on which they signed up and did not buy."""
     events = read_table(spark, sf_dir, "events")
-    users = lambda kind: events.where(F.col("event_type") == kind).select("user_id")
+    users = lambda kind: events.where(F.col("event_type") == kind).select("user_id", F.to_date("ts").alias("day"))
     return users("signup").subtract(users("purchase"))
 
 
@@ -116,7 +116,7 @@ ORACLE_SQL = {
         where rank <= 3""",
     "orders_without_lines": "select o_orderkey as orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)",
     "signups_without_purchase": """
-        select user_id from events where event_type = 'signup' except select user_id from events where event_type = 'purchase'""",
+        select user_id, cast(ts as date) as day from events where event_type = 'signup' except select user_id, cast(ts as date) from events where event_type = 'purchase'""",
     "events_by_hour": """
         select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all""",
     "sessions": """
