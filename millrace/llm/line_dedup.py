@@ -95,9 +95,11 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
 
 def digest(pages: DataFrame) -> DataFrame:
     """page_id, host, lines before and after, and the SHA-256 of the lines that stay."""
-    held = pages.select("page_id", "url", "html")
-    rows = split_pages(held, host_of(F.col("url")), F.col("html"), lines_of_html(F.col("html")))
-    return rows.select("page.page_id", host_of(F.col("page.url")).alias("host"), F.size("lines").cast("bigint").alias("n_lines"), F.size("kept").cast("bigint").alias("n_kept"), F.sha2(F.array_join("kept", "\n"), 256).alias("text_sha256"))
+    # written, so that the pages are taken apart once
+    same = F.xxhash64(F.coalesce("html", F.lit(""))).cast("string").alias("html")
+    held = written(pages.select("page_id", host_of(F.col("url")).alias("host"), same, lines_of_html(F.col("html")).alias("lines")), "lines")
+    rows = split_pages(held, F.col("host"), F.col("html"), F.col("lines"))
+    return rows.select("page.page_id", "page.host", F.size("lines").cast("bigint").alias("n_lines"), F.size("kept").cast("bigint").alias("n_kept"), F.sha2(F.array_join("kept", "\n"), 256).alias("text_sha256"))
 
 
 def sql(table: str, identity: str, site: str, text: str, lines: str) -> str:
