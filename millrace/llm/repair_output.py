@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import bounded_batches, source_partitions, written
 from millrace.llm.packing import with_end
-from millrace.llm.tokens import batched, crc, encode, tokenizer, vocabulary
+from millrace.llm.tokens import batched, crc, encode, gather, tokenizer, vocabulary
 
 SHARD_TOKENS = 1 << 20
 #: Pairs replaced in one round, and the least uses of a frequent pair.
@@ -54,26 +54,34 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, pairs: int = PAIRS, l
     """(rules, sequence, last): rules[k] is the pair that symbol base + k stands for; ``last``
     marks the symbols that end a document."""
     half, rules = np.uint64(32), []
-    bucket = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTED)).astype(np.int64)
+    bucket = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTED)).view(np.int64)
     seq, last, used = ids.astype(np.uint64), last.copy(), base
     while len(seq) > 1:
         codes = (seq[:-1] << half) | seq[1:]
         # most pairs are rare: only those in well-filled buckets are sorted
         in_bucket = bucket(codes)
-        at = np.flatnonzero((np.bincount(in_bucket, minlength=1 << COUNTED)[in_bucket] >= least) & ~last[:-1])
-        found, uses = np.unique(codes[at], return_counts=True)
+        filled = np.bincount(in_bucket, minlength=1 << COUNTED) >= least
+        at = np.flatnonzero(filled[in_bucket] & ~last[:-1])
+        codes, in_bucket = codes[at], in_bucket[at]
+        found, uses = np.unique(codes, return_counts=True)
         found, uses = found[uses >= least], uses[uses >= least]
         found = np.sort(found[np.argsort(-uses, kind="stable")[:pairs]])
         if not len(found):
             break
-        chosen = np.zeros(1 << COUNTED, bool)
-        chosen[bucket(found)] = True
-        at = at[chosen[in_bucket[at]]]
-        rule = np.minimum(np.searchsorted(found, codes[at]), len(found) - 1)
-        at, rule = at[found[rule] == codes[at]], rule[found[rule] == codes[at]]
+        # a bucket names its chosen pair; the few that hold several are searched, the rest hold none
+        chosen, several, none = bucket(found), -2, -1
+        slot = np.full(1 << COUNTED, none, np.int32)
+        slot[chosen] = np.arange(len(found))
+        slot[chosen[slot[chosen] != np.arange(len(found))]] = several
+        rule = slot[in_bucket]
+        shared = np.flatnonzero(rule == several)
+        near = np.minimum(np.searchsorted(found, codes[shared]), len(found) - 1)
+        rule[shared] = np.where(found[near] == codes[shared], near, none)
+        hit = (found[rule] == codes) & (rule != none)
+        at, rule = at[hit], rule[hit]
         # of places that overlap in a row, every second one is replaced
-        place = np.arange(len(at))
-        heads = np.where(np.append(True, at[1:] != at[:-1] + 1), place, 0)
+        place = np.arange(len(at), dtype=np.int32)
+        heads = np.where(np.append(True, np.diff(at) != 1), place, np.int32(0))
         free = (place - np.maximum.accumulate(heads)) % 2 == 0
         at, rule = at[free], rule[free]
         rules.append(np.stack([found >> half, found & np.uint64((1 << 32) - 1)], axis=1).astype(np.int64))
@@ -162,12 +170,26 @@ class Shard:
         self.counts, self.symbols = take("<i8", n_docs), take("<i8", n_docs)
         self.starts = np.concatenate([[0], np.cumsum(self.symbols)])
 
+    @cached_property
+    def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of every symbol, one symbol after another, and each one's start and number.
+        A round's rules are together at most 2 / LEAST_USES as long as the shard."""
+        counts = np.concatenate([np.ones(self.base, np.int64), self.spans])
+        ids = expand(np.arange(len(counts)), self.rules, self.base)
+        return ids, np.cumsum(counts) - counts, counts
+
+    def decoded(self, first: int, stop: int) -> np.ndarray:
+        """The ids of the symbols from ``first`` to ``stop``."""
+        ids, starts, counts = self.expansions
+        seq = self.seq[first:stop]
+        return gather(ids, starts[seq], counts[seq])
+
     def ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.base)
+        return self.decoded(0, len(self.seq))
 
     def documents(self, first: int, stop: int) -> np.ndarray:
         """The ids of the documents from ``first`` to ``stop``, by their symbols alone."""
-        return expand(self.seq[self.starts[first] : self.starts[stop]], self.rules, self.base)
+        return self.decoded(self.starts[first], self.starts[stop])
 
     @cached_property
     def ends(self) -> np.ndarray:
@@ -183,7 +205,7 @@ class Shard:
             return self.seq[:0]
         a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left")
         first = int(self.ends[a - 1]) if a else 0
-        return expand(self.seq[a : b + 1], self.rules, self.base)[start - first : stop - first]
+        return self.decoded(a, b + 1)[start - first : stop - first]
 
 
 def write_shards(documents: DataFrame, path: str | None = None, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
