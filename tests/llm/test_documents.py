@@ -122,6 +122,22 @@ def test_repair_goes_on_until_no_pair_is_frequent_and_past_16_bits():
         assert (repair_output.unpacked(np.frombuffer(repair_output.packed(values, bits), np.uint8), bits, n) == values).all()
 
 
+def test_repair_tells_pairs_of_one_bucket_apart():
+    # the pairs of three hundred ids number more than their buckets may hold apart
+    a, b = (x.ravel().astype(np.uint64) for x in np.meshgrid(np.arange(300), np.arange(300)))
+    codes = (a << np.uint64(32)) | b
+    bucket = (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - repair_output.COUNTED)
+    order = np.argsort(bucket, kind="stable")
+    at = np.flatnonzero(bucket[order][1:] == bucket[order][:-1])[0]
+    first, second = order[at], order[at + 1]
+    document = lambda k: [int(a[k]), int(b[k])]
+    ids = np.array((document(first) + document(second)) * 20)
+    last = np.arange(len(ids)) % 2 == 1
+    rules, seq, _ = repair_output.compress(ids, last, 300)
+    assert sorted(rules.tolist()) == sorted([document(first), document(second)]) and len(seq) == 40
+    assert (repair_output.expand(seq, rules, 300) == ids).all()
+
+
 def test_repair_output_reads_back_what_was_encoded(odd_documents, odd_rows):
     shards = repair_output.write_shards(odd_documents, shard_tokens=5000)
     got = repair_output.digests(shards).collect()
