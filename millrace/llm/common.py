@@ -7,19 +7,23 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but these: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch between Spark and Python.
 ARROW_BYTES = 2 << 20
-#: Tables of a few numbers a row are broadcast up to this many rows.
-BROADCAST_ROWS = 1_000_000
+#: Tables are broadcast up to this many rows, and bytes as they are held in memory.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Spark's bound of an Arrow batch.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _local: list[str] = []
 _tables: list[str] = []
@@ -97,15 +101,47 @@ def bounded_batches(spark: SparkSession) -> None:
     batch and what is made of it. It stays for the session, since Spark reads it when a
     result is run, after the operator has returned; a smaller bound is left alone.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < bytes_of(spark.conf.get(key)) <= ARROW_BYTES:
-        spark.conf.set(key, str(ARROW_BYTES))
+    if not 0 < bytes_of(spark.conf.get(BATCH)) <= ARROW_BYTES:
+        spark.conf.set(BATCH, str(ARROW_BYTES))
+
+
+def settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its result written as one table, which stays; its other scratch tables
+    are removed, and the session's bound of batches is what it was."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = spark.conf.get(BATCH)
+        try:
+            with removed_after(spark):
+                return written(query(spark, sf_dir), query.__name__, lasting=True)
+        finally:
+            spark.conf.set(BATCH, before)
+
+    return run
+
+
+def bytes_in(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in memory, whatever its type."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value).cast("bigint") + 16
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(value, F.lit(16).cast("bigint"), lambda total, x: total + bytes_in(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        size = bytes_in(F.map_keys(value), T.ArrayType(kind.keyType)) + bytes_in(F.map_values(value), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        size = sum((bytes_in(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("bigint"))
+    else:
+        size = F.lit(8).cast("bigint")
+    return F.coalesce(size, F.lit(8))
 
 
 def sized(rows: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row, to be broadcast only if it has BROADCAST_ROWS
-    rows or fewer; a larger one is joined as Spark sees fit."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    """A written table, to be broadcast only if it has BROADCAST_ROWS rows and BROADCAST_BYTES
+    bytes at most, as counted over its values; a larger one is joined as Spark sees fit."""
+    size = sum((bytes_in(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema.fields), F.lit(16).cast("bigint"))
+    found = rows.agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")).first()
+    return F.broadcast(rows) if found["rows"] <= BROADCAST_ROWS and (found["bytes"] or 0) <= BROADCAST_BYTES else rows
 
 
 def source_partitions(df: DataFrame, least: int = 1) -> int:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import embedding_dedup, jaccard_join, line_crf, line_dedup, packing, quality_rules, repair_output, secret_scan, source_mix, url_filter
+from millrace.llm import embedding_dedup, jaccard_join, line_crf, line_dedup, merkle_manifest, packing, quality_rules, repair_output, secret_scan, source_mix, url_filter
+from millrace.llm.common import settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_repair_output, op3_quality_rules, op4_line_crf, op5_source_mix, op6_secret_scan, op7_packing, op8_line_dedup, op9_jaccard_join, op10_embedding_dedup)}
+@settled
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.digest(_table(spark, sf_dir, "documents"))
 
-ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_secret_scan": secret_scan.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_repair_output, op3_quality_rules, op4_line_crf, op5_source_mix, op6_secret_scan, op7_packing, op8_line_dedup, op9_jaccard_join, op10_embedding_dedup, op13_merkle_manifest)}
+
+ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_secret_scan": secret_scan.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op13_merkle_manifest": merkle_manifest.ORACLE_SQL}
