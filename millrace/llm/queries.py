@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import embedding_dedup, jaccard_join, line_crf, line_dedup, merkle_manifest, packing, periodic_runs, quality_rules, repair_output, secret_scan, source_mix, url_filter
+from millrace.llm import embedding_dedup, jaccard_join, language_id, line_crf, line_dedup, merkle_manifest, packing, periodic_runs, quality_rules, repair_output, secret_scan, source_mix, url_filter
 from millrace.llm.common import settled
 
 
@@ -56,11 +56,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(_table(spark, sf_dir, "documents"))
+
+
 @settled
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_repair_output, op3_quality_rules, op4_line_crf, op5_source_mix, op6_secret_scan, op7_packing, op8_line_dedup, op9_jaccard_join, op10_embedding_dedup, op11_periodic_runs, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_repair_output, op3_quality_rules, op4_line_crf, op5_source_mix, op6_secret_scan, op7_packing, op8_line_dedup, op9_jaccard_join, op10_embedding_dedup, op11_periodic_runs, op12_language_id, op13_merkle_manifest)}
 
 ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_secret_scan": secret_scan.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op13_merkle_manifest": merkle_manifest.ORACLE_SQL}
