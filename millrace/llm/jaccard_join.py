@@ -24,19 +24,27 @@ what is written grows with the sets and blocks, not with the square of a group.
 1. in each list, every set is held against the next by size and against the list's
    middle, and what links is formed to components;
 2. lists that still hold several components are looked through in full, in pairs of
-   blocks, for pairs of unlike components that the sketches let pass;
-3. every link now lies inside a component, so all pairs of distinct sets inside each are
-   counted exactly, in pairs of blocks, where a set travels once for each block and not
-   for each pair. Links are summed in the tasks, or given as pairs, each once.
-
-No pair is dropped unless its bound, or its exact count, says that it doesn't link.
-``one_of_each`` needs the components alone and leaves step 3 out.
+   blocks, for pairs of unlike components that the sketches let pass.
+
+The links found are a forest: enough to connect every component, and no more of a group
+than its sets and blocks. With it come the classes of equal sets (``set_id``, the least id
+that has the set) and the component of each. No pair is dropped unless its bound, or its
+exact count, says that it doesn't link.
+
+* ``jaccard_components`` gives every document's class and component; ``one_of_each`` keeps a
+  document of each component. Both stop here: rows and shuffles follow the sets, however
+  large a group is. Only the looks at lists that stay mixed (sets that share elements in
+  their prefixes and don't link) are still pairs, within tasks; the rows dealt for a list
+  of n are n ** 1.5 / 16 at most.
+* ``jaccard_components(links=True)`` and ``jaccard_links`` count or give all links. Every link
+  lies inside a component, so all pairs of distinct sets inside each are then compared, in
+  pairs of blocks, which is work by the square of a group of unlike near copies.
 
 ``n_links`` counts the other rows that a row's text links with, those of equal sets among
-them; repeated rows count as often as they are there.
+them; repeated rows count as often as they are there, as they do in ``n_equal``.
 
 Null or empty texts, and those without words, are linked with nothing. Rows with a null
-doc_id link with nothing, have a null component and no links. Rows of one doc_id count as
+doc_id link with nothing and have a null component. Rows of one doc_id count as
 one document with several texts. Very long texts are read whole; a set too large for a
 block is a block of its own. An empty table gives an empty result. Where sizes tie, order
 is by the sets' hashes, and no result depends on it. Only doc_id and text are read.
@@ -66,8 +74,10 @@ from millrace.llm.words import digest, mixed, shingle_sets
 SAMPLED, MET, COMMONEST = 32, 4, 200_000
 #: Lists of an element held by more sets, as counted so, are dealt to several tasks.
 LONG_LIST = 50_000
-#: Sets of a list that are looked at together.
-BLOCK = 1024
+#: Sets of a list that are looked at together, and how these grow with the root of a list.
+BLOCK, BLOCK_ROOTS = 1024, 16
+#: Pairs of sets that are held against each other at a time.
+PAIRS = 1 << 18
 #: Sketches have a power of two of buckets: LEAST_BUCKETS, or a quarter of the elements.
 LEAST_BUCKETS = 64
 #: Sets and elements of a block that is compared exactly.
@@ -337,7 +347,8 @@ def unlike_pairs(lists: DataFrame, grouped: DataFrame, nodes: DataFrame, percent
     allow a link, once each; ``nodes`` have their block."""
     placed = lists.select("list", "node", "place").join(grouped, "node", "left").select("list", "node", "place", F.coalesce("component", "node").alias("component"))
     mixed_lists = placed.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b").select("list", "members")
-    rows = placed.join(mixed_lists, "list").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    block = F.greatest(F.lit(BLOCK), F.sqrt("members") * BLOCK_ROOTS)
+    rows = placed.join(mixed_lists, "list").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.join(nodes.select("node", "n", "sketch", "block"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -353,8 +364,9 @@ def unlike_pairs(lists: DataFrame, grouped: DataFrame, nodes: DataFrame, percent
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 own = cols["own"][a:b]
                 left, right = a + np.flatnonzero(own == cols["p1"][a]), a + np.flatnonzero(own == cols["p2"][a])
-                for k in range(0, len(left), 256):
-                    i, j = left[k : k + 256, None], right[None, :]
+                step = max(1, PAIRS // max(1, len(right)))
+                for k in range(0, len(left), step):
+                    i, j = left[k : k + step, None], right[None, :]
                     n_i, n_j = cols["n"][i], cols["n"][j]
                     fits = (cols["component"][i] != cols["component"][j]) & near(n_i, n_j, percent)
                     least = needed(n_i, n_j, percent)
@@ -363,7 +375,7 @@ def unlike_pairs(lists: DataFrame, grouped: DataFrame, nodes: DataFrame, percent
                         fits &= i < j
                     x, y = np.nonzero(fits)
                     if len(x):
-                        found.append(np.stack([left[k : k + 256][x], right[y]]))
+                        found.append(np.stack([left[k : k + step][x], right[y]]))
                 if sum(f.shape[1] for f in found) > 500_000:
                     yield kept(cols, drawn, found)
                     found = []
@@ -505,16 +517,16 @@ def with_elements(wanted: DataFrame, documents: DataFrame, width: int) -> DataFr
 def forest(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v) that connect what links among the marked sets (b1, b2, node) of each pair of
     blocks; the sets of a pair of blocks meet in one task."""
-    meets = pairs.groupBy("node").agg(F.collect_list(F.struct("b1", "b2")).alias("meets"))
-    wanted = written(meets.join(nodes.select("node", "doc_id", "th", "copies", F.col("block").alias("own")), "node"), "wanted")
-    sets = with_elements(wanted, documents, width).select(F.lit(0).alias("g"), F.explode("meets").alias("m"), "own", "node", "copies", "elements")
-    sets = sets.select("g", "m.b1", "m.b2", "own", "node", "copies", "elements")
-    return block_links(sets, percent, least_linked, "u long, v long")
+    pairs = written(pairs, "pairs")
+    wanted = written(pairs.select("node").distinct().join(nodes.select("node", "doc_id", "th", "copies", F.col("block").alias("own")), "node"), "wanted")
+    sets = with_elements(wanted, documents, width).join(sized(pairs), "node")
+    return block_links(sets.select(F.lit(0).alias("g"), "b1", "b2", "own", "node", "copies", "elements"), percent, least_linked, "u long, v long")
 
 
 def links_inside(grouped: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int, pairs: bool = False) -> DataFrame:
     """(node, links) from each pair of blocks of a component, links counting the copies of
-    the unlike sets that node links with there; or all linked pairs (u, v), each once."""
+    the unlike sets that node links with there; or all linked pairs (u, v), each once. All
+    pairs of a component are compared."""
     members = grouped.join(nodes.select("node", "doc_id", "th", "copies", "n"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / MOST_SETS), F.ceil(F.sum("n") / MOST_ELEMENTS)).cast("int")
     totals = members.groupBy("component").agg(blocks.alias("blocks"))
@@ -554,25 +566,29 @@ def linked_nodes(documents: DataFrame, width: int, percent: int) -> tuple[DataFr
     return usable, facts, nodes, close.unionByName(more)
 
 
-def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every document."""
+def jaccard_components(documents: DataFrame, width: int = 5, percent: int = 75, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id and n_equal (other rows of an equal set) of
+    every document, and with ``links`` n_links."""
     usable, facts, nodes, edges = linked_nodes(documents, width, percent)
     # ids of several texts: the sets of each are connected, and rows without words go with them
     known = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most"), (F.count("*") - F.count("node")).alias("bare"))
     several = written(known.where("least <> most or (least is not null and bare > 0)").select("doc_id", "least"), "several")
     same_id = facts.join(sized(several), "doc_id").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     final = written(components(edges.unionByName(same_id)), "components")
-    links = links_inside(final, nodes, usable, width, percent).groupBy("node").agg(F.sum("links").alias("links"))
     # the least id of each component; nodes on no link and without copies need no row
     rooted = nodes.join(final, "node", "left").select("node", "doc_id", "copies", "component", F.coalesce("component", "node").alias("root"))
     rooted = rooted.where("copies > 1 or component is not null")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    others = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    names = written(rooted.join(least, "root").join(links, "node", "left").select("node", "component_id", others), "names")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    n_links = F.when(F.col("doc_id").isNotNull() & F.col("own").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint")
+    named = rooted.join(least, "root").select("node", "component_id", F.col("doc_id").alias("set_id"), (F.col("copies") - 1).alias("n_equal"))
+    if links:
+        counted = links_inside(final, nodes, usable, width, percent).groupBy("node").agg(F.sum("links").alias("links"))
+        named = named.join(counted, "node", "left").select(*named.columns, (F.coalesce("links", F.lit(0)) + F.col("n_equal")).alias("n_links"))
+    names = written(named, "names")
     rows = facts.join(sized(several), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("own"), F.coalesce("node", "least").alias("node"))
-    return rows.join(names, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), n_links.alias("n_links"))
+    real = F.col("doc_id").isNotNull()
+    counts = [F.when(real & F.col("own").isNotNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c) for c in ("n_equal", *["n_links"] * links)]
+    set_id = F.when(real, F.coalesce(F.when(F.col("own").isNotNull(), F.col("set_id")), "doc_id"))
+    return rows.join(names, "node", "left").select("doc_id", "n_shingles", F.when(real, F.coalesce("component_id", "doc_id")).alias("component_id"), set_id.alias("set_id"), *counts)
 
 
 def jaccard_links(documents: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

@@ -492,8 +492,10 @@ def test_jaccard_counts_every_link_inside_a_group(spark, monkeypatch, most_sets)
     near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
     want = {i: sum(i != j and near(a, b) for j, b in sets) for i, a in sets}
     documents = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_components(documents).collect()}
-    assert got == want | {None: 0}
+    rows_of = jaccard_join.jaccard_components(documents, links=True).collect()
+    assert {r.doc_id: r.n_links for r in rows_of} == want | {None: 0}
+    equal = {i: [j for j, b in sets if a and a == b] for i, a in sets}
+    assert all((r.set_id, r.n_equal) == (min(equal[r.doc_id], default=r.doc_id), max(0, len(equal[r.doc_id]) - 1)) for r in rows_of if r.doc_id is not None)
     once = {frozenset(a): i for i, a in reversed(sets) if a}
     pairs = sorted((min(i, j), max(i, j)) for a, i in once.items() for b, j in once.items() if i < j and near(a, b))
     assert sorted(map(tuple, jaccard_join.jaccard_links(documents).collect())) == pairs
@@ -504,7 +506,7 @@ def test_jaccard_of_ids_with_unlike_texts(spark):
     one, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
     rows = [(1, one + " end"), (5, one), (5, other), (5, None), (7, other + " end"), (8, "x y"), (8, "u v"), (8, "u v"), (9, None), (9, "")]
     documents = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard_join.jaccard_components(documents).collect()
+    got = jaccard_join.jaccard_components(documents, links=True).collect()
     want = groups_of(rows)
     assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
     assert sorted((r.doc_id, r.n_links) for r in got) == [(1, 1), (5, 0), (5, 1), (5, 1), (7, 1), (8, 0), (8, 1), (8, 1), (9, 0), (9, 0)]
@@ -550,6 +552,22 @@ def test_jaccard_writes_no_pairs_of_a_group_just_below_the_threshold(spark, monk
     assert len(got) == len(rows) < wrote["unlike_pairs"] <= 6 * len(rows) and wrote["bounded_pairs"] <= 6 * len(rows)
 
 
+def test_jaccard_of_a_hot_group_grows_with_its_sets(spark, monkeypatch):
+    dealt = []
+    step = jaccard_join.block_links
+    monkeypatch.setattr(jaccard_join, "block_links", lambda sets, *a: (dealt.append(sets.count()), step(sets, *a))[1])
+    monkeypatch.setattr(jaccard_join, "MOST_SETS", 64)
+    monkeypatch.setattr(jaccard_join, "MET", 1 << 30)  # no element is late, so that all sets meet
+    base, wrote = [f"w{x}" for x in range(120)], []
+    for n in (500, 2000):
+        dealt.clear()
+        rows = [(k, " ".join(base[:30] + [f"a{k}"] + base[30:])) for k in range(n)] + [(n + k, " ".join(f"o{k}x{x}" for x in range(40))) for k in range(20)]
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {k: 0 if k < n else k for k, _ in rows}
+        wrote.append(sum(dealt))
+    assert wrote[1] <= 5 * wrote[0] and wrote[1] <= 8 * 2000
+
+
 def test_sketches_never_bound_too_low():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 9000, n, dtype=np.uint64)) for n in (3, 40, 900, 1100, 1500, 5000, 9000, 9000)]
