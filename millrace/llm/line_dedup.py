@@ -2,12 +2,10 @@
 
 The pages of a host that hold a line are divided by the host's page total. A line is
 boilerplate of the host if more than RATIO percent of its pages hold it, and at least
-LEAST_PAGES of them; where a fifth of the pages are fewer, that many, but LEAST_COPIES.
-Pages of equal text count once, so a page's exact copies don't make its lines boilerplate.
-Such lines are dropped from the host's pages, all other lines stay in order. A page of
-which that would drop more than MOST_LOST percent of its characters keeps all its lines:
-it is a copy of other pages, which is for near-duplicate removal to thin out, and its
-content would be lost with all its copies.
+LEAST_PAGES of them, without which every line of a small site would be. Pages of equal text
+count once, so a page's exact copies don't make its lines boilerplate. Such lines are
+dropped from all of the host's pages, also from those that they make up wholly, and all
+other lines stay in order.
 
 ``digest`` takes web pages: their host, and as lines the text between block tags and line
 feeds, without scripts, styles, comments and inline tags. ``drop_boilerplate`` takes any
@@ -35,7 +33,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import written
 from millrace.llm.url_filter import LOWER, UPPER, host_of
 
-RATIO, LEAST_PAGES, LEAST_COPIES, MOST_LOST = 1, 5, 3, 50
+#: The boilerplate ratio in percent, and the least pages of a host that hold such a line.
+RATIO, LEAST_PAGES = 1, 3
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 #: What of a page is no text, and what ends a line of it.
 UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -64,12 +63,11 @@ def boilerplate(rows: DataFrame, ratio: int = RATIO, least_pages: int = LEAST_PA
     totals = rows.select("site", page).distinct().groupBy("site").agg(F.count("*").alias("pages"))
     hashes = F.transform(F.filter("lines", lambda x: F.regexp_like(x, F.lit(NOT_BLANK))), lambda x: F.xxhash64(x))
     held = rows.select("site", page, F.explode(hashes).alias("line")).distinct().groupBy("site", "line").agg(F.count("*").alias("held"))
-    floor = F.greatest(F.lit(LEAST_COPIES), F.least(F.lit(least_pages), F.ceil(F.col("pages") / 5)))
-    often = held.where(F.col("held") >= min(least_pages, LEAST_COPIES)).join(totals, "site").where((F.col("held") >= floor) & (F.col("held") * 100 > F.col("pages") * ratio))
+    often = held.where(F.col("held") >= least_pages).join(totals, "site").where(F.col("held") * 100 > F.col("pages") * ratio)
     return often.groupBy("site").agg(F.collect_list("line").alias("hashes"))
 
 
-def split_pages(pages: DataFrame, site: Column, text: Column, lines: Column, ratio: int = RATIO, least_pages: int = LEAST_PAGES, most_lost: int = MOST_LOST) -> DataFrame:
+def split_pages(pages: DataFrame, site: Column, text: Column, lines: Column, ratio: int = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page, lines, kept): each page's columns in a struct, all its lines, and what stays;
     ``site``, ``text`` and ``lines`` are columns of ``pages``."""
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("page"), site_key(site).alias("site"), text.alias("text"), lines.alias("lines"))
@@ -77,16 +75,13 @@ def split_pages(pages: DataFrame, site: Column, text: Column, lines: Column, rat
     joined = rows.join(flagged, "site", "left")
     joined = joined.withColumn("hits", F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), "hashes"))
     kept = F.filter("lines", lambda x: ~F.array_contains("hits", F.xxhash64(x)) | ~F.regexp_like(x, F.lit(NOT_BLANK)))
-    joined = joined.select("page", "lines", F.when(F.size("hits") > 0, kept).otherwise(F.col("lines")).alias("kept"))
-    length = lambda c: F.length(F.array_join(c, ""))
-    whole = length("kept") * 100 < length("lines") * (100 - most_lost)
-    return joined.select("page", "lines", F.when(whole, F.col("lines")).otherwise(F.col("kept")).alias("kept"))
+    return joined.select("page", "lines", F.when(F.size("hits") > 0, kept).otherwise(F.col("lines")).alias("kept"))
 
 
-def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text", ratio: int = RATIO, least_pages: int = LEAST_PAGES, most_lost: int = MOST_LOST) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text", ratio: int = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """All pages with all their columns, the text without the site's boilerplate lines; a
     column n_chars, if there is one, follows the text."""
-    rows = split_pages(pages, F.col(f"`{site}`"), F.col(f"`{text}`"), lines_of(F.col(f"`{text}`")), ratio, least_pages, most_lost)
+    rows = split_pages(pages, F.col(f"`{site}`"), F.col(f"`{text}`"), lines_of(F.col(f"`{text}`")), ratio, least_pages)
     new = F.when(F.col("page")[text].isNotNull(), F.array_join("kept", "\n"))
     out = rows.select("page", new.alias("new"))
     made = {text: F.col("new"), "n_chars": F.when(F.col("new").isNull(), F.col("page")["n_chars"]).otherwise(F.length("new").cast("bigint"))} if "n_chars" in pages.columns else {text: F.col("new")}
@@ -111,11 +106,9 @@ totals as (select site, count(distinct t) as pages from d group by site),
 l as materialized (select k, site, t, unnest(lines) as line, generate_subscripts(lines, 1) as pos from ls),
 held as (select site, line, count(distinct t) as held from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by site, line),
 flagged as (select h.site, line from held h join totals o on h.site is not distinct from o.site
-  where held >= greatest({LEAST_COPIES}, least({LEAST_PAGES}, ceil(pages / 5))) and held * 100 > pages * {RATIO}),
+  where held >= {LEAST_PAGES} and held * 100 > pages * {RATIO}),
 marked as (select l.k, l.line, l.pos, f.line is null as stays from l left join flagged f on l.line = f.line and l.site is not distinct from f.site),
-sums as (select k, count(*) as n, count(*) filter (stays) as n_kept, sum(length(line)) as chars, coalesce(sum(length(line)) filter (stays), 0) as kept_chars,
-  string_agg(line, chr(10) order by pos) as every, string_agg(line, chr(10) order by pos) filter (stays) as rest from marked group by k),
-texts as (select k, n, if(kept_chars * 100 < chars * {100 - MOST_LOST}, n, n_kept) as n_kept, if(kept_chars * 100 < chars * {100 - MOST_LOST}, every, rest) as t from sums)
+texts as (select k, count(*) as n, count(*) filter (stays) as n_kept, string_agg(line, chr(10) order by pos) filter (stays) as t from marked group by k)
 select {identity}, site, coalesce(n, 0)::bigint as n_lines, coalesce(n_kept, 0)::bigint as n_kept, sha256(coalesce(texts.t, '')) as text_sha256 from d left join texts using (k)"""
 
 
