@@ -28,6 +28,7 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@settled
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken_words(_table(spark, sf_dir, "documents"))
 

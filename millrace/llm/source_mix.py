@@ -18,8 +18,10 @@ first, and those of the least rank are taken, as many as the sample size says. S
 sample has a fixed size, and the smallest class evens out what the larger ones left.
 
 The uniform number is a hash of doc_id, text and seed, so reruns agree. Rows that agree in
-source, doc_id and text tie in everything: they are taken together, if more than half of
-them fit, or not at all.
+source, doc_id and text tie in everything; where a sample ends within such a group of n, k
+of them are taken: the group's rows are numbered by partition, prefix sums over the
+partitions' counts give each its quota, and the first of each partition fill it. Which k
+these are makes no difference but in columns that are read by nothing here.
 
 No source passes through one task: a plan is made of the source's sizes and their counts,
 the rankings are integers, and histograms of them narrow the boundary of each class down
@@ -145,20 +147,35 @@ def narrowed(ranked: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def last_taken(ranked: DataFrame, plan: DataFrame) -> DataFrame:
-    """(skey, class, cut): the struct (rank, tie) of the last rows that each class's sample
-    takes; classes that take none have no row."""
-    held = plan.where("n > 0").select("skey", "class", "n", F.lit(0).cast("bigint").alias("low"), F.lit(TOP).alias("high"), F.lit(0).cast("bigint").alias("base"), F.col("documents").alias("held"))
+    """(skey, class, cut, quota, part_of): the struct (rank, tie) of the last rows that each
+    class's sample takes, how many of these it takes, and whether that is some of them only;
+    classes that take none have no row."""
+    some = plan.where("n > 0")
+    every = some.where("n >= documents").select("skey", "class", F.struct(F.lit(TOP).alias("rank"), F.lit(0).cast("bigint").alias("tie")).alias("cut"), F.lit(0).cast("bigint").alias("quota"), F.lit(False).alias("part_of"))
+    held = some.where("n < documents").select("skey", "class", "n", F.lit(0).cast("bigint").alias("low"), F.lit(TOP).alias("high"), F.lit(0).cast("bigint").alias("base"), F.col("documents").alias("held"))
     state = written(held, "state")
     while state.where(open_classes()).count():
         state = written(narrowed(ranked, state), "state")
     edge = ranked.join(state, ["skey", "class"]).where("rank >= low and rank < high")
     edge = edge.groupBy("skey", "class", "rank", "tie", "n", "base").agg(F.count("*").alias("copies"))
-    upto = F.sum("copies").over(Window.partitionBy("skey", "class").orderBy("rank", "tie")) + F.col("base")
-    taken = edge.withColumn("upto", upto).where(F.col("upto") - F.floor((F.col("copies") - 1) / 2) <= F.col("n"))
-    cuts = taken.groupBy("skey", "class").agg(F.max(F.struct("rank", "tie")).alias("cut"))
-    # a sample that ends with the rows below its bin
-    below = F.struct((F.col("low") - 1).alias("rank"), F.lit((1 << 63) - 1).alias("tie"))
-    return state.join(cuts, ["skey", "class"], "left").select("skey", "class", F.coalesce("cut", below).alias("cut"))
+    before = F.sum("copies").over(Window.partitionBy("skey", "class").orderBy("rank", "tie")) - F.col("copies") + F.col("base")
+    last = edge.withColumn("quota", F.col("n") - before).where("quota > 0 and quota <= copies")
+    return every.unionByName(last.select("skey", "class", F.struct("rank", "tie").alias("cut"), "quota", (F.col("quota") < F.col("copies")).alias("part_of")))
+
+
+def with_quotas(tied: DataFrame) -> DataFrame:
+    """Rows (skey, class, quota, ...) with ``chosen``: as many rows of each class as its quota
+    says. Partitions get quotas by prefix sums of their counts; in each, rows are numbered."""
+    held = written(tied.withColumn("row", F.monotonically_increasing_id()), "tied")
+    keys = ["skey", "class", "part"]
+    rows = held.select("skey", "class", F.shiftrightunsigned("row", 33).alias("part"), "quota", "row")
+    counts = rows.groupBy(*keys, "quota").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("skey", "class").orderBy("part")) - F.col("n")
+    quotas = written(counts.select(*keys, (F.col("quota") - before).alias("left")).where("left > 0"), "quotas")
+    numbered = rows.join(sized(quotas), keys).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("row")))
+    upto = written(numbered.where(F.col("nth") <= F.col("left")).groupBy(*keys).agg(F.max("row").alias("upto")), "upto")
+    met = held.withColumn("part", F.shiftrightunsigned("row", 33)).join(sized(upto), keys, "left")
+    return met.withColumn("chosen", F.coalesce(F.col("row") <= F.col("upto"), F.lit(False))).drop("row", "part", "upto")
 
 
 def mix(documents: DataFrame, carry: list[str] | None = None, seed: int = 20240101, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST) -> DataFrame:
@@ -185,10 +202,16 @@ def mix(documents: DataFrame, carry: list[str] | None = None, seed: int = 202401
     # written, so that Spark knows how small they are and need not shuffle the texts to meet them
     cuts = written(plan.where("n > 0").select("skey", "class", "words", "certain").join(cuts, ["skey", "class"]), "cuts")
     joined = keyed.join(sized(goals.select("skey", "source_size", "target", "whole")), "skey").join(sized(cuts), ["skey", "class"], "left")
-    chosen = (F.col("size") > 0) & (F.struct(rank.alias("rank"), "tie") <= F.col("cut"))
+    here = F.struct(rank.alias("rank"), "tie")
+    upto = lambda within: F.coalesce((F.col("size") > 0) & within, F.lit(False))
+    at_edge = upto(F.col("part_of") & (here == F.col("cut")))
+    out = joined.withColumn("chosen", upto(here <= F.col("cut")))
+    if not cuts.where("part_of").isEmpty():
+        # rows that tie where a sample ends are few, unless one row repeats without end
+        out = out.where(~at_edge).unionByName(with_quotas(joined.where(at_edge)))
     p = F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce(F.when(F.col("size") >= F.col("certain"), 1.0).otherwise(F.col("size") / F.col("words")), F.lit(0.0)))
-    copies = F.col("whole") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
-    return joined.select("doc", "size", "source_size", "target", copies.alias("copies"), p.alias("p"))
+    copies = F.col("whole") + F.col("chosen").cast("int")
+    return out.select("doc", "size", "source_size", "target", copies.alias("copies"), p.alias("p"))
 
 
 def taken_words(documents: DataFrame, seed: int = 20240101) -> DataFrame:

@@ -117,9 +117,7 @@ def mixed_copies(rows, seed, most=2):
             before = 0
             for r in order if n else []:
                 group = [k for k, x in zip(part, ranks) if x == r]
-                if before + len(group) - (len(group) - 1) // 2 > n:
-                    break
-                for k in group:
+                for k in group[: max(0, n - before)]:
                     out[k] += 1
                 before += len(group)
     return out

@@ -309,6 +309,20 @@ def test_mix_takes_what_the_plain_version_takes(spark, monkeypatch, odd_document
     assert all(abs(r.taken - r.target) <= 0.01 * r.words for r in by)
 
 
+def test_mix_takes_some_of_the_rows_that_tie(spark):
+    rows = [(k, f"{k} " * 10, "a", k) for k in range(1000)] + [(-1, "same " * 10, "b", k) for k in range(1000)] + [(-2, "again " * 10, "c", k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other long").repartition(9)
+    got = source_mix.taken_words(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r.source: round(r.target) for r in got} == {"a": 20_000, "b": 8333, "c": 16_667}
+    assert all(abs(r.taken - r.target) <= 0.01 * r.target for r in got)
+    once = Counter(tuple(r) for r in source_mix.taken_words(df).collect())
+    assert once == Counter(tuple(r) for r in source_mix.taken_words(df.repartition(3)).collect())
+    # whole rows: every row of c once, and some of them twice
+    times = Counter((r.source, r.other) for r in source_mix.repeated(df).collect())
+    assert {n for (s, _), n in times.items() if s == "c"} == {1, 2} and len([k for k in times if k[0] == "c"]) == 1000
+    assert abs(sum(n for (s, _), n in times.items() if s == "b") - 833) <= 1
+
+
 def test_mix_includes_documents_as_often_as_their_probability_says():
     rng = np.random.default_rng(8)
     sizes = [int(x) for x in np.exp(rng.normal(4, 0.7, 360))]
