@@ -33,6 +33,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken_words(_table(spark, sf_dir, "documents"))
 
 
+@settled
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 

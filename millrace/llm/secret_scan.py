@@ -19,6 +19,7 @@ result. Only the named columns are read, so other columns may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,24 +69,41 @@ MORE = (
 RULES = BASE + MORE
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(numbers: Column) -> Column:
+    """The sums up to each number of an array, by doubling: in a round every place adds the
+    sum that ends ``far`` places before it, so n numbers take log n rounds of n steps."""
+    fars = F.array(*(F.lit(1 << k) for k in range(31)))
+
+    def add(sums: Column, far: Column) -> Column:
+        return F.transform(sums, lambda x, i: F.when(i >= far, x + F.get(sums, i - far)).otherwise(x))
+
+    return let(numbers, lambda given: F.aggregate(F.filter(fars, lambda far: far < F.size(given)), given, add))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Spans of the leftmost non-overlapping matches of ``rule`` that are long enough.
 
     Matches are set between marks and the text is split at the marks: every second part
-    is a match, and the lengths of the parts before it are its start.
+    is a match, and the running sums of the parts' lengths are where it ends.
     """
-    parts = F.split(F.regexp_replace(text, rule.pattern, f"{MARK}$0{MARK}"), MARK)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit(None).cast(SPAN).alias("found"))
+    none = F.array().cast(SPAN)
+
+    def found(parts: Column) -> Column:
+        placed = F.arrays_zip(parts.alias("part"), running_sums(F.transform(parts, F.length)).alias("end"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        kept = acc["inside"] & (F.length(F.regexp_extract(part, rule.pattern, rule.group)) >= rule.least)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        found = F.when(kept, F.concat(F.coalesce(acc["found"], F.array().cast(SPAN)), F.array(span))).otherwise(acc["found"])
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), found.alias("found"))
+        def span(x: Column, i: Column) -> Column:
+            kept = (i % 2 == 1) & (F.length(F.regexp_extract(x["part"], rule.pattern, rule.group)) >= rule.least)
+            return F.when(kept, F.struct((x["end"] - F.length(x["part"])).alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
-    found = F.aggregate(parts, start, step, lambda acc: F.coalesce(acc["found"], F.array().cast(SPAN)))
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(SPAN))
+        return F.array_compact(F.transform(placed, span))
+
+    parts = F.split(F.regexp_replace(text, rule.pattern, f"{MARK}$0{MARK}"), MARK)
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), let(parts, found).cast(SPAN)).otherwise(none)
 
 
 def scan(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -125,8 +143,9 @@ def current(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     some = ledger.where(F.size("spans") > 0)
     valid = F.filter("spans", lambda s: F.array_contains("rules", F.coalesce(keys[s["kind"]], F.lit(""))))
     ranked = F.transform(valid, lambda s: F.struct(s["start"].alias("start"), places[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    # two runs at one time may have scanned a blob alike
-    grouped = some.select("blob", ranked.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    # two runs at one time may have scanned a blob alike; equal spans then lie together
+    once = lambda spans: F.filter(spans, lambda x, i: (i == 0) | (x != F.get(spans, i - 1)))
+    grouped = some.select("blob", ranked.alias("spans")).where(F.size("spans") > 0).groupBy("blob").agg(let(F.array_sort(F.flatten(F.collect_list("spans"))), once).alias("spans"))
     return grouped.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 
 

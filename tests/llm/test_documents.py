@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -391,6 +392,20 @@ def test_secrets_have_the_base_spans(spark):
     assert same(secret_scan.digest(df), *duck(secret_scan.ORACLE_SQL, SECRETS, columns="doc_id bigint, text varchar"))
 
 
+def test_spans_take_time_by_their_number(spark):
+    took = {}
+    for n in (8000, 32_000, 8000, 32_000):
+        text = " ".join(f"{k:016x} é" for k in range(n)) + " token=abcdefghijklmn"
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = secret_scan.digest(df).first()
+        took[n] = time.time() - began
+        found = plain_spans(text)
+        assert (row.n_assign, row.n_hex) == (1, n) and row.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in found)
+    # by the square, the larger would take sixteen times as long
+    assert took[32_000] < 6 * took[8000] and took[32_000] < 30
+
+
 def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
     versions = spark.createDataFrame([("p", 1, "token=abcdefghijkl"), ("p", 2, "token=abcdefghijkm 0123456789abcdef0"), ("q", 1, "token=abcdefghijkl")], "path string, version int, text string")
     path = str(tmp_path / "ledger")
