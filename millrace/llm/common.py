@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
@@ -68,12 +68,17 @@ def fresh_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
     return path
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that has a ``fresh_path``, with the folder made for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove_scratch(spark: SparkSession, since: int = 0) -> None:
     """Remove the scratch tables that this process wrote, from the ``since``-th on; results
     that read them can't be read any more."""
     while len(_tables) > since:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop().rsplit("/", 1)[0])
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_path(spark, _tables.pop())
 
 
 @contextmanager
@@ -86,6 +91,25 @@ def removed_after(spark: SparkSession) -> Iterator[None]:
         remove_scratch(spark, since)
 
 
+def chained(first: DataFrame, steps: Iterable[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """What the last step makes, each step's rows being written and read again by the next.
+
+    A step's scratch tables go when its own table stands, and that goes when the next one
+    does: at any time there are two such tables at most, and one is left.
+    """
+    spark, table, last = first.sparkSession, first, None
+    for name, step in steps:
+        with removed_after(spark):
+            path = fresh_path(spark, name, lasting=True)
+            made = step(table)
+            made.write.parquet(path)
+            table = spark.read.schema(made.schema).parquet(path)
+        if last:
+            remove_path(spark, last)
+        last = path
+    return table
+
+
 def bytes_of(size: str) -> int:
     """A size as Spark's settings have it: a number with k, m, g, t or p, and b, or neither."""
     found = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", str(size).lower())

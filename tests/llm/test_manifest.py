@@ -128,3 +128,23 @@ def test_settled_queries_leave_one_table(spark, tmp_path):
     assert out.count() == 5 and spark.conf.get(common.BATCH) == before
     with pytest.raises(Exception):
         spark.read.parquet(seen[0]).count()
+
+
+def test_chained_steps_leave_the_last_table(spark):
+    folders, tables = [], []
+
+    def step(add):
+        def run(df):
+            folders.extend(f.rsplit("/", 1)[0] for f in common.written(df, "aside").inputFiles())
+            tables.append(df)
+            return df.select((df["id"] + add).alias("id"))
+
+        return run
+
+    out = common.chained(spark.range(5), [("one", step(1)), ("two", step(10)), ("three", step(100))])
+    assert sorted(r.id for r in out.collect()) == [111, 112, 113, 114, 115]
+    there = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+    assert not any(there(f) for f in folders) and there(out.inputFiles()[0])
+    for df in tables[1:]:
+        with pytest.raises(Exception):
+            df.collect()

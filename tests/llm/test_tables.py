@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline
-from millrace.llm import embedding_dedup, line_dedup, url_filter
+from millrace.llm import common, embedding_dedup, line_dedup, url_filter
 from tests.llm import brute
 from tests.llm.test_documents import groups_of, ids_of
 
@@ -193,5 +193,7 @@ def test_pipeline_stages_do_what_plain_code_does(spark, odd_documents, odd_rows,
 
 
 def test_run_gives_the_last_stage(spark):
+    held = len(common._tables)
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(common._tables) == held
     assert out.count() > 0 and {"sequence_id", "offset", "ids"} <= set(out.columns)
