@@ -2,11 +2,12 @@
 
 A bounded sample of vectors serves as pivots, and every vector is described by its
 ``near`` nearest pivots in order, its permutation. Inverted lists are kept for pairs of
-pivots: a vector enters those of each pair among its ENTERED nearest. Of two vectors of a
-list, the shared pivots are counted whose places in the two permutations differ by SHIFT
+pivots: a vector enters those of each pair among its ``entered`` nearest. Of two vectors of a
+list, the shared pivots are counted whose places in the two permutations differ by ``shift``
 at most; with SHARED of them they are candidates. Candidates are verified by their cosine
 in double precision, so no link is false; links are missed only where the permutations
-differ by more.
+differ by more. The more pivots there are, the closer they are to each other, so beyond
+FEW_PIVOTS permutations are longer and may differ more.
 
 The lists hold permutations, not vectors. Vectors are dealt to blocks by their first two
 pivots; a candidate pair marks its pair of blocks and both vectors in it, and each marked
@@ -46,8 +47,9 @@ from millrace.llm.runs import starts_of, whole_groups
 
 #: Pivots are the square root of the number of classes, within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 8192
-#: Pivots of a permutation; those whose pairs have a list; and what makes a candidate.
-NEAR, ENTERED, SHARED, SHIFT = 6, 5, 3, 3
+#: What makes a candidate: shared pivots. Pivots of a permutation, those whose pairs have a
+#: list, and how far places may differ: up to FEW_PIVOTS pivots, and beyond.
+SHARED, FEW_PIVOTS, SHORT, LONG = 3, 512, (6, 5, 3), (8, 6, 4)
 BLOCK = 512
 #: No two pivots have this cosine or more.
 APART = 0.8
@@ -103,7 +105,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def postings(reps: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
+def postings(reps: DataFrame, pivots: np.ndarray, near: int, entered: int) -> DataFrame:
     """(group, list, first, node, order): each class in the lists of the pairs of its nearest
     pivots; ``first`` is the list of its first two, ``order`` its permutation."""
     shared = reps.sparkSession.sparkContext.broadcast(pivots)
@@ -111,7 +113,7 @@ def postings(reps: DataFrame, pivots: np.ndarray, near: int) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         k = min(near, len(at))
-        pairs = np.array(list(combinations(range(min(k, ENTERED)), 2)) or [(0, 0)])
+        pairs = np.array(list(combinations(range(min(k, entered)), 2)) or [(0, 0)])
         for batch in batches:
             rows = rows_of(batch.column("embedding"))
             order = np.zeros((len(rows), k), np.uint16)
@@ -161,15 +163,15 @@ def pairs_of(runs: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray
             held = []
 
 
-def agreeing(order: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of permutations share SHARED pivots, at places that differ by SHIFT at most."""
+def agreeing(order: np.ndarray, i: np.ndarray, j: np.ndarray, shift: int) -> np.ndarray:
+    """Which pairs of permutations share SHARED pivots, at places that differ by ``shift`` at most."""
     k = order.shape[1]
-    close = np.abs(np.subtract.outer(np.arange(k), np.arange(k))) <= SHIFT
+    close = np.abs(np.subtract.outer(np.arange(k), np.arange(k))) <= shift
     counts = [((order[i[c : c + 50_000], :, None] == order[j[c : c + 50_000], None, :]) & close).sum(axis=(1, 2)) for c in range(0, len(i), 50_000)]
     return np.concatenate([np.zeros(0, np.int64), *counts]) >= min(SHARED, k)
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, shift: int) -> DataFrame:
     """(group, b1, b2, node): the vectors of candidate pairs in their pairs of blocks, once each."""
     keys = ["group", "list", "p1", "p2"]
 
@@ -182,7 +184,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             for i, j in pairs_of(runs):
                 across = (cols["p1"][i] == cols["p2"][i]) | (cols["own"][i] != cols["own"][j])
                 i, j = i[across], j[across]
-                good = agreeing(order, i, j)
+                good = agreeing(order, i, j, shift)
                 i, j = i[good], j[good]
                 b_i, b_j = cols["block"][i], cols["block"][j]
                 found = np.stack([np.tile(cols["group"][i], 2), np.tile(np.minimum(b_i, b_j), 2), np.tile(np.maximum(b_i, b_j), 2), np.concatenate([cols["node"][i], cols["node"][j]])])
@@ -233,8 +235,9 @@ def verify(marked: DataFrame, least: float, kind: str) -> DataFrame:
     return sorted_rows.mapInArrow(compare, "node long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, near: int = NEAR, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
+def near_duplicates(vectors: DataFrame, least: float = 0.98, lengths: tuple[int, int, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row for each row of ``vectors``; ``lengths`` are
+    near, entered and shift, by default those for the number of pivots."""
     bounded_batches(vectors.sparkSession)
     vectors = vectors.select("vec_id", "embedding", "label")
     rows = keyed(vectors)
@@ -245,9 +248,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, near: int = NEAR, b
     if not n:
         return ids.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     kind = "<f4" if isinstance(reps.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
-    lists = written(postings(reps, pick_pivots(reps, n), near), "lists")
+    pivots = pick_pivots(reps, n)
+    near, entered, shift = lengths or (SHORT if len(pivots) <= FEW_PIVOTS else LONG)
+    lists = written(postings(reps, pivots, near, entered), "lists")
     placed, homes = dealt(lists, block)
-    marked = written(candidates(placed), "marked")
+    marked = written(candidates(placed, shift), "marked")
     met = marked.join(homes, "node").join(reps.select("node", "copies", "embedding"), "node")
     found = written(verify(met, least, kind), "found")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
