@@ -18,7 +18,12 @@ def disc_price(price: str = "l_extendedprice", discount: str = "l_discount") ->
 
 def money(values: Column) -> Column:
     """The sum of amounts to two places, as a double; summed exactly, so in any order."""
-    return F.round(F.sum(values), 2).cast("double")
+    return money_of(F.sum(values))
+
+
+def money_of(amount: Column) -> Column:
+    """An exact amount to two places, as a double."""
+    return F.round(amount, 2).cast("double")
 
 
 def naive_hour(ts: str) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import disc_price, exact, money, naive_hour
-from millrace.operators.relational import as_of_latest, keys_without, rank_within, top_k, with_subtotals
+from millrace.functions import disc_price, exact, money, money_of, naive_hour
+from millrace.operators.relational import as_of_latest, keys_without, rank_within, top_k, visits, with_subtotals
 from millrace.sources import read_table
 from millrace.streaming import hourly_counts
 
@@ -71,12 +71,10 @@ def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits of each user: events less than 30 minutes apart."""
-    events = read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    opens = F.coalesce((F.col("ts") - F.lag("ts").over(by_user) > F.expr("interval 30 minutes")).cast("int"), F.lit(1))
-    numbered = events.withColumn("opens", opens).withColumn("visit", F.sum("opens").over(by_user))
-    return numbered.groupBy("user_id", "visit").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("n"), money(exact(F.col("value"))).alias("value"))
+    """Visits of each user: events no more than 30 minutes apart."""
+    events = read_table(spark, sf_dir, "events").select("user_id", "ts", "value")
+    found = visits(events, "user_id", "ts", "30 minutes", F.count("*").alias("n"), F.sum(exact(F.col("value"))).alias("value"))
+    return found.select("user_id", "visit", "began", "ended", "n", money_of(F.col("value")).alias("value"))
 
 
 def props_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:

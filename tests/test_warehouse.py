@@ -1,11 +1,13 @@
 """Every warehouse query against its SQL in DuckDB, and the streaming form against the batch."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators.relational import as_of_latest, visits
 from millrace.plans import warehouse
 from millrace.sources import read_table, write_partitioned
 from millrace.streaming import hourly_counts, run_once
@@ -38,6 +40,42 @@ def test_query_gives_what_sql_gives(spark, name):
     assert found and rows(got.columns, got.collect()) == rows(names, found)
 
 
+@pytest.fixture(scope="module")
+def hot_events(spark):
+    """(user_id, event_id, ts, value, kind): one user has a third of all events, and null keys and ties are there."""
+    rng = random.Random(4)
+    start = dt.datetime(2024, 3, 30, 22)
+    out = []
+    for k in range(1500):
+        user = 1 if k % 3 == 0 else rng.choice([2, 3, 4, 5, 6, 7, None])
+        out.append((user, k, start + dt.timedelta(seconds=rng.choice([0, 1800, 3600, 5400]) + 60 * rng.randint(0, 4000 if user == 1 else 20_000)), float(rng.randint(1, 500)), rng.choice(["click", "purchase", "view"])))
+    return out, spark.createDataFrame(out, "user_id long, event_id long, ts timestamp_ntz, value double, kind string")
+
+
+@pytest.mark.parametrize("every", ["minute", "hour", "month"])
+def test_visits_of_hot_users_are_split_and_stitched(hot_events, every):
+    events, df = hot_events
+    want, gap = [], dt.timedelta(minutes=30)
+    for user in {e[0] for e in events}:
+        mine = sorted((e[2], e[3]) for e in events if e[0] == user)
+        cuts = [0, *(k for k in range(1, len(mine)) if mine[k][0] - mine[k - 1][0] > gap), len(mine)]
+        want += [(user, n + 1, mine[a][0], mine[b - 1][0], b - a, sum(v for _, v in mine[a:b])) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = visits(df, "user_id", "ts", "30 minutes", F.count("*").alias("n"), F.sum("value").alias("value"), every=every)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("every", ["minute", "hour", "month"])
+def test_last_clicks_are_carried_over_periods(hot_events, every):
+    events, df = hot_events
+    clicks = [(e[0], e[2], e[1]) for e in events if e[4] == "click"]
+    want = [(u, k, t, max(((s, c) for v, s, c in clicks if u is not None and v == u and s <= t), default=(None, None))[1]) for u, k, t, _, kind in events if kind == "purchase"]
+    left = df.where("kind = 'purchase'").select("user_id", "event_id", "ts")
+    right = df.where("kind = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    got = as_of_latest(left, right, "user_id", "ts", "click_ts", "click_id", every)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert len({x[3] for x in want}) > 100
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = warehouse.pricing_summary(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(l_shipdate" in plan
