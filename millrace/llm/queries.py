@@ -12,6 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@settled
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(_table(spark, sf_dir, "pages"))
 

@@ -17,8 +17,11 @@ A host whose distrust is above ``limit`` and above its trust is blocked.
 Scores are integers (parts of ONE) and start from the seeds, so they only rise, sums do not
 depend on their order, and reruns and other engines agree to the last digit. A flow is
 floored once, when it is made, so a link of a host with many million links counts too.
-After ``rounds`` rounds what is missing is below follow ** rounds of a score (2 percent by
-default); the loop ends before that when no score moves any more.
+Rounds go on until no host can change its verdict any more, or no score moves. What a
+block of rounds adds shrinks by follow ** rounds from one block to the next: for distrust
+the most that it adds to any host (a host's is a mean), for trust the sum over all hosts (a
+host passes on no more than it has). That bounds what all rounds to come can add to a host,
+but for the floors, a part of ONE a link; so the verdicts are those of the exact solution.
 
 Null urls, and those without ``://``, have an empty host and path, fit no rule and are
 allowed. Null html has no links, and very long html is searched whole. Repeated pages, and
@@ -30,13 +33,18 @@ table gives an empty result. Only page_id, url and html are read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import written
 
-ONE, ROUNDS, FOLLOW = 10**9, 24, 85
+#: Parts of a score, percent that is passed on, and the distrust above which a host is blocked.
+ONE, FOLLOW, LIMIT = 10**9, 85, 10**9 // 2
+#: Rounds of the SQL: after these, less than a hundred-thousandth of a score is missing.
+SQL_ROUNDS = 72
 LINK = r"""[hH][rR][eE][fF]\s*=\s*["']?([^"'\s>]+)"""
 ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,8 +109,9 @@ def seeds(marked: DataFrame) -> DataFrame:
     return by_host.select("host", F.explode(F.array(part("trust", "allowed"), part("distrust", "blocked"))).alias("s")).select("host", "s.*").where("seed > 0")
 
 
-def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS, follow: int = FOLLOW, save_every: int = 4) -> DataFrame:
-    """(host, kind, score) after ``rounds`` steps at most; ``follow`` is in percent.
+def propagate(edges: DataFrame, start: DataFrame, rounds: int | None = None, follow: int = FOLLOW, limit: int | None = None, save_every: int = 4) -> DataFrame:
+    """(host, kind, score) after ``rounds`` steps at most; ``follow`` is in percent. With a
+    ``limit`` it ends once the verdicts by that limit are certain.
 
     Both kinds advance in one join and one sum a round. Shuffles carry one row for an edge
     before the sum and, through the map-side combine, one for a host and task after it.
@@ -115,38 +124,60 @@ def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS, follow:
     if steps.isEmpty():
         return scores
     flow = F.expr(f"cast(score as decimal(19,0)) * cast(n * {follow} as decimal(19,0)) div cast(total * 100 as decimal(19,0))").cast("bigint")
-    for k in range(1, rounds + 1):
+    for k in count(1):
         moved = steps.join(scores.select("kind", F.col("host").alias("from"), "score"), ["kind", "from"])
         summed = moved.select("kind", F.col("to").alias("host"), flow.alias("part")).unionByName(base).groupBy("kind", "host").agg(F.sum("part").alias("score"))
         scores = summed
         if k % save_every == 0:
             scores = written(scores, f"scores{k}")
-            # scores never fall, so they have settled if their sum has not moved
-            total = lambda rows: rows.agg(F.sum(F.col("score").cast("decimal(38,0)"))).first()[0]
-            if total(scores) == total(saved):
+            ahead = still_to_come(scores, saved, (follow / 100) ** save_every)
+            # scores never fall, so if nothing was added they have settled
+            if not any(ahead.values()) or limit is not None and ahead["distrust"] <= limit and open_hosts(scores, ahead, limit).isEmpty():
                 break
             saved = scores
+        if k == rounds:
+            break
     return scores
 
 
-def blocked_hosts(scores: DataFrame, limit: int = ONE // 2) -> DataFrame:
+def still_to_come(scores: DataFrame, saved: DataFrame, kept: float) -> dict[str, int]:
+    """The most that later rounds can add to a host's trust and distrust, if what ``scores``
+    have above the ``saved`` ones shrinks to ``kept`` of it in as many rounds again."""
+    grown = scores.join(saved.select("kind", "host", F.col("score").alias("was")), ["kind", "host"], "left").select("kind", (F.col("score") - F.coalesce("was", F.lit(0))).alias("by"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("by"))
+    added = grown.agg(F.sum(of("trust").cast("decimal(38,0)")).alias("trust"), F.max(of("distrust")).alias("distrust")).first()
+    return {kind: ceil(float(added[kind] or 0) * kept / (1 - kept)) for kind in ("trust", "distrust")}
+
+
+def by_host(scores: DataFrame) -> DataFrame:
+    """(host, trust, distrust)."""
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0)).alias(kind)
+    return scores.groupBy("host").agg(of("trust"), of("distrust"))
+
+
+def open_hosts(scores: DataFrame, ahead: dict[str, int], limit: int) -> DataFrame:
+    """Hosts that are neither blocked nor free whatever of ``ahead`` is still to come."""
+    low, high = F.col("distrust"), F.col("distrust") + ahead["distrust"]
+    blocked = (low > limit) & (low > F.col("trust") + ahead["trust"])
+    return by_host(scores).where(~blocked & (high > limit) & (high > F.col("trust")))
+
+
+def blocked_hosts(scores: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Hosts whose distrust is above the limit and above their trust."""
-    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0))
-    by_host = scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
-    return by_host.where((F.col("distrust") > limit) & (F.col("distrust") > F.col("trust"))).select("host")
+    return by_host(scores).where((F.col("distrust") > limit) & (F.col("distrust") > F.col("trust"))).select("host")
 
 
-def verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> DataFrame:
+def verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int | None = None, limit: int = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict."""
     held = pages.select("page_id", "url", "html")
     marked = judged(held, rules)
-    blocked = written(blocked_hosts(propagate(host_edges(held), written(seeds(marked), "seeds"), rounds)), "blocked")
+    blocked = written(blocked_hosts(propagate(host_edges(held), written(seeds(marked), "seeds"), rounds, limit=limit), limit), "blocked")
     joined = marked.join(blocked.withColumn("bad", F.lit(True)), "host", "left")
     verdict = F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
-def _sql(rounds: int = ROUNDS, follow: int = FOLLOW) -> str:
+def _sql(rounds: int = SQL_ROUNDS, follow: int = FOLLOW) -> str:
     """The same rows in DuckDB: every round is a table expression."""
 
     def host(url: str) -> str:
@@ -171,7 +202,7 @@ def _sql(rounds: int = ROUNDS, follow: int = FOLLOW) -> str:
     for k in range(1, rounds + 1):
         flow = f"select s.kind, s.b as host, score * (n * {follow}) // (total * 100) as part from steps s join r{k - 1} r on s.kind = r.kind and s.a = r.host union all select kind, host, seed from seeds"
         ctes.append(f"r{k} as materialized (select kind, host, sum(part)::bigint as score from ({flow}) group by kind, host)")
-    ctes.append(f"bad as (select host from (select host, coalesce(max(score) filter (kind = 'trust'), 0) as t, coalesce(max(score) filter (kind = 'distrust'), 0) as d from r{rounds} group by host) where d > {ONE // 2} and d > t)")
+    ctes.append(f"bad as (select host from (select host, coalesce(max(score) filter (kind = 'trust'), 0) as t, coalesce(max(score) filter (kind = 'distrust'), 0) as d from r{rounds} group by host) where d > {LIMIT} and d > t)")
     return "with " + ", ".join(ctes) + " select page_id, host, path, rule, coalesce(by_rule, case when host in (select host from bad) then 'block' else 'allow' end) as verdict from marked"
 
 

@@ -46,6 +46,35 @@ def test_links_within_a_host_say_nothing_of_it(spark):
     assert got == {1: "block", 2: "allow", 3: "block"}
 
 
+def test_rounds_go_on_until_verdicts_are_certain(spark):
+    # two hosts that link to each other, blocked pages being just so many that the exact
+    # distrust, share / 0.15, is above the limit, which takes over 24 rounds to show
+    def verdicts(blocked, **given):
+        pages = [(1000 * a + k, f"http://{h}.example.com/{'de' if k < blocked else 'en'}/{k}", f"<a href='http://{o}.example.com/'>" if k == 0 else "") for a, (h, o) in enumerate((("a", "b"), ("b", "a"))) for k in range(530)]
+        rows = url_filter.verdicts(spark.createDataFrame(pages, "page_id long, url string, html string"), **given).where("rule is null").select("verdict").distinct().collect()
+        return {r.verdict for r in rows}
+
+    exact = lambda blocked: "block" if blocked / 530 / 0.15 > 0.5 else "allow"
+    assert (exact(40), exact(39)) == ("block", "allow") and 40 / 530 / 0.15 * (1 - 0.85**25) < 0.5
+    assert verdicts(40) == {"block"} and verdicts(39) == {"allow"} and verdicts(40, rounds=24) == {"allow"}
+
+
+def test_what_is_still_to_come_is_bounded(spark):
+    rng = np.random.default_rng(6)
+    n = 30
+    links = Counter((int(a), int(b)) for a, b in rng.integers(0, n, (120, 2)) if a != b)
+    total = Counter(a for (a, _), k in links.items() for _ in range(k))
+    edges = spark.createDataFrame([(str(a), str(b), k, total[a]) for (a, b), k in links.items()], "src string, dst string, n long, total long")
+    start = spark.createDataFrame([("3", "trust", url_filter.ONE), ("4", "distrust", url_filter.ONE // 2), ("9", "distrust", url_filter.ONE)], "host string, kind string, seed long")
+    values = lambda rows: {(r.kind, r.host): r.score for r in rows.collect()}
+    last = values(url_filter.propagate(edges, start, rounds=200))
+    at = {k: url_filter.propagate(edges, start, rounds=k, save_every=4) for k in (8, 12)}
+    ahead, now = url_filter.still_to_come(at[12], at[8], 0.85**4), values(at[12])
+    for kind, host in last:
+        assert 0 <= last[kind, host] - now.get((kind, host), 0) <= ahead[kind] + 1000
+    assert 0 < ahead["distrust"] < url_filter.ONE
+
+
 def test_scores_are_those_of_a_plain_power_iteration(spark):
     rng = np.random.default_rng(3)
     n, wide = 40, 1_200_000
