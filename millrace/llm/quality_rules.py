@@ -3,7 +3,8 @@
 Every rule says of a column of texts which it rejects. On a sample (SAMPLE_ROWS rows in
 the mean) each rule runs over all texts, which gives its seconds and its share of
 rejections; the cascade then runs the rules by rejections per second, each only on the
-texts that all before it let pass. The order changes the time taken, never a verdict.
+texts that all before it let pass. Words are split and hashed once a batch for all rules, so
+a rule's cost is what it takes beyond that. The order changes the time taken, never a verdict.
 
 A null text is the empty text: it has no words and is rejected. Very long texts are read
 whole, in batches of bounded bytes. An empty table gives an empty result. Rows may repeat
@@ -15,6 +16,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +41,51 @@ def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(upto[edges])
 
 
-def count_words(texts: pa.Array) -> np.ndarray:
-    return words(texts)[1]
+class Texts:
+    """Texts of a batch with their words, which are split and hashed once, when a rule first
+    asks for them, and go along when some of the texts are taken."""
 
+    def __init__(self, texts: pa.Array) -> None:
+        self.texts = texts
 
-def word_chars(texts: pa.Array) -> np.ndarray:
-    flat, counts = words(texts)
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    @cached_property
+    def split(self) -> tuple[pa.Array, np.ndarray]:
+        return words(self.texts)
+
+    @cached_property
+    def hashed(self) -> np.ndarray:
+        return word_hashes(self.split[0])
+
+    def where(self, stays: np.ndarray) -> Texts:
+        some = Texts(self.texts.filter(pa.array(stays)))
+        if "split" in self.__dict__:
+            flat, counts = self.split
+            inside = np.repeat(stays, counts)
+            some.split = flat.filter(pa.array(inside)), counts[stays]
+            if "hashed" in self.__dict__:
+                some.hashed = self.hashed[inside]
+        return some
+
+
+def count_words(t: Texts) -> np.ndarray:
+    return t.split[1]
+
+
+def word_chars(t: Texts) -> np.ndarray:
+    flat, counts = t.split
     return per_text(pc.utf8_length(flat).to_numpy(), counts)
 
 
-def count_symbols(texts: pa.Array) -> np.ndarray:
-    return pc.count_substring_regex(texts, "[#*$%&|<>]").to_numpy().astype(np.int64)
+def count_symbols(t: Texts) -> np.ndarray:
+    return letters(t, "[#*$%&|<>]")
 
 
-def line_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def line_counts(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Lines with a word, and those of them that equal an earlier line of their text."""
-    split = pc.split_pattern(texts, "\n")
+    split = pc.split_pattern(t.texts, "\n")
     flat, counts = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
     real = pc.match_substring_regex(flat, r"[^\x20\x09-\x0D]").to_numpy(zero_copy_only=False).astype(bool)
     codes = flat.dictionary_encode().indices.to_numpy().astype(np.int64)
@@ -79,42 +110,41 @@ def covered_words(hashed: np.ndarray, counts: np.ndarray, width: int = WINDOW) -
     return np.cumsum(steps[:-1]) > 0
 
 
-def repeated_words(texts: pa.Array) -> np.ndarray:
+def repeated_words(t: Texts) -> np.ndarray:
     """Words in windows of WINDOW words that the text holds twice or more."""
-    flat, counts = words(texts)
-    return per_text(covered_words(word_hashes(flat), counts), counts)
+    return per_text(covered_words(t.hashed, t.split[1]), t.split[1])
 
 
-def stuttered_words(texts: pa.Array) -> np.ndarray:
+def stuttered_words(t: Texts) -> np.ndarray:
     """Words that equal the word before."""
-    flat, counts = words(texts)
-    hashed, of = word_hashes(flat), np.repeat(np.arange(len(counts)), counts)
-    again = np.zeros(len(flat), bool)
+    counts, hashed = t.split[1], t.hashed
+    of = np.repeat(np.arange(len(counts)), counts)
+    again = np.zeros(len(hashed), bool)
     again[1:] = (hashed[1:] == hashed[:-1]) & (of[1:] == of[:-1])
     return per_text(again, counts)
 
 
-def letters(texts: pa.Array, which: str) -> np.ndarray:
-    return pc.count_substring_regex(texts, which).to_numpy().astype(np.int64)
+def letters(t: Texts, which: str) -> np.ndarray:
+    return pc.count_substring_regex(t.texts, which).to_numpy().astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    rejects: Callable[[pa.Array], np.ndarray]
+    rejects: Callable[[Texts], np.ndarray]
 
 
-def _repeats(texts: pa.Array) -> np.ndarray:
-    return 100 * repeated_words(texts) > 30 * count_words(texts)
+def _repeats(t: Texts) -> np.ndarray:
+    return 100 * repeated_words(t) > 30 * count_words(t)
 
 
-def _lines(texts: pa.Array) -> np.ndarray:
-    lines, doubles = line_counts(texts)
+def _lines(t: Texts) -> np.ndarray:
+    lines, doubles = line_counts(t)
     return 2 * doubles > lines
 
 
-def _length(texts: pa.Array) -> np.ndarray:
-    chars, n = word_chars(texts), count_words(texts)
+def _length(t: Texts) -> np.ndarray:
+    chars, n = word_chars(t), count_words(t)
     return (chars < 2 * n) | (chars > 30 * n)
 
 
@@ -130,13 +160,16 @@ ADDED = (
 RULES = BASE + ADDED
 
 
-def passes(texts: pa.Array, rules: tuple[Rule, ...], alive: np.ndarray | None = None) -> np.ndarray:
+def passes(texts: pa.Array | Texts, rules: tuple[Rule, ...], alive: np.ndarray | None = None) -> np.ndarray:
     """Which texts no rule rejects; each rule sees only what passed those before it."""
-    alive = np.ones(len(texts), bool) if alive is None else alive.copy()
+    held = texts if isinstance(texts, Texts) else Texts(texts)
+    alive = np.ones(len(held), bool) if alive is None else alive.copy()
+    left = held.where(alive)
     for rule in rules:
-        at = np.flatnonzero(alive)
-        if len(at):
-            alive[at] = ~rule.rejects(texts.take(pa.array(at)))
+        if len(left):
+            good = ~rule.rejects(left)
+            alive[alive] = good
+            left = left.where(good)
     return alive
 
 
@@ -148,7 +181,8 @@ def estimate(documents: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batched(batches):
-            texts = pc.fill_null(table.column("text").combine_chunks(), "")
+            texts = Texts(pc.fill_null(table.column("text").combine_chunks(), ""))
+            texts.hashed  # made before the clock runs
             for k, rule in enumerate(rules):
                 began = time.thread_time()
                 rejected = int(rule.rejects(texts).sum())
@@ -187,7 +221,7 @@ def measured(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batched(batches):
-            texts = pc.fill_null(table.column("text").combine_chunks(), "")
+            texts = Texts(pc.fill_null(table.column("text").combine_chunks(), ""))
             n, repeated = count_words(texts), repeated_words(texts)
             failed = (n < 20) | (100 * repeated > 30 * n)
             columns = [n, word_chars(texts), count_symbols(texts), line_counts(texts)[1], repeated, failed, passes(texts, order, ~failed)]

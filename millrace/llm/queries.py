@@ -17,6 +17,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(_table(spark, sf_dir, "pages"))
 
 
+@settled
 def op2_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_output.digests(repair_output.write_shards(_table(spark, sf_dir, "documents")))
 
@@ -25,6 +26,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(_table(spark, sf_dir, "documents"))
 
 
+@settled
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,6 +41,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+@settled
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -62,6 +65,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(_table(spark, sf_dir, "documents"))
 
 
+@settled
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(_table(spark, sf_dir, "documents"))
 
