@@ -62,10 +62,12 @@ def placed(rows: DataFrame, *order: str) -> DataFrame:
 
     Sorted by range, so the rows of one key may lie in many partitions; each partition's
     rows are numbered as they are written, and start where the key's rows of the partitions
-    before it end. The window holds a row for each partition of a key.
+    before it end. The window holds a row for each partition of a key. Rows that agree in all
+    of ``order`` are spread as well, by where they come from: their places may be exchanged.
     """
-    spread = rows.repartitionByRange(source_partitions(rows), "key", *order).sortWithinPartitions("key", *order)
-    held = written(spread.withColumn("row", F.monotonically_increasing_id()), "sorted")
+    by = ["key", *order, "salt"]
+    spread = rows.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(source_partitions(rows), *by).sortWithinPartitions(*by)
+    held = written(spread.drop("salt").withColumn("row", F.monotonically_increasing_id()), "sorted")
     part = F.shiftrightunsigned("row", 33).alias("part")
     counts = held.groupBy("key", part).agg(F.count("*").alias("n"), F.min("row").alias("first"))
     before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")

@@ -69,7 +69,7 @@ def test_digest_is_that_of_a_plain_tree_and_of_sql(rows):
     assert {r.verified for r in got.collect()} == {True, False}
 
 
-@pytest.mark.parametrize("run, depth", [(2, 1), (2, 3), (3, 2)])
+@pytest.mark.parametrize("run, depth", [(2, 3), (3, 2)])
 def test_blocks_of_any_size_make_the_same_tree(spark, rows, run, depth):
     got = merkle_manifest.manifest(rows.repartition(5), run=run, depth=depth).collect()
     want = Counter((r[0], leaf, subroot, root, tuple(path)) for r, leaf, subroot, root, path in plain_manifest(ROWS, run))
@@ -93,6 +93,15 @@ def test_root_tells_tables_apart(spark, rows):
     assert merkle_manifest.root_of(lone.where("false")) is None and merkle_manifest.digest(lone.where("false")).count() == 0
 
 
+def test_repeated_rows_are_spread(spark):
+    df = spark.range(4000).repartition(8).selectExpr("'k' as key", "1L as id", "'same' as node")
+    got = merkle_manifest.placed(df, "id", "node")
+    assert sorted(r["at"] for r in got.select("at").collect()) == list(range(4000))
+    held = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in got.inputFiles() if "/sorted/" in f})
+    sizes = [r["n"] for r in held.groupBy(F.shiftrightunsigned("row", 33)).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
+
+
 def test_other_columns_and_identities(spark):
     df = spark.createDataFrame([("a", 1, 1.5), ("b", 1, None), ("c", 2, 2.5)], "name string, part int, x double")
     got = merkle_manifest.manifest(df, "name", "part", ("name", "x")).collect()
