@@ -34,7 +34,7 @@ from millrace.llm.common import written
 from millrace.llm.url_filter import LOWER, UPPER, host_of
 
 #: The boilerplate ratio in percent, and the least pages of a host that hold such a line.
-RATIO, LEAST_PAGES = 1, 3
+RATIO, LEAST_PAGES = 1, 5
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 #: What of a page is no text, and what ends a line of it.
 UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
