@@ -162,6 +162,28 @@ def root_of(rows: DataFrame, **given) -> str | None:
     return found and found["root"]
 
 
+def failing(rows: DataFrame, proofs: DataFrame, root: str, identity: str = "doc_id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(identity, reason) of what of ``rows`` isn't what the root stands for, by the proofs
+    (identity, leaf and path) that ``manifest`` gave.
+
+    A row is good if its own leaf, worked out anew, folds to the root by a proof. An id is
+    ``changed`` if a row of it isn't and there are proofs of the id, ``added`` if there are none,
+    and ``missing`` if a proof has no row. Rows meet proofs by id and leaf, so ids that
+    repeat make no pairs. ``rows`` may be read long after the manifest was made, and no
+    other row is needed to check one: a part of a table can be held against its proofs.
+    """
+    leaves = rows.select(F.col(f"`{identity}`").alias("id"), leaf([F.col(f"`{c}`") for c in columns]).alias("own")).distinct()
+    known = proofs.select(F.col(f"`{identity}`").alias("proven"), "leaf", "path")
+    met = leaves.join(known, F.col("id").eqNullSafe(F.col("proven")) & (F.col("own") == F.col("leaf")), "full")
+    good = F.max(F.coalesce(fold(F.col("own"), F.col("path")) == root, F.lit(False))).alias("good")
+    each = met.groupBy(F.coalesce("id", "proven").alias(identity), "own", "leaf").agg(good)
+    some = lambda what: F.max(F.coalesce(what, F.lit(False)))
+    here, there = F.col("own").isNotNull(), F.col("leaf").isNotNull()
+    judged = each.groupBy(identity).agg(some(here & ~F.col("good")).alias("bad"), some(there).alias("known"), some(there & ~here).alias("lost"))
+    reason = F.when(F.col("bad"), F.when(F.col("known"), "changed").otherwise("added")).when(F.col("lost"), "missing")
+    return judged.select(identity, reason.alias("reason")).where("reason is not null")
+
+
 def digest(documents: DataFrame) -> DataFrame:
     """The contract's columns: every row's proof held against its leaf, or a forged one."""
     forged = leaf([F.col(c) if c != "n_chars" else F.col(c).cast("decimal(20,0)") + 1 for c in COLUMNS])

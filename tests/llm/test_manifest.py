@@ -102,6 +102,18 @@ def test_repeated_rows_are_spread(spark):
     assert len(sizes) == 4 and max(sizes) < 2000
 
 
+def test_changed_added_and_missing_rows_are_found(spark, rows):
+    proofs = merkle_manifest.manifest(rows).select("doc_id", "leaf", "path")
+    root = plain_manifest(ROWS)[0][3]
+    assert merkle_manifest.failing(rows, proofs, root).count() == 0
+    edited = [(*r[:4], "x") if r[0] == 12 else r for r in ROWS if r[0] not in (20, 71)] + [(700, "s", "en", 3, "new"), (7, "s", "en", 3, "not the text of 7")]
+    got = merkle_manifest.failing(spark.createDataFrame(edited, COLUMNS), proofs, root).collect()
+    assert sorted(map(tuple, got)) == [(7, "changed"), (12, "changed"), (20, "missing"), (71, "missing"), (700, "added")]
+    # a part of the table is held against its own proofs
+    some = "doc_id between 30 and 50"
+    assert merkle_manifest.failing(rows.where(some), proofs.where(some), root).count() == 0
+
+
 def test_other_columns_and_identities(spark):
     df = spark.createDataFrame([("a", 1, 1.5), ("b", 1, None), ("c", 2, 2.5)], "name string, part int, x double")
     got = merkle_manifest.manifest(df, "name", "part", ("name", "x")).collect()
