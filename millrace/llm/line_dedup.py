@@ -2,7 +2,7 @@
 
 The pages of a host that hold a line are divided by the host's page total. A line is
 boilerplate of the host if more than RATIO percent of its pages hold it, and at least
-LEAST_PAGES of them, without which every line of a small site would be. Pages of equal text
+``least_pages`` of them, without which every line of a small site would be. Pages of equal text
 count once, so a page's exact copies don't make its lines boilerplate. Such lines are
 dropped from all of the host's pages, also from those that they make up wholly, and all
 other lines stay in order.
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import written
 from millrace.llm.url_filter import LOWER, UPPER, host_of
 
-#: The boilerplate ratio in percent, and the least pages of a host that hold such a line.
-RATIO, LEAST_PAGES = 1, 5
+#: The boilerplate ratio in percent, and the least pages of a site that hold such a line. Hosts
+#: of web pages may be small, and what is on three of their pages is mostly menus and footers.
+RATIO, LEAST_PAGES, LEAST_OF_HOST = 1, 5, 3
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 #: What of a page is no text, and what ends a line of it.
 UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -88,16 +89,16 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
     return out.select(*(made.get(c, F.col("page")[c]).alias(c) for c in pages.columns))
 
 
-def digest(pages: DataFrame) -> DataFrame:
+def digest(pages: DataFrame, least_pages: int = LEAST_OF_HOST) -> DataFrame:
     """page_id, host, lines before and after, and the SHA-256 of the lines that stay."""
     # written, so that the pages are taken apart once
     same = F.xxhash64(F.coalesce("html", F.lit(""))).cast("string").alias("html")
     held = written(pages.select("page_id", host_of(F.col("url")).alias("host"), same, lines_of_html(F.col("html")).alias("lines")), "lines")
-    rows = split_pages(held, F.col("host"), F.col("html"), F.col("lines"))
+    rows = split_pages(held, F.col("host"), F.col("html"), F.col("lines"), least_pages=least_pages)
     return rows.select("page.page_id", "page.host", F.size("lines").cast("bigint").alias("n_lines"), F.size("kept").cast("bigint").alias("n_kept"), F.sha2(F.array_join("kept", "\n"), 256).alias("text_sha256"))
 
 
-def sql(table: str, identity: str, site: str, text: str, lines: str) -> str:
+def sql(table: str, identity: str, site: str, text: str, lines: str, least_pages: int = LEAST_PAGES) -> str:
     """The same in DuckDB: identity columns, site, n_lines, n_kept and text_sha256."""
     return rf"""
 with d as materialized (select row_number() over () as k, {identity}, {site} as site, coalesce({text}, '') as t from {table}),
@@ -106,7 +107,7 @@ totals as (select site, count(distinct t) as pages from d group by site),
 l as materialized (select k, site, t, unnest(lines) as line, generate_subscripts(lines, 1) as pos from ls),
 held as (select site, line, count(distinct t) as held from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by site, line),
 flagged as (select h.site, line from held h join totals o on h.site is not distinct from o.site
-  where held >= {LEAST_PAGES} and held * 100 > pages * {RATIO}),
+  where held >= {least_pages} and held * 100 > pages * {RATIO}),
 marked as (select l.k, l.line, l.pos, f.line is null as stays from l left join flagged f on l.line = f.line and l.site is not distinct from f.site),
 texts as (select k, count(*) as n, count(*) filter (stays) as n_kept, string_agg(line, chr(10) order by pos) filter (stays) as t from marked group by k)
 select {identity}, site, coalesce(n, 0)::bigint as n_lines, coalesce(n_kept, 0)::bigint as n_kept, sha256(coalesce(texts.t, '')) as text_sha256 from d left join texts using (k)"""
@@ -116,7 +117,7 @@ def _pages_sql() -> str:
     host = f"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
     ends = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
     lines = f"list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '{UNSEEN}', '', 'g'), '{BREAK}'), lambda x: regexp_replace(regexp_replace(x, '{INLINE}', '', 'g'), {ends}, '', 'g')), lambda x: x <> '')"
-    return sql("pages", "page_id", host, "html", lines).replace("page_id, site, coalesce(n,", "page_id, site as host, coalesce(n,")
+    return sql("pages", "page_id", host, "html", lines, LEAST_OF_HOST).replace("page_id, site, coalesce(n,", "page_id, site as host, coalesce(n,")
 
 
 ORACLE_SQL = _pages_sql()
