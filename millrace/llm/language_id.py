@@ -55,8 +55,8 @@ PASSES, STEP, RATE = 6, 64, 0.2
 #: The share of the sample that calibrates, and of wrong predictions above the limit.
 CALIBRATES, ERROR = 5, 0.01
 FOLDS, HELD_OUT, NONE = 4, 2, "und"
-#: Windows that are looked up at a time.
-CUT = 200_000
+#: Windows that are looked up at a time, and pieces whose features are.
+CUT, SOME = 200_000, 1000
 
 
 def letters(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -206,7 +206,9 @@ def features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def descend(texts: pa.Array, y: np.ndarray, names: list[str], seed: int = 5) -> Model:
     """The tables after PASSES over the pieces, the rate falling to 0."""
     rng = np.random.default_rng(seed)
-    bucket, counts = features_of(texts)
+    # some at a time, so that the driver holds little but the buckets
+    parts = [features_of(texts.slice(k, SOME)) for k in range(0, len(texts), SOME)]
+    bucket, counts = (np.concatenate(x) for x in zip(*parts))
     heads = np.cumsum(counts) - counts
     model = Model(names, rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32), np.zeros((len(names), WIDTH), np.float32), np.zeros(len(names), np.float32))
     steps = PASSES * -(-len(y) // STEP)
