@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators.relational import as_of_latest, visits
 from millrace.plans import warehouse
 from millrace.sources import read_table, write_partitioned
-from millrace.streaming import hourly_counts, run_once
+from millrace.streaming import follow_visits, hourly_counts, into_batches, run_once, user_visits
 
 FOLDER = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -92,6 +92,43 @@ def test_stream_gives_the_closed_hours_of_the_batch(spark, tmp_path):
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_visits_of_a_stream_are_those_of_the_batch_whatever_repeats(spark, tmp_path):
+    events = read_table(spark, FOLDER, "events").where("user_id <= 200")
+    cut = dt.timedelta(hours=1)
+    last = events.agg(F.max("ts").alias("t")).first()["t"]
+    half = events.agg(F.expr("percentile_approx(cast(ts as timestamp), 0.5)").cast("timestamp_ntz").alias("t")).first()["t"]
+    first, second = events.where(F.col("ts") < F.lit(half)), events.where(F.col("ts") >= F.lit(half))
+    repeats = first.where(F.col("ts") >= F.lit(half - dt.timedelta(days=3)))
+    where = {k: str(tmp_path / k) for k in ("in", "out", "state")}
+    # the state of a first run is taken up by the second, which also meets the first's rows again
+    for part in (first, second.unionByName(repeats).unionByName(second.where("event_id % 3 = 0"))):
+        part.coalesce(1).write.mode("append").parquet(where["in"])
+        follow_visits(spark, where["in"], events.schema, where["out"], where["state"])
+    closed = F.col("ended") <= F.lit(last - 2 * cut)
+    names = ["user_id", "began", "ended", "n", "value"]
+    whole = visits(events.select("user_id", "ts", "value"), "user_id", "ts", "30 minutes", F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(12,2)")).alias("value"))
+    want = whole.withColumn("value", F.col("value").cast("double")).where(closed).select(names).collect()
+    got = spark.read.parquet(where["out"]).where(closed).select(names).collect()
+    assert rows(names, got) == rows(names, want) and len(want) > 100
+    batch = user_visits(events.unionByName(repeats)).where(closed).select(names).collect()
+    assert rows(names, batch) == rows(names, want)
+
+
+def test_events_a_gap_apart_are_one_visit_in_all_forms(spark):
+    at = lambda m, s=0: dt.datetime(2024, 1, 1, 0, m, s)
+    events = spark.createDataFrame([(1, at(0), 7, 1.0), (2, at(30), 7, 2.0), (2, at(30), 7, 2.0), (3, at(0), None, 1.0), (4, None, 7, 1.0), (5, at(0), 8, None), (6, at(30, 1), 8, 3.0)], "event_id long, ts timestamp_ntz, user_id long, value double")
+    got = user_visits(events).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(7, at(0), at(30), 2, 3.0), (None, at(0), at(0), 1, 1.0), (8, at(0), at(0), 1, None), (8, at(30, 1), at(30, 1), 1, 3.0)], key=repr)
+    assert user_visits(events.where("false")).count() == 0
+
+
+def test_a_batch_that_is_written_again_leaves_no_row_twice(spark, tmp_path):
+    write = into_batches(str(tmp_path))
+    for batch, n in ((0, 3), (1, 2), (1, 2)):
+        write(spark.range(n), batch)
+    assert spark.read.parquet(str(tmp_path)).count() == 5
+
+
 def test_partitioned_write_keeps_all_rows(spark, tmp_path):
     nations = read_table(spark, FOLDER, "nation")
     write_partitioned(nations, str(tmp_path / "n"), "n_regionkey")
