@@ -40,7 +40,7 @@ from millrace.llm.tokens import batched, crc, encode, gather, tokenizer, vocabul
 SHARD_TOKENS = 1 << 20
 #: Pairs replaced in one round, and the least uses of a frequent pair.
 PAIRS, LEAST_USES = 5000, 8
-#: Buckets in which pairs are counted before they are told apart, by a power of two.
+#: Bits of the hash by which pairs were once told apart; a test picks its pairs by it.
 COUNTED = 18
 #: Documents that are read back at a time.
 AT_A_TIME = 512
@@ -50,65 +50,88 @@ END = 0
 MAGIC, HEAD = b"RPT2", struct.Struct("<4sqqqqq")
 
 
+def sorted_pairs(first: np.ndarray, second: np.ndarray, at: np.ndarray, most: int, size: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """(codes, places, bits): the pairs of symbols up to ``most`` at ascending places below
+    ``size``, in the order of their codes, first << bits | second, and then of their places."""
+    bits, shift = np.uint64(most.bit_length()), np.uint64(size.bit_length())
+    codes = first.astype(np.uint64)
+    if 2 * int(bits) + int(shift) <= 64:  # pair and place in one number
+        for by, part in ((bits, second), (shift, at.view(np.uint64))):
+            codes <<= by
+            codes |= part
+        codes.sort()
+        places = codes & ((np.uint64(1) << shift) - np.uint64(1))
+        codes >>= shift
+        return codes, places.view(np.int64), bits
+    codes <<= np.uint64(32)
+    codes |= second
+    order = np.argsort(codes, kind="stable")
+    return codes[order], at[order], np.uint64(32)
+
+
 def compress(ids: np.ndarray, last: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, sequence, last): rules[k] is the pair that symbol base + k stands for; ``last``
     marks the symbols that end a document."""
-    half, rules = np.uint64(32), []
-    bucket = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNTED)).view(np.int64)
-    seq, last, used = ids.astype(np.uint64), last.copy(), base
-    while len(seq) > 1:
-        codes = (seq[:-1] << half) | seq[1:]
-        # most pairs are rare: only those in well-filled buckets are sorted
-        in_bucket = bucket(codes)
-        filled = np.bincount(in_bucket, minlength=1 << COUNTED) >= least
-        at = np.flatnonzero(filled[in_bucket] & ~last[:-1])
-        codes, in_bucket = codes[at], in_bucket[at]
-        found, uses = np.unique(codes, return_counts=True)
-        found, uses = found[uses >= least], uses[uses >= least]
-        found = np.sort(found[np.argsort(-uses, kind="stable")[:pairs]])
-        if not len(found):
+    rules, none = [], -1
+    seq, last, used = ids.astype(np.uint32), last.copy(), base
+    # where a pair starts that may be frequent; a rare one gets no further uses by later rounds
+    live = ~last
+    live[-1:] = False
+    while True:
+        at = np.flatnonzero(live)
+        codes, places, bits = sorted_pairs(seq[at], seq[at + 1], at, used, len(seq))
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+        uses = np.diff(np.append(starts, len(codes)))
+        frequent = np.flatnonzero(uses >= least)
+        if not len(frequent):
             break
-        # a bucket names its chosen pair; the few that hold several are searched, the rest hold none
-        chosen, several, none = bucket(found), -2, -1
-        slot = np.full(1 << COUNTED, none, np.int32)
-        slot[chosen] = np.arange(len(found))
-        slot[chosen[slot[chosen] != np.arange(len(found))]] = several
-        rule = slot[in_bucket]
-        shared = np.flatnonzero(rule == several)
-        near = np.minimum(np.searchsorted(found, codes[shared]), len(found) - 1)
-        rule[shared] = np.where(found[near] == codes[shared], near, none)
-        hit = (found[rule] == codes) & (rule != none)
-        at, rule = at[hit], rule[hit]
+        chosen = np.sort(frequent[np.argsort(-uses[frequent], kind="stable")[:pairs]])
+        # each place's rule, by its pair; frequent pairs that wait for a later round have the number after
+        named = np.full(len(uses), none, np.int32)
+        named[frequent] = len(chosen)
+        named[chosen] = np.arange(len(chosen))
+        rule = np.full(len(seq), none, np.int32)
+        rule[places] = np.repeat(named, uses)
+        live = rule != none
+        at = np.flatnonzero(live & (rule < len(chosen)))
         # of places that overlap in a row, every second one is replaced
         place = np.arange(len(at), dtype=np.int32)
         heads = np.where(np.append(True, np.diff(at) != 1), place, np.int32(0))
-        free = (place - np.maximum.accumulate(heads)) % 2 == 0
-        at, rule = at[free], rule[free]
-        rules.append(np.stack([found >> half, found & np.uint64((1 << 32) - 1)], axis=1).astype(np.int64))
-        seq[at] = (used + rule).astype(np.uint64)
+        at = at[(place - np.maximum.accumulate(heads)) % 2 == 0]
+        found = codes[starts[chosen]]
+        rules.append(np.stack([found >> bits, found & ((np.uint64(1) << bits) - np.uint64(1))], axis=1).astype(np.int64))
+        seq[at] = np.uint32(used) + rule[at].view(np.uint32)
         last[at] = last[at + 1]
+        # the pairs on both sides of a new symbol are new
+        live[at], live[at[at > 0] - 1] = True, True
+        live &= ~last
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
-        seq, last, used = seq[stays], last[stays], used + len(found)
+        seq, last, live, used = seq[stays], last[stays], live[stays], used + len(chosen)
+        live[-1] = False
     return np.concatenate([np.zeros((0, 2), np.int64), *rules]), seq.astype(np.int64), last
 
 
+def _wide(bits: int) -> int:
+    return 32 if bits <= 32 else 64
+
+
 def packed(values: np.ndarray, bits: int) -> bytes:
     """Numbers of ``bits`` bits each, one after another, least bit first."""
-    parts = []
+    wide, parts = _wide(bits), []
     for k in range(0, len(values), 1 << 16):  # a multiple of eight numbers ends with a byte
-        wide = (values[k : k + (1 << 16), None] >> np.arange(bits)) & 1
-        parts.append(np.packbits(wide.astype(np.uint8), bitorder="little").tobytes())
+        part = values[k : k + (1 << 16)].astype(f"<u{wide // 8}").view(np.uint8)
+        parts.append(np.packbits(np.unpackbits(part, bitorder="little").reshape(-1, wide)[:, :bits], bitorder="little").tobytes())
     return b"".join(parts)
 
 
 def unpacked(data: np.ndarray, bits: int, n: int) -> np.ndarray:
     """``n`` numbers that ``packed`` wrote."""
-    out, step = np.zeros(n, np.int64), 1 << 16
+    wide, out, step = _wide(bits), np.zeros(n, np.int64), 1 << 16
     for k in range(0, n, step):
-        part = np.unpackbits(data[k * bits // 8 : (k + step) * bits // 8], bitorder="little")[: min(step, n - k) * bits].reshape(-1, bits)
-        for b in range(bits):
-            out[k : k + step] |= part[:, b].astype(np.int64) << b
+        part = np.zeros((min(step, n - k), wide), np.uint8)
+        part[:, :bits] = np.unpackbits(data[k * bits // 8 : (k + step) * bits // 8], bitorder="little")[: len(part) * bits].reshape(-1, bits)
+        out[k : k + step] = np.packbits(part, bitorder="little").view(f"<u{wide // 8}")
     return out
 
 

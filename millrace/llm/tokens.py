@@ -4,7 +4,8 @@ A space that follows a character other than white space always starts a new pre-
 and a line feed between two such characters is one of its own, so a text's ids are the ids
 of its space-led chunks, line feeds and first words of lines, one after another. These repeat
 far more often than texts: each distinct chunk of a batch is encoded once and the ids
-are gathered by numpy. Texts with white space before a space, or with a special string of
+are gathered by numpy. A mark that ends a chunk after a letter is a pre-token too, so a word
+is encoded once with and without it. Texts with white space before a space, or with a special string of
 the tokenizer, are encoded whole.
 """
 
@@ -23,10 +24,16 @@ import pyarrow.compute as pc
 _UNSAFE = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}] "
 #: A line feed that is a pre-token, and what is put before pieces that no space leads.
 _FEED, _BARE = r"([^\x09-\x0d\x1c-\x1f\x{85}\p{Z}])\n([^\x09-\x0d\x1c-\x1f\x{85}\p{Z}])", "\ue000"
+#: Marks that are cut off a chunk's end, and where: after a letter (of those that every version
+#: of Unicode has as one).
+MARKS = ".,;:!?"
+_MARKED = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}][.,;:!?]$"
 #: Texts are gathered to this many bytes for arrays over their words, and for encoding.
 BATCH_BYTES, ENCODE_BYTES = 1 << 20, 2 << 20
 #: Texts that go to the tokenizer in one call: it makes an object of some hundred bytes a token.
 CALL_BYTES, CALL_WORDS = 1 << 19, 16_384
+#: Chunks that are joined to one text for it.
+JOINED = 64
 #: Bytes of chunks, and as many of their ids, that a worker keeps for its next batches.
 KNOWN_BYTES = 8 << 20
 
@@ -79,8 +86,9 @@ def _encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     word_at, other_at = np.flatnonzero(single), np.flatnonzero(~single)
     for k in range(0, len(word_at), CALL_WORDS):
         at = word_at[k : k + CALL_WORDS]
-        part = texts.take(pa.array(at)).to_pylist()
-        flat, _ = _flat_ids(path, ["\n".join(part[j : j + 64]) + "\n" for j in range(0, len(part), 64)])
+        edges = np.append(np.arange(0, len(at), JOINED), len(at))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges), texts.take(pa.array(at))), pa.scalar("\n", pa.large_string()))
+        flat, _ = _flat_ids(path, [x + "\n" for x in joined.to_pylist()])
         ends = np.flatnonzero(flat == newline[0])
         begins = np.concatenate([[0], ends[:-1] + 1])
         starts[at], counts[at] = base + begins, ends - begins
@@ -103,6 +111,21 @@ def _special(path: str, texts: pa.Array) -> np.ndarray:
     return found
 
 
+def _marks(path: str, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Which chunks end with a letter and a mark, which is then a pre-token of its own and one
+    id, and those ids."""
+    ids = [tokenizer(path).encode(m, add_special_tokens=False).ids for m in MARKS]
+    if any(len(x) != 1 for x in ids):
+        return pa.array(np.zeros(len(words), bool)), np.zeros(0, np.int32)
+    ends = np.zeros(len(words), bool)
+    for m in MARKS:
+        ends |= pc.ends_with(words, m).to_numpy(zero_copy_only=False)
+    ends[ends] = pc.match_substring_regex(words.filter(pa.array(ends)), _MARKED).to_numpy(zero_copy_only=False)
+    ends = pa.array(ends)
+    at = pc.index_in(pc.utf8_slice_codeunits(words.filter(ends), -1), value_set=pa.array(list(MARKS), pa.large_string()))
+    return ends, np.array(ids, np.int32).ravel()[at.to_numpy()]
+
+
 class _Known:
     """Chunks that this process has encoded, with their ids, up to ``most`` bytes of each; then
     no more are added, the commonest being there by then."""
@@ -113,17 +136,28 @@ class _Known:
 
     def look_up(self, path: str, words: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the start and count of each word in them."""
-        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        ends, marks = _marks(path, words)
+        bare = pc.replace_with_mask(words, ends, pc.utf8_slice_codeunits(words.filter(ends), 0, -1))
+        at = pc.fill_null(pc.index_in(bare, value_set=self.words), -1).to_numpy().astype(np.int64)
         new = at < 0
-        fresh = words.filter(pa.array(new))
+        coded = bare.filter(pa.array(new)).dictionary_encode()
+        fresh = coded.dictionary
         ids, starts, counts = _encode(path, fresh)
         held, base = len(self.words), len(self.ids)
-        at[new] = held + np.arange(len(fresh))
+        at[new] = held + coded.indices.to_numpy()
         all_ids, all_starts, all_counts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, base + starts]), np.concatenate([self.counts, counts])
         if max(self.words.nbytes + fresh.nbytes, all_ids.nbytes) <= most:
             self.words = pa.concat_arrays([self.words, fresh])
             self.ids, self.starts, self.counts = all_ids, all_starts, all_counts
-        return all_ids, all_starts[at], all_counts[at]
+        # the words' ids next to each other, with those of the marks
+        marked = ends.to_numpy(zero_copy_only=False)
+        counts = all_counts[at] + marked
+        stops = np.cumsum(counts)
+        out, of_word = np.empty(int(counts.sum()), np.int32), np.ones(int(counts.sum()), bool)
+        of_word[stops[marked] - 1] = False
+        out[~of_word] = marks
+        out[of_word] = gather(all_ids, all_starts[at], all_counts[at])
+        return out, stops - counts, counts
 
 
 @lru_cache(maxsize=2)
@@ -164,8 +198,9 @@ def encode(texts: pa.Array, path: str, known: int | None = None) -> tuple[np.nda
     more, more_starts, more_counts = _encode(path, pa.concat_arrays([coded.dictionary.take(pa.array(lead)), whole]))
     starts, counts = np.concatenate([starts, len(ids) + more_starts]), np.concatenate([counts, more_counts])
     ids = np.concatenate([ids, more])
-    out = gather(ids, starts[slots], counts[slots])
-    sums = np.concatenate([[0], np.cumsum(counts[slots])])
+    per_slot = counts[slots]
+    out = gather(ids, starts[slots], per_slot)
+    sums = np.concatenate([[0], np.cumsum(per_slot)])
     edges = np.concatenate([firsts, [len(slots)]])
     return out, np.diff(sums[edges])
 

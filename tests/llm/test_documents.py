@@ -66,6 +66,17 @@ def test_known_chunks_are_bounded(monkeypatch):
         assert max(known.words.nbytes, known.ids.nbytes) <= 2000
 
 
+def test_a_word_is_encoded_once_whatever_mark_ends_it(monkeypatch):
+    given, known, plain = [], tokens._Known(), tokens._encode
+    monkeypatch.setattr(tokens, "_known", lambda path: known)
+    monkeypatch.setattr(tokens, "_encode", lambda path, texts: given.extend(texts.to_pylist()) or plain(path, texts))
+    texts = ["a wört wört. wört, b wört!", "c wört? wört; wört: wört.. wört.) 's. don't. x9. ², \u0301. . , ?!", "wört. wört.\nwört, d.", "", None, "e\twört. \u7d75. \U0001d400. \u01c5. ª. º, ×. ÷. ſ."]
+    for _ in range(2):
+        ids, n = encode(pa.array(texts), vocabulary())
+        assert ids.tolist() == [i for t in texts for i in ids_of(t, 0)[:-1]] and n.tolist() == [len(ids_of(t, 0)) - 1 for t in texts]
+    assert given.count(" wört") == 1 and not {" wört" + m for m in ".,!?;:"} & set(given)
+
+
 def test_sizes_of_batches_are_read_with_their_units(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     assert [common.bytes_of(x) for x in ("8m", "64MB", "100", "3k", "2gb", "17b")] == [8 << 20, 64 << 20, 100, 3072, 2 << 30, 17]
@@ -123,6 +134,18 @@ def test_repair_goes_on_until_no_pair_is_frequent_and_past_16_bits():
         assert (repair_output.unpacked(np.frombuffer(repair_output.packed(values, bits), np.uint8), bits, n) == values).all()
 
 
+def test_repair_sorts_pairs_alike_with_no_room_for_their_places():
+    rng = np.random.default_rng(6)
+    seq = rng.integers(0, 40, 3001).astype(np.uint32)
+    at = np.flatnonzero(rng.random(3000) < 0.8)
+    by = {}
+    for most in (40, 1 << 20, (1 << 31) - 1):
+        codes, places, bits = repair_output.sorted_pairs(seq[at], seq[at + 1], at, most, len(seq))
+        assert (codes >> bits == seq[places]).all() and (codes & ((np.uint64(1) << bits) - np.uint64(1)) == seq[places + 1]).all()
+        by[most] = places.tolist()
+    assert by[40] == by[1 << 20] == by[(1 << 31) - 1] == sorted(at.tolist(), key=lambda k: (seq[k], seq[k + 1], k))
+
+
 def test_repair_tells_pairs_of_one_bucket_apart():
     # the pairs of three hundred ids number more than their buckets may hold apart
     a, b = (x.ravel().astype(np.uint64) for x in np.meshgrid(np.arange(300), np.arange(300)))
