@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import bounded_batches, written
-from millrace.llm.tokens import ENCODE_BYTES, batched, crc, encode, gather, tokenizer, vocabulary
+from millrace.llm.tokens import batched, crc, encode, gather, tokenizer, vocabulary
 
 LENGTH, END = 2048, 1
 #: Packed ids that are cut at a time.
 PIECE_BYTES = 1 << 20
+#: Chunks that a worker keeps for its next batches: less than the encoder's own bound, since an
+#: executor's heap is full by the last stage of a pipeline.
+KNOWN_BYTES = 2 << 20
 
 
 def encoded(documents: DataFrame, path: str, end: int) -> DataFrame:
@@ -40,8 +43,8 @@ def encoded(documents: DataFrame, path: str, end: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         kind = "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
-        for table in batched(batches, most=ENCODE_BYTES):
-            ids, n = encode(table.column("text").combine_chunks(), path)
+        for table in batched(batches):
+            ids, n = encode(table.column("text").combine_chunks(), path, KNOWN_BYTES)
             packed = with_end(ids, n, end).astype(kind).tobytes()
             n = n + 1
             ends = np.cumsum(n)

@@ -28,8 +28,8 @@ _FEED, _BARE = r"([^\x09-\x0d\x1c-\x1f\x{85}\p{Z}])\n([^\x09-\x0d\x1c-\x1f\x{85}
 #: of Unicode has as one).
 MARKS = ".,;:!?"
 _MARKED = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}][.,;:!?]$"
-#: Texts are gathered to this many bytes for arrays over their words, and for encoding.
-BATCH_BYTES, ENCODE_BYTES = 1 << 20, 2 << 20
+#: Texts are gathered to this many bytes for arrays over their words.
+BATCH_BYTES = 1 << 20
 #: Texts that go to the tokenizer in one call: it makes an object of some hundred bytes a token.
 CALL_BYTES, CALL_WORDS = 1 << 19, 16_384
 #: Chunks that are joined to one text for it.

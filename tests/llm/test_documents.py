@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -176,6 +178,37 @@ def test_repair_output_reads_back_what_was_encoded(odd_documents, odd_rows):
     assert order == sorted(order)
 
 
+#: Encodes 24 MB of texts with ever new words as a task of packing does, and tells the MB that this adds.
+ENCODING_TASK = """
+import re, types
+import numpy as np, pyarrow as pa
+from pyspark.sql import types as T
+from millrace.llm import packing, tokens
+
+peak = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+packing.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+docs = types.SimpleNamespace(schema={"doc_id": T.StructField("doc_id", T.LongType())}, mapInArrow=lambda f, schema: f)
+read = packing.encoded(types.SimpleNamespace(select=lambda *names: docs), tokens.vocabulary(), 1)
+rng = np.random.default_rng(7)
+
+def batch(k):
+    words = np.concatenate([rng.integers(1 << 20, 1 << 32, 20_000), rng.integers(1 << 20, (1 << 20) + 5000, 100_000)])
+    text = " ".join(map("{:x}".format, rng.permutation(words).tolist()))
+    return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([text])], names=["doc_id", "text"])
+
+batches = [batch(k) for k in range(28)]
+tokens.encode(pa.array(["a b"]), tokens.vocabulary())
+before = peak()
+print(sum(b.num_rows for b in read(iter(batches))), peak() - before)
+"""
+
+
+def test_a_packing_task_holds_little():
+    ran = subprocess.run([sys.executable, "-c", ENCODING_TASK], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    rows, mb = ran.stdout.split()
+    assert int(rows) == 28 and float(mb) < 70
+
+
 def test_packing_is_one_gapless_sequence(odd_documents, odd_rows):
     got = packing.pack(odd_documents, length=512).collect()
     whole = defaultdict(list)
