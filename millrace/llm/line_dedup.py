@@ -9,8 +9,9 @@ other lines stay in order.
 
 ``digest`` takes web pages: their host, and as lines the text between block tags and line
 feeds, without scripts, styles, comments and inline tags. ``drop_boilerplate`` takes any
-table with a column that stands for the site, and splits at line feeds. Lines are compared
-whole; lines of white space only are no boilerplate and stay.
+table with a column that stands for the site, and splits at line feeds; ``digest_documents``
+does so for documents and their source. ``digests`` has the rows of both tables, which share
+no site. Lines are compared whole; lines of white space only are no boilerplate and stay.
 
 Distinct (site, line, page text) rows are made in the map tasks and dealt by all three, so
 neither a hot site nor a hot line goes to one task, and then summed. A site has at most
@@ -34,7 +35,8 @@ from millrace.llm.common import written
 from millrace.llm.url_filter import LOWER, UPPER, host_of
 
 #: The boilerplate ratio in percent, and the least pages of a site that hold such a line. Hosts
-#: of web pages may be small, and what is on three of their pages is mostly menus and footers.
+#: of web pages may be small, and what is on three of their pages is mostly menus and footers;
+#: so may the sources of documents that are digested.
 RATIO, LEAST_PAGES, LEAST_OF_HOST = 1, 5, 3
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 #: What of a page is no text, and what ends a line of it.
@@ -89,13 +91,31 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
     return out.select(*(made.get(c, F.col("page")[c]).alias(c) for c in pages.columns))
 
 
+def what_stays() -> tuple[Column, ...]:
+    """Lines before and after, and the SHA-256 of the lines that stay."""
+    return F.size("lines").cast("bigint").alias("n_lines"), F.size("kept").cast("bigint").alias("n_kept"), F.sha2(F.array_join("kept", "\n"), 256).alias("text_sha256")
+
+
 def digest(pages: DataFrame, least_pages: int = LEAST_OF_HOST) -> DataFrame:
     """page_id, host, lines before and after, and the SHA-256 of the lines that stay."""
     # written, so that the pages are taken apart once
     same = F.xxhash64(F.coalesce("html", F.lit(""))).cast("string").alias("html")
     held = written(pages.select("page_id", host_of(F.col("url")).alias("host"), same, lines_of_html(F.col("html")).alias("lines")), "lines")
     rows = split_pages(held, F.col("host"), F.col("html"), F.col("lines"), least_pages=least_pages)
-    return rows.select("page.page_id", "page.host", F.size("lines").cast("bigint").alias("n_lines"), F.size("kept").cast("bigint").alias("n_kept"), F.sha2(F.array_join("kept", "\n"), 256).alias("text_sha256"))
+    return rows.select("page.page_id", "page.host", *what_stays())
+
+
+def digest_documents(documents: DataFrame, least_pages: int = LEAST_OF_HOST) -> DataFrame:
+    """doc_id, source, lines before and after, and the SHA-256 of the lines that stay."""
+    held = documents.select("doc_id", "source", "text")
+    rows = split_pages(held, F.col("source"), F.col("text"), lines_of(F.col("text")), least_pages=least_pages)
+    return rows.select("page.doc_id", "page.source", *what_stays())
+
+
+def digests(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """The rows of ``digest`` and ``digest_documents``: page_id and host are null for documents,
+    doc_id and source for pages. A page's host is never null."""
+    return digest(pages).unionByName(digest_documents(documents), allowMissingColumns=True)
 
 
 def sql(table: str, identity: str, site: str, text: str, lines: str, least_pages: int = LEAST_PAGES) -> str:
@@ -121,5 +141,10 @@ def _pages_sql() -> str:
 
 
 ORACLE_SQL = _pages_sql()
-#: For a table of documents with the columns doc_id, text and source.
+#: For a table of documents with the columns doc_id, text and source, as ``drop_boilerplate`` takes it.
 DOCUMENTS_SQL = sql("documents", "doc_id", "source", "text", "string_split(t, chr(10))")
+#: For both tables, as ``digests`` takes them.
+DIGESTS_SQL = f"""
+select page_id, host, n_lines, n_kept, text_sha256, null::bigint as doc_id, null::varchar as source from ({ORACLE_SQL})
+union all
+select null, null, n_lines, n_kept, text_sha256, doc_id, site from ({sql("documents", "doc_id", "source", "text", "string_split(t, chr(10))", LEAST_OF_HOST)})"""

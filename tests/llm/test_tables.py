@@ -1,5 +1,6 @@
 """URL filter, embeddings and the pipeline against plain versions."""
 
+import hashlib
 from collections import Counter
 
 import duckdb
@@ -7,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import __spark_entry__
 import corpus_pipeline
 from millrace.llm import common, embedding_dedup, line_dedup, url_filter
 from tests.llm import brute
@@ -128,6 +130,32 @@ def test_lines_of_hosts_agree_with_sql(spark):
     assert line_dedup.digest(df.where("false")).count() == 0
 
 
+def test_line_query_takes_pages_and_documents(spark, odd_documents, odd_rows, tmp_path):
+    few = [(200 + k, f"menu\n{k} of its own" + ("\ntwo" if k < 2 else ""), "few") for k in range(3)]
+    spark.createDataFrame(HTML, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    odd_documents.unionByName(spark.createDataFrame(few, "doc_id long, text string, source string"), allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = __spark_entry__.queries()["op8_line_dedup"](spark, str(tmp_path))
+    db = duckdb.connect()
+    for name in ("pages", "documents"):
+        db.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = db.execute(__spark_entry__.oracle_sql()["op8_line_dedup"])
+    got = [tuple(r) for r in rows.collect()]
+    assert rows.columns == [c[0] for c in found.description] and Counter(got) == Counter(found.fetchall())
+    assert Counter(r[0] for r in got if r[1] is not None) == Counter(i for i, *_ in HTML)
+    # the documents, row by row in plain code: what three of a source's texts hold goes
+    docs = odd_rows + few
+    pages = Counter(s for s, _ in {(s, t or "") for _, t, s in docs})
+    held = Counter((s, x) for s, t in {(s, t or "") for _, t, s in docs} for x in set(t.split("\n")) if brute.WORD.search(x))
+    often = {k for k, n in held.items() if n >= 3 and n * 100 > pages[k[0]]}
+    want = Counter()
+    for i, t, s in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if (s, x) not in often]
+        want[(len(lines), len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest(), i, s)] += 1
+    assert ("few", "menu") in often and ("few", "two") not in often
+    assert Counter(r[2:] for r in got if r[1] is None) == want
+
+
 def plain_links(rows, least=0.98):
     links = []
     for k, (i, a, x) in enumerate(rows):
